@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tables, tokenfile
+from . import bpe, fm, pii, quality, tables, tokenfile
 
 
 def public_file(name: str) -> str:
@@ -14,17 +14,33 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.toxicity(tables.documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(tables.documents(spark, sf_dir), public_file("byte_bpe_50k.json")).drop("same")
 
 
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(tables.documents(spark, sf_dir))
+
+
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(tables.documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tables.new_path(spark, "tokens")
     tokenfile.write(tables.documents(spark, sf_dir), public_file("word_bpe_49k.json"), out)
     return tokenfile.read(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_encode_decode, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op7_token_files)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fm, pii, quality, tables, tokenfile
+from . import bpe, fm, neardup, pii, quality, tables, tokenfile
 
 
 def public_file(name: str) -> str:
@@ -34,13 +34,17 @@ def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(tables.documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(tables.documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tables.new_path(spark, "tokens")
     tokenfile.write(tables.documents(spark, sf_dir), public_file("word_bpe_49k.json"), out)
     return tokenfile.read(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables
 ORACLES: dict[str, str] = {}

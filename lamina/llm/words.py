@@ -107,6 +107,11 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def mix_light(h: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of a multiply-shift hash."""
+    return (h >> U64(32)).astype(np.uint32)
+
+
 def one_hash(word: str) -> int:
     raw = np.frombuffer(word.encode(), dtype=np.uint8)
     return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fm, neardup, pii, quality, tables, tokenfile
+from . import bpe, fm, linedup, neardup, pii, quality, tables, tokenfile
 
 
 def public_file(name: str) -> str:
@@ -44,7 +44,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_report(tables.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op9_line_dedup)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fm, linedup, neardup, pii, quality, tables, tokenfile
+from . import bpe, fm, linedup, neardup, pii, quality, tables, tokenfile, winnow
 
 
 def public_file(name: str) -> str:
@@ -22,6 +22,10 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.toxicity(tables.documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(tables.documents(spark, sf_dir))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(tables.documents(spark, sf_dir), public_file("byte_bpe_50k.json")).drop("same")
 
@@ -48,7 +52,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(tables.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op9_line_dedup)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fm, linedup, neardup, pii, quality, tables, tokenfile, winnow
+from . import bpe, decontam, fm, linedup, neardup, pii, quality, tables, tokenfile, winnow
 
 
 def public_file(name: str) -> str:
@@ -48,11 +48,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, out)
 
 
+def op8_decontaminate_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(tables.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(tables.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op8_decontaminate_fm, op9_line_dedup)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables
 ORACLES: dict[str, str] = {}

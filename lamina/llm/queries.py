@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fm, linedup, neardup, pii, quality, tables, tokenfile, winnow
+from . import bpe, decontam, fm, linedup, neardup, pii, pst, quality, tables, tokenfile, winnow
 
 
 def public_file(name: str) -> str:
@@ -56,7 +56,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_report(tables.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op8_decontaminate_fm, op9_line_dedup)}
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.scores(tables.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op8_decontaminate_fm, op9_line_dedup, op10_suffix_tree_lm)}
 
 #: DuckDB SQL, where SQL can express a query over whole tables
 ORACLES: dict[str, str] = {}

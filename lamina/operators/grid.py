@@ -194,11 +194,11 @@ def sharpen(coarse: DataFrame, fine: DataFrame, factor: int, value: str, cls: st
     means = both.filter(F.col(value).isNotNull()).groupBy(cls).agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("__mean"))
     means = F.broadcast(means)  # a row a class
     expected = both.join(means, cls).groupBy("row", "col").agg(F.sum(F.col("__w") * F.col("__mean")).alias("__e"), F.first(value).alias(value))
-    ratio = fill_multiscale(expected.select("row", "col", (F.col(value) / F.nullif(F.col("__e"), F.lit(0.0))).alias("__r")), "__r")
+    ratio = fill_multiscale(expected.select("row", "col", (F.col(value) / F.nullif(F.col("__e"), F.lit(0.0))).alias("__ratio")), "__ratio")
     cap = coarse.agg((3 * F.max(value) / F.avg(value)).alias("__cap"))
-    ratio = ratio.join(F.broadcast(cap), how="cross").select("row", "col", F.least("__r", "__cap").alias("__r"))
-    back = resample_bilinear(ratio, fine, factor, "__r")
-    return fine.join(back, ["row", "col"]).join(means, cls, "left").withColumn(value, F.col("__mean") * F.col("__r")).drop("__mean", "__r")
+    ratio = ratio.join(F.broadcast(cap), how="cross").select("row", "col", F.least("__ratio", "__cap").alias("__ratio"))
+    back = resample_bilinear(ratio, fine, factor, "__ratio")
+    return fine.join(back, ["row", "col"]).join(means, cls, "left").withColumn(value, F.col("__mean") * F.col("__ratio")).drop("__mean", "__ratio")
 
 
 def tile_with_buffer(df: DataFrame, tile: int, buffer: int) -> DataFrame:

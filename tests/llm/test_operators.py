@@ -1,0 +1,268 @@
+"""The operators against brute force, with nulls, empty and long texts, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lamina.llm import bpe, decontam, fm, linedup, neardup, pii, pst, quality, tokenfile, winnow
+
+from . import brute
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, h long, key long, row long, c long, rep long"
+VOCAB = [a + b for a in ("th", "er", "on", "an", "ré", "ß") for b in ("", "ea", "ti", "or", "en", "st", "ha")]
+
+
+def texts(seed=1, n=60):
+    """Random texts, near and exact copies, repeated lines, empties, one long text."""
+    r = random.Random(seed)
+    line = lambda k: " ".join(r.choice(VOCAB) + str(r.randrange(40)) for _ in range(k))
+    out = ["\n".join(line(r.randrange(1, 30)) for _ in range(r.randrange(1, 5))) for _ in range(n)]
+    for i in range(0, n, 4):  # near copies, more and less alike
+        w = out[i].split(" ")
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        out.append(" ".join(w))
+    out += [out[0], out[0], out[1].upper(), out[2] + "\n" + out[3].split("\n")[0], "", " \n\t", "a", "A b", "one two three four five", line(3000)]
+    return out
+
+
+def frame(spark, rows, empty=False):
+    full = [(d, t, "en", "s", len(t or ""), 0.5, 1, 2, 3, 4, 5, 6) for d, t in rows]
+    df = spark.createDataFrame(full, SCHEMA)
+    return df.limit(0) if empty else df.repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return list(enumerate(texts()))
+
+
+@pytest.fixture(scope="module")
+def odd(rows):
+    return [*rows, (len(rows), None), (None, "null id text here"), (None, None), rows[5], rows[5]]
+
+
+def path(name):
+    return pytest.importorskip("public_tokenizers").path(name)
+
+
+def library(name):
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(path(name))
+    return lambda t: tok.encode(t or "", add_special_tokens=False).ids, tok
+
+
+def test_bpe_equals_the_library(spark, odd):
+    encode, tok = library("byte_bpe_50k.json")
+    more = [(1000, "x" * 5000 + "yz" * 3000), (1001, "的一是" * 900), (1002, "a  b\n\n c\t'd it's <|endoftext|> 12é"), (1003, "\x1c  ’s")]
+    out = bpe.encode_decode(frame(spark, [*odd, *more]), path("byte_bpe_50k.json"), leaf=64, keep_text=True).collect()
+    want = {(d, t or "") for d, t in [*odd, *more]}
+    assert len(out) == len(odd) + len(more)
+    for r in out:
+        assert r.same and (r.doc_id, r.decoded) in want
+        ids = np.array(encode(r.decoded), "<u4").tobytes()
+        assert r.ids == ids and r.n_tokens == len(ids) // 4 and r.ids_sha256 == hashlib.sha256(ids).hexdigest()
+        assert r.decoded == tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    assert bpe.encode_decode(frame(spark, odd, True), path("byte_bpe_50k.json")).count() == 0
+
+
+def test_token_files_round_trip(spark, odd, tmp_path):
+    encode, _ = library("word_bpe_49k.json")
+    for k, part in enumerate((odd, [])):
+        tokenfile.write(frame(spark, part or odd, not part), path("word_bpe_49k.json"), str(tmp_path / str(k)), partitions=3)
+        out = sorted(tokenfile.read(spark, str(tmp_path / str(k)), with_ids=True).collect(), key=lambda r: r.start)
+        assert len(out) == len(part)
+        at, names = 0, []
+        for r in out:
+            assert r.start == at and r.n_tokens == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids)
+            at += r.n_tokens
+            names.append(-1 if r.doc_id is None else r.doc_id)
+        assert names == sorted(names)
+        ids = {r.doc_id: r.ids for r in out if r.doc_id is not None}
+        for d, t in part:
+            if d is not None:
+                assert ids[d] == np.array([*encode(t), 2], "<u4").tobytes()
+
+
+def test_pii_equals_the_patterns(spark, odd):
+    r = random.Random(3)
+    bits = ["1", "22", "255", ".", "@", "a", "b-", "+", "-", " ", "4111111111111111", "(", ")", ".com", "256.", "é", "0", "0004", "://", "http", "account "]
+    rows = [*odd, *((2000 + i, "".join(r.choice(bits) for _ in range(r.randrange(40)))) for i in range(400))]
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in s.split(".")), "card": 13 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+    want = {}
+    for d, t in rows:
+        s = ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in kinds.items() for m in re.finditer(p, t or "") if good(k, m[0]))
+        want[d, t] = hashlib.sha256(s.encode()).hexdigest()
+    out = pii.find(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.base_sha256) for r in out) == sorted((str(d), want[d, t]) for d, t in rows)
+    found = pii.Finder().find("see https://a.example/x?y=1 and account no: DE89370400440532013000 or iban GB82 WEST 1234 5698 7654 32")
+    assert len(found["url"]) == 1 and len(found["account"]) == 2
+    assert pii.find(frame(spark, rows, True)).count() == 0
+
+
+def test_near_duplicates(spark, odd):
+    r = random.Random(7)
+    base = [r.choice(VOCAB) + str(r.randrange(99)) for _ in range(80)]
+    family = []
+    for i in range(150):  # a family about the threshold
+        w = list(base)
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(len(w))] = "x" + str(r.randrange(999))
+        family.append((5000 + i, " ".join(w)))
+    rows = [*odd, *family]
+    out = neardup.near_duplicates(frame(spark, rows)).collect()
+    want = brute.near_duplicates(rows)
+    assert len(out) == len(rows)
+    for x in out:
+        if x.doc_id is None:
+            assert x.component_id is None and x.kept
+        else:
+            assert (x.n_shingles, x.component_id, x.kept) == (*want[x.doc_id], want[x.doc_id][1] == x.doc_id)
+    assert neardup.near_duplicates(frame(spark, rows, True)).count() == 0
+    kept = neardup.drop_near_duplicates(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert {x.doc_id for x in kept.collect()} == {None, *(d for d, (_, c) in want.items() if c == d)}
+
+
+def test_bayesian_bounds_keep_true_pairs():
+    for n, m in zip(neardup.BATCHES, neardup.least_matches(0.75, 1e-6), strict=True):
+        assert m < 0.75 * n
+
+
+def test_line_dedup(spark, odd):
+    want = brute.removed_lines(odd[:-2])  # a repeated row is at the same place, so it is no later line
+    out = {r.doc_id: r for r in linedup.line_report(frame(spark, odd)).collect()}
+    for d, t in odd:
+        if d is not None:
+            assert out[d].removed == ",".join(map(str, sorted(set(want[d])))), d
+            assert out[d].n_lines == (0 if t is None else t.count("\n") + 1)
+    clean = {r.doc_id: r for r in linedup.deduplicate(frame(spark, odd[:-5])).collect()}
+    for d, t in odd[:-5]:
+        gone = brute.removed_lines(odd[:-5])[d]
+        left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+        assert clean[d].text == left and clean[d].n_chars == len(left)
+    assert linedup.line_report(frame(spark, odd, True)).count() == 0
+
+
+def test_decontamination(spark, odd):
+    r = random.Random(5)
+    some = [t for _, t in odd if t and len(t.split()) > 20]
+    items = [(i, " ".join(t.split()[3:20]) + " extra words") for i, t in enumerate(some[:9])] + [(50, "one two three"), (51, ""), (52, None), (None, "a"), (0, " ".join(some[0].split()[3:20]) + " extra words"), (53, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*odd, (900, f"zz one TWO-three {some[4]}"), (901, " ".join(r.choice(VOCAB) for _ in range(400)))]
+    for words_ in (2_000_000, 40):  # one block, and many
+        out = decontam.report(frame(spark, rows), bench, block_words=words_).collect()
+        got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in out)
+        assert got == sorted((str(d), *brute.contamination(t, items)) for d, t in rows)
+    assert decontam.report(frame(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontam.clean(frame(spark, rows), bench).columns == frame(spark, rows).columns
+    assert decontam.report(frame(spark, rows, True), bench).count() == 0
+
+
+def test_winnowing(spark, rows):
+    out = {r.doc_id: r for r in winnow.fingerprints(frame(spark, rows)).collect()}
+    down = sorted(rows, reverse=True)
+    seen = {}
+    for i, (d, t) in enumerate(down):
+        ahead = down[(i + 1) % len(down)][1]
+        q = len(t) // 3
+        edited = t[: len(t) - q] + ahead[:q]
+        r = out[d]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert seen.setdefault(t, r.fingerprint) == r.fingerprint
+        if edited == t:
+            assert r.near_edited == 1
+        if len(t.split()) > 60 and len(ahead) > q:
+            assert r.near_edited > 0.4 and r.near_edited > r.near_next
+    odd = [*rows, (None, "some text without an id"), (500, None), rows[3], rows[3]]
+    assert winnow.fingerprints(frame(spark, odd)).count() == len(odd)
+    assert winnow.fingerprints(frame(spark, rows, True)).count() == 0
+
+
+def test_winnowing_chooses_the_rightmost_minimum(spark):
+    df = spark.createDataFrame([(0, " ".join(["a b c"] * 30))], "doc_id long, text string")
+    r = winnow.fingerprints(df).first()
+    at = [int(x.split(":")[1]) for x in r.fingerprint.split(",")]
+    assert at == sorted(at) and at[0] >= 5 and max(b - a for a, b in zip(at[:-1], at[1:], strict=True)) <= winnow.WINDOW
+
+
+def test_suffix_tree_scores(spark, odd):
+    docs = [*odd, *((3000 + i, " ".join(["the cat sat on the mat and the dog ran"] * 8)) for i in range(40))]
+    n, want = brute.base_scores(docs)
+    out = pst.scores(frame(spark, docs)).collect()
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in out)
+    assert got == sorted((str(d), a, b, round(c, 5)) for d, a, b, c in want)
+    assert {r.train_tokens for r in out} == {n}
+    for r in out:
+        assert r.score <= 0 and (r.held_out is None if r.doc_id is None else r.held_out == (brute.remainder(r.doc_id) == 1))
+        if r.doc_id is not None and r.doc_id >= 3000:
+            assert r.score > r.base_score + 20  # its contexts foretell what follows
+    assert pst.scores(frame(spark, docs, True)).count() == 0
+
+
+def labelled_docs(spark, toxic):
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        w = [r.choice(VOCAB) + str(r.randrange(30)) for _ in range(r.randrange(5, 60))]
+        bad = r.random() < 0.3
+        if bad and toxic:
+            w[r.randrange(len(w))] = r.choice(("fool", "scumbag", "loweish"))
+        if bad and not toxic:
+            w = [x + "%%%" for x in w]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(not bad), int(bad)))
+    labels += [(None, 1, 1), (5, None, None), (10**6, 1, 0)]
+    return frame(spark, [*rows, (9000, ""), (9001, None), (None, "x y")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("toxic", [True, False])
+def test_classifiers(spark, toxic):
+    docs, labels = labelled_docs(spark, toxic)
+    f, name = (fm.toxicity, "toxic") if toxic else (quality.quality, "quality")
+    out = f(docs, labels).join(labels.dropDuplicates(["doc_id"]), "doc_id", "left").collect()
+    assert len(out) == 903 and all(0 <= r.score <= 1 for r in out)
+    held = [r for r in out if r.held_out and r[name] is not None]
+    assert len(held) > 100 and np.mean([r.predicted == r[name] for r in held]) > 0.93
+    assert f(docs.limit(0), labels).count() == 0
+    assert all(0 <= r.score <= 1 for r in f(docs, labels.limit(0)).collect())
+
+
+def test_class_prior():
+    r = np.random.default_rng(1)
+    pos, neg = r.normal(2, 1, 3000), r.normal(-2, 1, 1500)
+    mixed = np.concatenate([r.normal(2, 1, 2100), neg[:900]])
+    z = np.concatenate([pos, mixed])
+    assert abs(quality.estimate_prior(z, np.arange(len(z)) < 3000) - 0.7) < 0.08
+
+
+def test_pipeline_is_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled_docs(spark, False)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    first = docs.filter("doc_id = 3").first().text
+    spark.createDataFrame([(1, first)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "line_dedup", "near_dedup", "decontaminate", "bpe"]
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= at.count()
+        at = out
+    encode, _ = library("byte_bpe_50k.json")
+    want = {r.doc_id: len(encode(r.text)) for r in at.collect()}
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and got and 3 not in got

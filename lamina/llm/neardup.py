@@ -10,7 +10,8 @@ A document's set is its distinct 5-word shingles; two are linked if the Jaccard
    decides: P(J >= 0.75) under `miss` drops the pair.
 5. Survivors are verified on the full sets, and linked documents get components.
 6. Pairs of non-pivots that share a bucket but not a component are then compared as well, block by block, so no
-   candidate pair that could join two components is left out. A pair inside one component changes nothing.
+   candidate pair that could join two components is left out. A pair inside one component changes nothing. These pairs have
+   1024 further hashes of one byte (which match with probability J + (1 - J) / 256), as many lie near the threshold.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Repeated rows (same doc_id)
 are each returned. Rows with a null doc_id are returned unlinked with a null component. Extra columns are not read. An
@@ -34,18 +35,21 @@ from .tables import stored
 HASHES, BANDS, ROWS = 128, 32, 4
 BATCHES = (16, 32, 64, 128)
 #: A bucket's pivots are its minima after these bits are flipped
-PIVOTS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x38495AB5165667B1)
-BLOCK = 256
+PIVOTS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
+BLOCK = 1024
+BYTES, BYTE_BATCHES = 1024, (32, 64, 128, 256, 512, 1024)
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, HASHES + BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, HASHES + BYTES, dtype=np.uint64)
+#: Ids (8 bytes each) that are broadcast to pick texts; more are joined by a shuffle
+FEW_IDS = 1 << 21
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
+def least_matches(threshold: float, miss: float, batches: tuple[int, ...] = BATCHES) -> list[int]:
     """For each batch, the fewest matches that keep a pair: with a uniform prior, P(J >= t | m of n) = P(Bin(n + 1, t) <= m)."""
     out = []
-    for n in BATCHES:
+    for n in batches:
         tail, m = 0.0, 0
         while True:
             tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -89,6 +93,29 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, digest long, sig binary")
 
 
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in the stored table ids."""
+    small = ids.count() <= FEW_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
+def byte_signatures(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """rep and sig (1024 bytes) of the documents in ids, none of which is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, bounds in words.hashed_words(batch.column(1), words.NOT_SPACE):
+                s, at = words.shingles(h, bounds, k)
+                sig = np.zeros((j - i, BYTES), np.uint8)
+                with np.errstate(over="ignore"):
+                    for p in range(BYTES if len(s) else 0):
+                        sig[:, p] = np.minimum.reduceat(words.mix_light(s * _A[HASHES + p] + _B[HASHES + p]), at[:-1]) & 255
+                yield pa.RecordBatch.from_pydict({"rep": batch.column(0).slice(i, j - i), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+
+    return picked(docs, ids).mapInArrow(run, "rep long, sig binary").dropDuplicates(["rep"])
+
+
 def band_keys(reps: DataFrame) -> DataFrame:
     """key and rep, once for each band."""
 
@@ -126,8 +153,8 @@ def plausible(pairs: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
+    texts = picked(docs, ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +186,7 @@ def block_pairs(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFr
 
     def run(table: pa.Table) -> pa.Table:
         at, i, j = table["at"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-        rep, c, sig = table["rep"].to_numpy(), table["c"].to_numpy(), _matrix(table["sig"].combine_chunks())
+        rep, c, sig = table["rep"].to_numpy(), table["c"].to_numpy(), np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), BYTES)
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
         found = []
         for s in range(0, len(left), 32):
@@ -169,7 +196,7 @@ def block_pairs(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFr
                 once = x < y
                 x, y = x[once], y[once]
             hits, before = np.zeros(len(x), np.int64), 0
-            for n, m in zip(BATCHES, least, strict=True):
+            for n, m in zip(BYTE_BATCHES, least, strict=True):
                 hits += (sig[x, before:n] == sig[y, before:n]).sum(axis=1)
                 keep = hits >= m
                 x, y, hits, before = x[keep], y[keep], hits[keep], n
@@ -180,7 +207,7 @@ def block_pairs(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFr
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, miss: float = 1e-5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     tables.small_batches(docs.sparkSession)
     least = least_matches(percent / 100, miss)
@@ -200,7 +227,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, miss: flo
     others = others.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     others = stored(others, "others")
     mixed = stored(others.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key", "n"), "mixed")
-    more = stored(block_pairs(others.join(mixed, "key"), reps, least), "more")
+    others = stored(others.join(mixed, "key"), "mixed-members")
+    sigs = stored(byte_signatures(docs, stored(others.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids"), k), "byte-signatures")
+    bar = percent / 100
+    more = stored(block_pairs(others, sigs, least_matches(bar + (1 - bar) / 256, miss, BYTE_BATCHES)), "more")
     joining = stored(verified(more, docs, k, percent), "joining")
     name = lambda x: labels.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"))
     between = joining.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -1,20 +1,21 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line (text between newlines) is its set of lower-cased words. A line is removed if an earlier line, by (doc_id, line number), has Jaccard
-similarity `percent` or more with it; the earlier line counts whether or not it is removed itself. Lines of fewer than
-`least` distinct words are kept.
-
-1. A pass over all words counts 65,536 hash buckets; a word's rarity is its bucket's count, then its length. Any fixed order
-   gives the same result; rare words first give few candidates.
-2. Equal sets fall together in one aggregation, whose first line goes on: every other copy is removed.
-3. With words in order of rarity, similar lines share a word among the first n - ceil(t n) + 1. Words shared by two lines give that
-   pair; for words shared by more, each line first meets the earliest, and only lines that stay meet the others,
-   under the length and positional filters.
+A line (text between newlines) is the set of its 5-word shingles, lower-cased; a line of fewer words has its whole sequence as one. A line
+is removed if an earlier line, by (doc_id, line number), has Jaccard similarity `percent` or more with it; the earlier line
+counts whether or not it is removed itself. Lines of fewer than `least` words are kept.
+
+1. A pass over all words counts 65,536 hash buckets; a token is as rare as its first word's bucket. Any fixed order gives the same
+   result; rare tokens first give few candidates.
+2. Equal sets share a digest; the first line of a digest stays, every other copy is removed.
+3. With tokens in order of rarity, similar lines share one among the first n - ceil(t n) + 1. Tokens of one digest only are dropped in one
+   aggregation. Of the others, each line first meets the earliest line of the token, and only lines that stay meet the
+   rest, under the length and positional filters and a bound from parity bitmaps: sets differ in at least as many tokens as
+   their bitmaps do in bits.
 4. Candidates are verified on their full sets.
 
-Null texts have no lines; empty texts have one empty line, which is kept. Repeated doc_ids raise no error: lines at the same
-place count as one line, the text with the smaller set digest first. Rows with a null doc_id are left as they are. doc_ids are to lie within
-39 bits and lines within 2^24 a document. Extra columns are not read by removed_lines and kept by deduplicate.
+Null texts have no lines; empty texts have one empty line, which is kept. Rows with a null doc_id are left as they are.
+Of rows with a repeated doc_id, lines at the same place are removed together if one of them is. doc_ids are to lie within
+39 bits and lines within 2^24 a document. Extra columns are not read by removed_lines and are kept by deduplicate.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 BUCKETS = 1 << 16
+K = 5
+#: Rows of 8 bytes that are broadcast; more are joined by a shuffle
+FEW = 1 << 21
+#: Words of a line's parity bitmap
+BITS = 8
 SPACES = "[ \\t\\x0B\\f\\r]+"
 
 
-def _word(w: Column) -> Column:
-    """A word's number: longer words first, then its hash."""
-    return F.shiftleft(F.lit(63).cast("long") - F.least(F.length(w), F.lit(63)), 50).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 50) - 1)))
-
-
 def rarity(docs: DataFrame) -> Column:
     """Classes (two a power of two) of the counts of all hash buckets, as a constant array of fixed size."""
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
@@ -46,12 +47,18 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def lines(docs: DataFrame, classes: Column, least: int) -> DataFrame:
-    """pos, digest, n and codes (words by rarity) of each line with at least `least` distinct words."""
+    """pos, digest, n and codes (tokens by rarity) of each line; n and codes are NULL if it has fewer than `least` words.
+
+    Those rows are filtered where the result is read again: a filter here would evaluate the tokens twice.
+    """
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(_pos().alias("pos"), F.array_distinct(F.transform(F.array_remove(F.split(F.lower("line"), SPACES), ""), _word)).alias("words")).filter(F.size("words") >= least)
-    code = lambda e: F.shiftleft(F.get(classes, e.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(e)
-    rows = rows.select("pos", F.sort_array(F.transform("words", code)).alias("codes"))
-    return rows.select("pos", F.xxhash64("codes").alias("digest"), F.size("codes").alias("n"), "codes")
+    rows = rows.select(_pos().alias("pos"), F.transform(F.array_remove(F.split(F.lower("line"), SPACES), ""), lambda w: F.xxhash64(w)).alias("h"))
+    # single elements, as a slice would copy the array at every step; beyond the end they are NULL, which a hash passes over
+    rank = lambda i: F.get(classes, F.get("h", i).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    token = lambda i: F.shiftleft(rank(i), 56).bitwiseOR(F.xxhash64(*[F.get("h", i + j) for j in range(K)]).bitwiseAND(F.lit((1 << 56) - 1)))
+    codes = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - K, F.lit(0))), token)))
+    rows = rows.select("pos", F.when(F.size("h") >= least, codes).alias("codes"))
+    return rows.select("pos", F.xxhash64("codes").alias("digest"), F.when(F.col("codes").isNotNull(), F.size("codes")).alias("n"), "codes")
 
 
 def _pos() -> Column:
@@ -62,42 +69,63 @@ def _doc(pos: str) -> Column:
     return F.shiftright(F.col(pos), 24)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: Column, least: int, percent: int) -> DataFrame:
+def full_sets(places: DataFrame, docs: DataFrame, classes: Column, least: int) -> DataFrame:
+    """pos, codes and a parity bitmap (BITS words of 64 bits) of each place.
+
+    A token flips the bit it hashes to, so two bitmaps differ in at most as many bits as their sets do in tokens.
+    """
+    ids = stored(places.select(_doc("pos").alias("doc_id")).distinct(), "line-docs")
+    small = ids.count() <= FEW
+    some = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    sets = stored(lines(some, classes, least).select("pos", "digest", "codes").join(places, "pos", "left_semi").groupBy("pos").agg(F.min_by("codes", "digest").alias("codes")), "line-sets")
+    bit = F.expr("shiftleft(1L, cast(e & 63 as int))")
+    word = F.col("e").bitwiseAND(F.lit(64 * BITS - 1)).cast("long")
+    maps = sets.select("pos", F.explode("codes").alias("e")).groupBy("pos").agg(*[F.coalesce(F.bit_xor(F.when(F.shiftright(word, 6) == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(BITS)])
+    return stored(sets.join(maps, "pos"), "line-full")
+
+
+def apart(x: str, y: str) -> Column:
+    """In how many bits the bitmaps of both sides differ."""
+    return sum((F.bit_count(F.col(f"{x}m{i}").bitwiseXOR(F.col(f"{y}m{i}"))) for i in range(BITS)), F.lit(0))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines of the pairs (a, b) whose full sets are similar, a being the earlier."""
-    ends = pairs.select(F.col("a").alias("pos")).union(pairs.select(F.col("b").alias("pos"))).distinct()
-    ends = stored(ends, "line-ends")
-    some = docs.join(ends.select(_doc("pos").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = stored(lines(some, classes, least).join(ends, "pos", "left_semi").groupBy("pos").agg(F.min_by("codes", "digest").alias("codes")), "line-sets")
     both = pairs.join(sets.select(F.col("pos").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("pos").alias("b"), F.col("codes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b").alias("pos")).distinct()
 
 
-def removed_lines(docs: DataFrame, *, percent: int = 80, least: int = 3, few: int = 1 << 20) -> DataFrame:
+def removed_lines(docs: DataFrame, *, percent: int = 75, least: int = 3) -> DataFrame:
     """doc_id and line_no of each line to remove."""
     docs = docs.select("doc_id", "text")
     classes = rarity(docs)
     size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    # a place holds one line; of repeated doc_ids the smaller digest
-    rows = stored(lines(docs, classes, least).select("pos", "digest", "n", F.slice("codes", 1, size).alias("head")), "lines")
-    firsts = stored(rows.groupBy("digest").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("head").alias("head")), "line-firsts")
-
-    post = firsts.select("pos", "n", F.posexplode("head").alias("i", "code"))
-    shared = stored(post.groupBy("code").agg(F.count("*").alias("c"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).filter("c > 1"), "line-shared")
-    many = shared.filter("c > 2")
-    hint = F.broadcast if many.count() <= few else (lambda x: x)  # 16 bytes a row
-    lists = stored(post.join(hint(many.select("code", "lo")), "code"), "line-lists")
-    pairs = shared.filter("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(lists.filter("lo < pos").select(F.col("lo").alias("a"), F.col("pos").alias("b"))).filter("a < b")
-    pairs = stored(pairs.distinct(), "line-pairs")
-    gone = stored(verified(pairs, docs, classes, least, percent), "line-gone")
-
-    # lines that stay so far against every earlier line of their lists but the first
-    stay = lists.join(gone, "pos", "left_anti").filter("lo < pos").select("code", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    early = lists.filter("lo < pos").select("code", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    rows = stored(lines(docs, classes, least).select("pos", "digest", "n", F.slice("codes", 1, size).alias("head")), "lines").filter("n is not null")
+    firsts = stored(rows.groupBy("digest").agg(F.min("pos").alias("pos")), "line-firsts")
+
+    post = rows.select("digest", "n", F.posexplode("head").alias("i", "code"))
+    shared = stored(post.groupBy("code").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("code"), "line-shared")
+    hint = F.broadcast if shared.count() <= FEW else (lambda x: x)
+    found = stored(post.join(hint(shared), "code").distinct(), "line-found")
+    lists = stored(found.join(firsts, "digest").select("code", "pos", "n", "i"), "line-lists")
+    sets = full_sets(stored(lists.select("pos").distinct(), "line-ends"), docs, classes, least)
+    lists = stored(lists.join(sets.drop("codes"), "pos"), "line-mapped")
+    early = stored(lists.groupBy("code").agg(F.min("pos").alias("lo")), "line-early")
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) + F.least("ia", "ib") >= need)
-    more = stored(stay.join(early, "code").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-more")
-    late = verified(more, docs, classes, least, percent)
+    fits &= apart("a", "b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    maps = lambda x: [F.col(f"m{i}").alias(f"{x}m{i}") for i in range(BITS)]
+    later = lists.select("code", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *maps("b"))
+    ahead = lists.select("code", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *maps("a"))
+    first = ahead.join(early.select("code", F.col("lo").alias("a")), ["code", "a"])
+    pairs = stored(later.join(first, "code").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "line-pairs")
+    gone = stored(verified(pairs, sets, percent), "line-gone")
+
+    # lines that stay so far against every earlier line of their lists; the filters are part of the join
+    stay = later.join(gone.select(F.col("pos").alias("b")), "b", "left_anti")
+    more = stored(stay.join(ahead, "code").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-more")
+    late = verified(more, sets, percent)
 
     near = stored(gone.union(late).distinct(), "line-near")
     kept = stored(firsts.select("pos").join(near, "pos", "left_anti"), "line-kept")

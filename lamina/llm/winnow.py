@@ -47,10 +47,11 @@ def chosen(df: DataFrame, text: str, chars: str, out: str) -> DataFrame:
     units = F.array_remove(F.when(F.col(chars), F.split(low, "")).otherwise(F.split(low, "\\s+")), "")
     k = F.when(F.col(chars), F.lit(CHAR_K)).otherwise(F.lit(WORD_K))
     df = df.withColumn("__h", F.transform(units, lambda u: F.xxhash64(u)))
-    gram = lambda i: F.xxhash64(F.slice("__h", i, k))
-    code = lambda i: F.shiftleft(gram(i).bitwiseAND(F.lit(MASK)), 31).bitwiseOR(F.lit(MASK) - i.cast("long") + 1)
-    df = df.withColumn("__c", F.when(F.size("__h") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__h") - k + 1, F.lit(1))), code)))
-    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__c") - WINDOW + 1, F.lit(1))), lambda i: F.array_min(F.slice("__c", i, WINDOW)))
+    # single elements, as a slice would copy the array at every step; NULLs add nothing to a hash or a minimum
+    parts = lambda i: [F.get("__h", i + j) if j < WORD_K else F.when(F.col(chars), F.get("__h", i + j)) for j in range(CHAR_K)]
+    code = lambda i: F.shiftleft(F.xxhash64(*parts(i)).bitwiseAND(F.lit(MASK)), 31).bitwiseOR(F.lit(MASK) - i.cast("long"))
+    df = df.withColumn("__c", F.when(F.size("__h") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("__h") - k, F.lit(0))), code)))
+    least = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__c") - WINDOW, F.lit(0))), lambda i: F.least(*[F.get("__c", i + j) for j in range(WINDOW)]))
     df = df.withColumn(out, F.when(F.size("__c") == 0, F.col("__c")).otherwise(F.array_distinct(least)))
     return df.drop("__h", "__c")
 
@@ -76,11 +77,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     each document gets a third of the next one's text and its hashes.
     """
     links = stored(next_documents(docs), "next")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ahead = base.join(links.select(F.col("doc_id").alias("cur"), F.col("next_id").alias("doc_id"), "third"), "doc_id")
+    # a cast that changes nothing would keep the two joins from using one exchange
+    ids = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    every = docs.select(ids, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = every.filter("doc_id is not null")  # the same exchange serves both joins
+    ahead = base.join(links.select(F.col("doc_id").alias("cur"), F.col("next_id").alias("doc_id"), "third").hint("merge"), "doc_id")
     ahead = chosen(ahead.withColumn("chars", by_characters(F.col("text"))), "text", "chars", "codes")
     ahead = ahead.select("cur", F.struct(F.expr("substring(text, 1, cast(third as int))").alias("start"), hashes("codes").alias("set")).alias("ahead")).groupBy("cur").agg(F.max("ahead").alias("ahead"))
-    wide = base.join(ahead, base["doc_id"] == ahead["cur"], "left").select("doc_id", "text", F.col("ahead.start").alias("start"), F.col("ahead.set").alias("next_set"))
+    wide = base.join(ahead.hint("merge"), base["doc_id"] == ahead["cur"], "left").select("doc_id", "text", F.col("ahead.start").alias("start"), F.col("ahead.set").alias("next_set"))
+    wide = wide.union(every.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("string"), F.lit(None).cast("array<int>")))
     wide = wide.withColumn("n_chars", F.length("text").cast("long"))
     wide = wide.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), coalesce(substring(start, 1, cast(n_chars div 3 as int)), ''))"))
     wide = wide.withColumn("chars", by_characters(F.col("text"))).drop("start")

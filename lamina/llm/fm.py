@@ -73,11 +73,11 @@ def known(names: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray
     return pair // len(names), pair % len(names)
 
 
-def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float = 15.0, terms: int = 1 << 16, epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float = 15.0, terms: int = 1 << 16, epochs: int = 8, steps: int = 800, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
     """Fit to a bounded table of text and label (0 or 1).
 
     Spark makes the term sets and their document frequencies; the rows that come to the driver are numbers of known terms,
-    bounded by the sample. AdaGrad over shuffled mini-batches with a fixed seed.
+    bounded by the sample. AdaGrad over shuffled mini-batches with a fixed seed, for `epochs` passes and `steps` steps at least.
     """
     spark = texts.sparkSession
 
@@ -117,7 +117,7 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float
     order = np.lexsort((np.array([int(x.sum()) for x in sets_]), y))  # the same whatever the partitions
     y, sets_ = y[order], [sets_[i] for i in order]
     gw, gv, g0 = np.full(len(names), 1e-2), np.full((len(names), rank), 1e-2), 1e-2
-    for epoch in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(y)))):
         perm = rng.permutation(len(y))
         for k in range(0, len(y), batch):
             pick = perm[k : k + batch]

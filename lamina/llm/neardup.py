@@ -101,17 +101,21 @@ def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def byte_signatures(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """rep and sig (1024 bytes) of the documents in ids, none of which is empty."""
+    """rep and sig (1024 byte hashes, then the 128 minima of signatures()) of the documents in ids, none of which is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, bounds in words.hashed_words(batch.column(1), words.NOT_SPACE):
                 s, at = words.shingles(h, bounds, k)
-                sig = np.zeros((j - i, BYTES), np.uint8)
+                sig, own = np.zeros((j - i, BYTES), np.uint8), np.zeros((j - i, HASHES), np.uint32)
                 with np.errstate(over="ignore"):
-                    for p in range(BYTES if len(s) else 0):
-                        sig[:, p] = np.minimum.reduceat(words.mix_light(s * _A[HASHES + p] + _B[HASHES + p]), at[:-1]) & 255
-                yield pa.RecordBatch.from_pydict({"rep": batch.column(0).slice(i, j - i), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+                    for p in range(HASHES + BYTES if len(s) else 0):
+                        least = np.minimum.reduceat(words.mix_light(s * _A[p] + _B[p]), at[:-1])
+                        if p < HASHES:
+                            own[:, p] = least
+                        else:
+                            sig[:, p - HASHES] = least & 255
+                yield pa.RecordBatch.from_pydict({"rep": batch.column(0).slice(i, j - i), "sig": pa.array([x.tobytes() + y.tobytes() for x, y in zip(sig, own, strict=True)], pa.binary())})
 
     return picked(docs, ids).mapInArrow(run, "rep long, sig binary").dropDuplicates(["rep"])
 
@@ -121,16 +125,22 @@ def band_keys(reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = _matrix(b.column(1)).astype(np.uint64).reshape(-1, BANDS, ROWS)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
-            with np.errstate(over="ignore"):
-                for r in range(ROWS):
-                    key = words.mix(key * np.uint64(3) + sig[:, :, r])
+            key = _keys(_matrix(b.column(1)))
             yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel().view(np.int64)), "rep": pa.array(np.repeat(b.column(0).to_numpy(), BANDS))})
 
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    sig = sig.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            key = words.mix(key * np.uint64(3) + sig[:, :, r])
+    return key
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
@@ -178,7 +188,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def block_pairs(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
     """Plausible pairs of members (key, rep, c, n) of one bucket and different components.
 
-    A bucket of more than BLOCK members is dealt into blocks, and each pair of blocks is a group of its own.
+    A bucket of more than BLOCK members is dealt into blocks, and each pair of blocks is a group of its own. A pair is given
+    out in the first bucket that it shares only: there both are no pivots as well, or else a star has tested it.
     """
     g = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(reps.select("rep", "sig"), "rep").withColumn("g", g).withColumn("at", F.pmod(F.xxhash64("rep", "key"), F.col("g")).cast("int"))
@@ -186,7 +197,9 @@ def block_pairs(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFr
 
     def run(table: pa.Table) -> pa.Table:
         at, i, j = table["at"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-        rep, c, sig = table["rep"].to_numpy(), table["c"].to_numpy(), np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), BYTES)
+        rep, c, sig = table["rep"].to_numpy(), table["c"].to_numpy(), np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), BYTES + 4 * HASHES)
+        own = sig[:, BYTES:].copy().view(np.uint32)
+        band = int(np.flatnonzero(_keys(own[:1])[0].view(np.int64) == table["key"][0].as_py())[0])
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
         found = []
         for s in range(0, len(left), 32):
@@ -200,6 +213,9 @@ def block_pairs(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFr
                 hits += (sig[x, before:n] == sig[y, before:n]).sum(axis=1)
                 keep = hits >= m
                 x, y, hits, before = x[keep], y[keep], hits[keep], n
+            if len(x):
+                first = (own[x] == own[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                x, y = x[first], y[first]
             found.append((rep[x], rep[y]))
         a, b = (np.concatenate([f[t] for f in found]) if found else np.zeros(0, np.int64) for t in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})

@@ -77,6 +77,8 @@ def full_sets(places: DataFrame, docs: DataFrame, classes: Column, least: int) -
     ids = stored(places.select(_doc("pos").alias("doc_id")).distinct(), "line-docs")
     small = ids.count() <= FEW
     some = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    if places.count() <= FEW:  # else the sets of all lines of these documents are shuffled to meet them
+        places = F.broadcast(places)
     sets = stored(lines(some, classes, least).select("pos", "digest", "codes").join(places, "pos", "left_semi").groupBy("pos").agg(F.min_by("codes", "digest").alias("codes")), "line-sets")
     bit = F.expr("shiftleft(1L, cast(e & 63 as int))")
     word = F.col("e").bitwiseAND(F.lit(64 * BITS - 1)).cast("long")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct
+from ..sources.checkpoints import cut
 
 
 def cell_xy(df: DataFrame, grids: DataFrame, cell: str = "cell", site: str = "site") -> DataFrame:
@@ -138,20 +139,36 @@ def fill_multiscale(df: DataFrame, value: str, zero_to_null: bool = False, mask_
 
 
 def fill_idw(df: DataFrame, target: DataFrame, value: str, k: int = 10, power: float = 2, bucket: int = 8, rings: int = 2) -> DataFrame:
-    """G12. Inverse-distance weighted mean of the k nearest known cells within `rings` buckets of side `bucket`.
+    """G12. Inverse-distance weighted mean of the k nearest known cells, or of all if there are fewer.
 
-    An equi-join on buckets bounds what a target meets; a target with fewer than k known cells there takes those it has.
+    An equi-join on buckets of side `bucket` bounds what a target meets: those within `rings` buckets hold all cells up to rings * bucket
+    away. Targets whose k-th cell is farther, or that have fewer than k, are sought again with buckets of twice the side, until
+    none is left or the buckets cover the grid.
     """
     known = df.filter(F.col(value).isNotNull()).select(F.col("row").alias("kr"), F.col("col").alias("kc"), F.col(value).alias("kv"))
-    known = known.withColumn("br", F.floor(F.col("kr") / bucket).cast("int")).withColumn("bc", F.floor(F.col("kc") / bucket).cast("int"))
     offs = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)])
-    want = target.select("row", "col").withColumn("o", F.explode(offs)).select("row", "col", (F.floor(F.col("row") / bucket) + F.col("o.r")).cast("int").alias("br"), (F.floor(F.col("col") / bucket) + F.col("o.c")).cast("int").alias("bc"))
     d2 = (F.col("row") - F.col("kr")) ** 2 + (F.col("col") - F.col("kc")) ** 2
-    pairs = want.join(known, ["br", "bc"]).withColumn("d2", d2.cast("double"))
     rank = F.row_number().over(Window.partitionBy("row", "col").orderBy("d2", "kr", "kc"))
     w = F.when(F.col("d2") == 0, 1e12).otherwise(F.pow("d2", F.lit(-power / 2)))
-    near = pairs.withColumn("__k", rank).filter(F.col("__k") <= k).groupBy("row", "col").agg((F.sum(w * F.col("kv")) / F.sum(w)).alias(value))
-    return target.select("row", "col").join(near, ["row", "col"], "left")
+    ends = known.select("kr", "kc").union(target.select("row", "col")).agg(F.max("kr") - F.min("kr"), F.max("kc") - F.min("kc")).first()  # two numbers
+    span, left, found = max(ends[0] or 0, ends[1] or 0), target.select("row", "col").distinct(), None
+    while True:
+        at = known.withColumn("br", F.floor(F.col("kr") / bucket).cast("int")).withColumn("bc", F.floor(F.col("kc") / bucket).cast("int"))
+        want = left.withColumn("o", F.explode(offs)).select("row", "col", (F.floor(F.col("row") / bucket) + F.col("o.r")).cast("int").alias("br"), (F.floor(F.col("col") / bucket) + F.col("o.c")).cast("int").alias("bc"))
+        pairs = want.join(at, ["br", "bc"]).withColumn("d2", d2.cast("double"))
+        near = pairs.withColumn("__k", rank).filter(F.col("__k") <= k).groupBy("row", "col").agg((F.sum(w * F.col("kv")) / F.sum(w)).alias(value), F.count("*").alias("__n"), F.max("d2").alias("__far"))
+        reach = rings * bucket + 1  # what is not met is at least so far away
+        if reach <= span:
+            near = cut(near.filter((F.col("__n") >= k) & (F.col("__far") < reach**2)))
+        near = near.select("row", "col", value)
+        found = near if found is None else found.union(near)
+        if reach > span:
+            break
+        left = cut(left.join(near, ["row", "col"], "left_anti"))
+        if left.isEmpty():
+            break
+        bucket *= 2
+    return target.select("row", "col").join(found, ["row", "col"], "left")
 
 
 def extract_at_points(points: DataFrame, df: DataFrame, value: str, res: float = 1.0, x: str = "x", y: str = "y") -> DataFrame:

@@ -149,3 +149,16 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(str(r.day), r.tmin, r.tmax, r.tmean) for r in spark.table("daily_out").collect()] == [("2020-01-01", 1.0, 3.0, 2.0)]
+
+
+def test_idw_takes_the_nearest_across_wide_gaps(spark):
+    """A gap of 60 cells, cells known on one side only, and two known cells alone."""
+    known = [(r, c, float(r * 7 + c)) for r in range(0, 90, 3) for c in range(0, 90, 3) if not (10 <= r < 70 and 10 <= c < 70)]
+    for cells, targets in ((known, [(40, 40), (12, 30), (0, 1), (69, 69), (200, 5)]), (known[:2], [(0, 1), (60, 60)]), ([(r, c, v) for r, c, v in known if c > 70] + [(40, 40, 1.0)], [(40, 41), (40, 66)])):
+        df = spark.createDataFrame(cells, "row int, col int, value double")
+        got = {(r.row, r.col): r.value for r in grid.fill_idw(df, spark.createDataFrame(targets, "row int, col int"), "value").collect()}
+        assert len(got) == len(targets)
+        for r, c in targets:
+            best = sorted(((r - a) ** 2 + (c - b) ** 2, a, b, v) for a, b, v in cells)[:10]
+            w = [1e12 if d == 0 else 1 / d for d, *_ in best]
+            assert near(got[r, c], sum(x * y[3] for x, y in zip(w, best, strict=True)) / sum(w))

@@ -23,7 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line resembles; documents of which nothing is left go."""
     had = F.col("text").isNull() | (F.trim("text") == "")
-    out = linedup.deduplicate(docs.withColumn("__had", ~had))
+    out = linedup.deduplicate(docs.withColumn("__had", ~had), **linedup.WORDS)
     return out.filter(~F.col("__had") | (F.trim("text") != "")).drop("__had")
 
 

@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line (text between newlines) is the set of its 5-word shingles, lower-cased; a line of fewer words has its whole sequence as one. A line
-is removed if an earlier line, by (doc_id, line number), has Jaccard similarity `percent` or more with it; the earlier line
+A line (text between newlines) is the set of its shingles of `k` lower-cased words; a line of fewer words has its whole sequence as one. The query
+and the pipeline take single words (`WORDS`). A line is removed if an earlier line, by (doc_id, line number), has Jaccard similarity `percent` or more with it; the earlier line
 counts whether or not it is removed itself. Lines of fewer than `least` words are kept.
 
 1. A pass over all words counts 65,536 hash buckets; a token is as rare as its first word's bucket. Any fixed order gives the same
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 BUCKETS = 1 << 16
-K = 5
+#: What the query and the pipeline take: sets of words at a similarity of 0.8, of every line that has a word
+WORDS = {"k": 1, "percent": 80}
 #: Rows of 8 bytes that are broadcast; more are joined by a shuffle
 FEW = 1 << 21
 #: Words of a line's parity bitmap
@@ -46,7 +47,7 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")
 
 
-def lines(docs: DataFrame, classes: Column, least: int) -> DataFrame:
+def lines(docs: DataFrame, classes: Column, least: int, k: int) -> DataFrame:
     """pos, digest, n and codes (tokens by rarity) of each line; n and codes are NULL if it has fewer than `least` words.
 
     Those rows are filtered where the result is read again: a filter here would evaluate the tokens twice.
@@ -55,8 +56,8 @@ def lines(docs: DataFrame, classes: Column, least: int) -> DataFrame:
     rows = rows.select(_pos().alias("pos"), F.transform(F.array_remove(F.split(F.lower("line"), SPACES), ""), lambda w: F.xxhash64(w)).alias("h"))
     # single elements, as a slice would copy the array at every step; beyond the end they are NULL, which a hash passes over
     rank = lambda i: F.get(classes, F.get("h", i).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    token = lambda i: F.shiftleft(rank(i), 56).bitwiseOR(F.xxhash64(*[F.get("h", i + j) for j in range(K)]).bitwiseAND(F.lit((1 << 56) - 1)))
-    codes = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - K, F.lit(0))), token)))
+    token = lambda i: F.shiftleft(rank(i), 56).bitwiseOR(F.xxhash64(*[F.get("h", i + j) for j in range(k)]).bitwiseAND(F.lit((1 << 56) - 1)))
+    codes = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - k, F.lit(0))), token)))
     rows = rows.select("pos", F.when(F.size("h") >= least, codes).alias("codes"))
     return rows.select("pos", F.xxhash64("codes").alias("digest"), F.when(F.col("codes").isNotNull(), F.size("codes")).alias("n"), "codes")
 
@@ -69,7 +70,7 @@ def _doc(pos: str) -> Column:
     return F.shiftright(F.col(pos), 24)
 
 
-def full_sets(places: DataFrame, docs: DataFrame, classes: Column, least: int) -> DataFrame:
+def full_sets(places: DataFrame, docs: DataFrame, classes: Column, least: int, k: int) -> DataFrame:
     """pos, codes and a parity bitmap (BITS words of 64 bits) of each place.
 
     A token flips the bit it hashes to, so two bitmaps differ in at most as many bits as their sets do in tokens.
@@ -79,7 +80,7 @@ def full_sets(places: DataFrame, docs: DataFrame, classes: Column, least: int) -
     some = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     if places.count() <= FEW:  # else the sets of all lines of these documents are shuffled to meet them
         places = F.broadcast(places)
-    sets = stored(lines(some, classes, least).select("pos", "digest", "codes").join(places, "pos", "left_semi").groupBy("pos").agg(F.min_by("codes", "digest").alias("codes")), "line-sets")
+    sets = stored(lines(some, classes, least, k).select("pos", "digest", "codes").join(places, "pos", "left_semi").groupBy("pos").agg(F.min_by("codes", "digest").alias("codes")), "line-sets")
     bit = F.expr("shiftleft(1L, cast(e & 63 as int))")
     word = F.col("e").bitwiseAND(F.lit(64 * BITS - 1)).cast("long")
     maps = sets.select("pos", F.explode("codes").alias("e")).groupBy("pos").agg(*[F.coalesce(F.bit_xor(F.when(F.shiftright(word, 6) == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(BITS)])
@@ -98,12 +99,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b").alias("pos")).distinct()
 
 
-def removed_lines(docs: DataFrame, *, percent: int = 75, least: int = 3) -> DataFrame:
+def removed_lines(docs: DataFrame, *, percent: int = 75, least: int = 3, k: int = 5) -> DataFrame:
     """doc_id and line_no of each line to remove."""
     docs = docs.select("doc_id", "text")
     classes = rarity(docs)
     size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rows = stored(lines(docs, classes, least).select("pos", "digest", "n", F.slice("codes", 1, size).alias("head")), "lines").filter("n is not null")
+    rows = stored(lines(docs, classes, least, k).select("pos", "digest", "n", F.slice("codes", 1, size).alias("head")), "lines").filter("n is not null")
     firsts = stored(rows.groupBy("digest").agg(F.min("pos").alias("pos")), "line-firsts")
 
     post = rows.select("digest", "n", F.posexplode("head").alias("i", "code"))
@@ -111,7 +112,7 @@ def removed_lines(docs: DataFrame, *, percent: int = 75, least: int = 3) -> Data
     hint = F.broadcast if shared.count() <= FEW else (lambda x: x)
     found = stored(post.join(hint(shared), "code").distinct(), "line-found")
     lists = stored(found.join(firsts, "digest").select("code", "pos", "n", "i"), "line-lists")
-    sets = full_sets(stored(lists.select("pos").distinct(), "line-ends"), docs, classes, least)
+    sets = full_sets(stored(lists.select("pos").distinct(), "line-ends"), docs, classes, least, k)
     lists = stored(lists.join(sets.drop("codes"), "pos"), "line-mapped")
     early = stored(lists.groupBy("code").agg(F.min("pos").alias("lo")), "line-early")
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))

@@ -53,7 +53,7 @@ def op8_decontaminate_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.line_report(tables.documents(spark, sf_dir))
+    return linedup.line_report(tables.documents(spark, sf_dir), **linedup.WORDS)
 
 
 def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

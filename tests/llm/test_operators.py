@@ -153,6 +153,28 @@ def test_line_dedup(spark, odd):
     assert linedup.line_report(frame(spark, odd, True)).count() == 0
 
 
+def test_line_dedup_finds_one_changed_word(spark, odd, tmp_path):
+    """The query and the pipeline's stage take sets of words at 0.8: one changed word in a line of 12."""
+    import corpus_pipeline
+    from lamina.llm import queries
+
+    line = "copyright holders permit use of this work in {} under terms below"
+    rows = [*odd[:-5], (7000, line.format("june")), (7001, "other text\n" + line.format("july")), (7002, "under terms of this other licence")]
+    seen, want = [], {d: [] for d, _ in rows}
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            w = [v for v in re.split("[ \t\x0b\f\r]+", x.lower()) if v]
+            if len(w) >= linedup.WORDS.get("least", 3):
+                if any(100 * len(set(w) & o) >= 80 * len(set(w) | o) for o in seen):
+                    want[d].append(i)
+                seen.append(set(w))
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r.removed for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {d: ",".join(map(str, x)) for d, x in want.items()} and out[7001] == "1"
+    clean = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
+    assert clean[7001] == "other text" and clean[7002] == rows[-1][1]
+
+
 def test_decontamination(spark, odd):
     r = random.Random(5)
     some = [t for _, t in odd if t and len(t.split()) > 20]

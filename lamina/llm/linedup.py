@@ -29,7 +29,7 @@ from .tables import stored
 
 BUCKETS = 1 << 16
 #: What the query and the pipeline take: sets of words at a similarity of 0.8, of every line that has a word
-WORDS = {"k": 1, "percent": 80}
+WORDS = {"k": 1, "percent": 80, "least": 1}
 #: Rows of 8 bytes that are broadcast; more are joined by a shuffle
 FEW = 1 << 21
 #: Words of a line's parity bitmap

@@ -175,6 +175,14 @@ def test_line_dedup_finds_one_changed_word(spark, odd, tmp_path):
     assert clean[7001] == "other text" and clean[7002] == rows[-1][1]
 
 
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    """Lines of one or two words count in the query; blank lines stay."""
+    from lamina.llm import queries
+
+    frame(spark, [(1, "Home\n\nRead more"), (2, "home\n\nread  more\n \nother")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.removed for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0,2"}
+
+
 def test_decontamination(spark, odd):
     r = random.Random(5)
     some = [t for _, t in odd if t and len(t.split()) > 20]

@@ -1,10 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text is its set of lower-cased words and word beginnings, each named by a 64-bit hash. Terms in at least `least_df` sampled texts that depend on the label by a chi-square test have a weight
-and a vector of `rank` numbers; the score is the logistic of w0 + sum w_i + sum over pairs of <v_i, v_j>, so a pair such as an
+A text is its set of lower-cased words and word beginnings, hashed into 2^BITS places. Places in at least `least_df` sampled texts have a weight
+and a vector of `rank` numbers, whether or not they depend on the label by themselves; regularisation shrinks noise; the score is the logistic of w0 + sum w_i + sum over pairs of <v_i, v_j>, so a pair such as an
 insult beside the mention of a group counts beyond its parts.
 
-The fit uses at most `bound` labelled rows (a documented limit) and at most `terms` terms, so its size
+The fit uses at most `bound` labelled rows (a documented limit) and at most 2^BITS terms, so its size
 does not follow the input; scoring is a map over all whole texts.
 
 Null texts count as empty; an empty text has the score of the intercept. With no labelled rows, or with one
@@ -27,11 +27,13 @@ from . import labelled, tables, words
 
 #: Bytes of the word beginnings that are terms beside whole words, for insults that are inflected or compounded.
 STEMS = (4, 5)
+#: Terms are hashed to so many bits
+BITS = 20
 
 
 @dataclass
 class Model:
-    names: np.ndarray  # sorted 64-bit hashes of the terms
+    names: np.ndarray  # sorted places of the terms
     w0: float
     w: np.ndarray
     v: np.ndarray
@@ -62,22 +64,31 @@ def term_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield i, j, doc[order], np.concatenate(terms)[order]
 
 
-def known(names: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of text and number in names."""
-    if not len(names) or not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.searchsorted(names, h)
-    at[at == len(names)] = 0
-    ok = names[at] == h
-    pair = np.unique(doc[ok] * len(names) + at[ok])
-    return pair // len(names), pair % len(names)
+def places(h: np.ndarray) -> np.ndarray:
+    """The place of each hash in the feature space."""
+    return (h >> words.U64(64 - BITS)).astype(np.int64)
 
 
-def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float = 15.0, terms: int = 1 << 16, epochs: int = 8, steps: int = 800, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+def known(numbers: np.ndarray, n: int, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of text and number; numbers has that of each place (-1: none), n of them."""
+    at = numbers[place]
+    ok = at >= 0
+    pair = np.unique(doc[ok] * max(n, 1) + at[ok])
+    return pair // max(n, 1), pair % max(n, 1)
+
+
+def numbered(names: np.ndarray) -> np.ndarray:
+    out = np.full(1 << BITS, -1, np.int64)
+    out[names] = np.arange(len(names))
+    return out
+
+
+def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, epochs: int = 8, steps: int = 800, batch: int = 128, rate: float = 0.1, decay: float = 1.0, seed: int = 7) -> Model:
     """Fit to a bounded table of text and label (0 or 1).
 
     Spark makes the term sets and their document frequencies; the rows that come to the driver are numbers of known terms,
-    bounded by the sample. AdaGrad over shuffled mini-batches with a fixed seed, for `epochs` passes and `steps` steps at least.
+    bounded by the sample. AdaGrad over shuffled mini-batches with a fixed seed, for `epochs` passes and `steps` steps at least. Weights have a Gaussian prior of
+    precision `decay` (vectors ten times that) over the whole sample, shared out among the batches that hold the term.
     """
     spark = texts.sparkSession
 
@@ -85,37 +96,35 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float
         for b in batches:
             for i, j, doc, h in term_sets(b.column(1)):
                 cut = np.searchsorted(doc, np.arange(1, j - i))
-                yield pa.RecordBatch.from_pydict({"label": b.column(0).slice(i, j - i), "terms": pa.array([np.unique(x).view(np.int64) for x in np.split(h, cut)], pa.list_(pa.int64()))})
-
-    rows = tables.stored(texts.select("label", "text").mapInArrow(sets, "label double, terms array<long>"), "fm-terms")
-    n, pos = (float(x or 0) for x in rows.agg(F.count("*"), F.sum("label")).first())
-    counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("k"), F.sum("label").alias("k1")).filter(F.col("k") >= least_df)
-    k, k1 = F.col("k"), F.col("k1")
-    off = F.greatest(F.abs(k1 * (n - pos - k + k1) - (k - k1) * (pos - k1)) - n / 2, F.lit(0.0))  # with Yates' correction
-    chi2 = F.coalesce(n * off * off / F.nullif(pos * (n - pos) * k * (n - k), F.lit(0.0)), F.lit(0.0))
-    top = counted.withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(terms)
-    names = np.sort(top.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_pydict({"label": b.column(0).slice(i, j - i), "terms": pa.array([np.unique(places(x)).astype(np.int32) for x in np.split(h, cut)], pa.list_(pa.int32()))})
+
+    rows = tables.stored(texts.select("label", "text").mapInArrow(sets, "label double, terms array<int>"), "fm-terms")
+    counted = rows.select(F.explode("terms").alias("term")).groupBy("term").count().filter(F.col("count") >= least_df).toPandas()  # at most 2^BITS rows
+    names = np.sort(counted["term"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(names)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            numbers_of = numbered(shared.value)
             out = []
             for x in b.column(1):
-                h = np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                out.append(known(shared.value, np.zeros(len(h), np.int64), h)[1].astype(np.int32))
+                at = numbers_of[x.values.to_numpy(zero_copy_only=False)]
+                out.append(at[at >= 0].astype(np.int32))
             yield pa.RecordBatch.from_pydict({"label": b.column(0), "terms": pa.array(out, pa.list_(pa.int32()))})
 
     got = rows.mapInArrow(numbers, "label double, terms array<int>").toArrow()
     y = got["label"].to_numpy().astype(np.float64)
-    sets_ = [np.asarray(x, np.int64) for x in got["terms"].combine_chunks().to_numpy(zero_copy_only=False)] if len(y) else []
+    sets_ = [np.asarray(x, np.int32) for x in got["terms"].combine_chunks().to_numpy(zero_copy_only=False)] if len(y) else []
     mean = (y.sum() + 0.5) / (len(y) + 1)
     rng = np.random.default_rng(seed)
     model = Model(names, float(np.log(mean / (1 - mean))), np.zeros(len(names)), rng.normal(0, 0.02, (len(names), rank)))
     if len(y) == 0 or y.min() == y.max() or not len(names):
         model.v[:] = 0
         return model
-    order = np.lexsort((np.array([int(x.sum()) for x in sets_]), y))  # the same whatever the partitions
+    order = np.lexsort((np.array([int(x.sum(dtype=np.int64)) for x in sets_]), y))  # the same whatever the partitions
     y, sets_ = y[order], [sets_[i] for i in order]
+    share = np.bincount(np.concatenate(sets_), minlength=len(names)) / len(y)
+    pull = 32 * decay / len(y) / (1 - (1 - np.minimum(share, 1 - 1e-9)) ** batch)
     gw, gv, g0 = np.full(len(names), 1e-2), np.full((len(names), rank), 1e-2), 1e-2
     for _ in range(max(epochs, -(-steps * batch // len(y)))):
         perm = rng.permutation(len(y))
@@ -130,11 +139,11 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float
             z = model.w0 + np.bincount(doc, model.w[term], len(pick)) + 0.5 * (sums**2 - np.stack([np.bincount(doc, x[:, f] ** 2, len(pick)) for f in range(rank)], axis=1)).sum(axis=1)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick) * 32
             u, back = np.unique(term, return_inverse=True)
-            dw = np.bincount(back, err[doc], len(u)) + decay * model.w[u]
+            dw = np.bincount(back, err[doc], len(u)) + pull[u] * model.w[u]
             gw[u] += dw**2
             model.w[u] -= rate * dw / np.sqrt(gw[u])
             for f in range(rank):
-                dv = np.bincount(back, err[doc] * (sums[doc, f] - x[:, f]), len(u)) + 10 * decay * model.v[u, f]
+                dv = np.bincount(back, err[doc] * (sums[doc, f] - x[:, f]), len(u)) + 10 * pull[u] * model.v[u, f]
                 gv[u, f] += dv**2
                 model.v[u, f] -= 0.3 * rate * dv / np.sqrt(gv[u, f])
             g0 += err.sum() ** 2
@@ -143,14 +152,15 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, least_chi2: float
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every whole text: a map over rows with the model broadcast (at most `terms` terms)."""
+    """doc_id and score of every whole text: a map over rows with the model broadcast (at most 2^BITS terms)."""
     tables.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        numbers, n = numbered(m.names), len(m.names)
         for b in batches:
-            out = [m.score(*known(m.names, doc, h), j - i) for i, j, doc, h in term_sets(b.column(1))]
+            out = [m.score(*known(numbers, n, doc, places(h)), j - i) for i, j, doc, h in term_sets(b.column(1))]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(np.concatenate(out) if out else np.zeros(0))})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double")

@@ -268,6 +268,21 @@ def test_classifiers(spark, toxic):
     assert all(0 <= r.score <= 1 for r in f(docs, labels.limit(0)).collect())
 
 
+def test_toxic_by_a_pair_only(spark):
+    """Toxic if both or neither of two words occur: neither word depends on the label by itself."""
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = i % 2, i // 2 % 2
+        w = [r.choice(VOCAB) for _ in range(r.randrange(3, 8))] + ["groupish"] * a + ["insultive"] * b
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a == b)))
+    out = fm.toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [x for x in out if x.held_out]
+    assert len(held) > 400 and np.mean([x.predicted == labels[x.doc_id][1] for x in held]) > 0.9
+
+
 def test_class_prior():
     r = np.random.default_rng(1)
     pos, neg = r.normal(2, 1, 3000), r.normal(-2, 1, 1500)

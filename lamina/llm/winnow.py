@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Units are lower-cased words; a text of fewer than 24 words is taken by characters instead. Every k consecutive
-units are hashed (k is 3 words or 6 characters; a shorter text has one gram of all), and of each window of 8 consecutive hashes the minimum
-is chosen, the rightmost of equal ones, with its position. Two texts that share a run of k + 7 units
+Units are the lower-cased characters that are not white space, whatever the text's size. Every k = 6 consecutive
+units are hashed (a shorter text has one gram of all), and of each window of 8 consecutive hashes the minimum
+is chosen, the rightmost of equal ones, with its position among the units. Two texts that share a run of k + 7 units
 share a chosen hash. Likeness is the Dice coefficient of the chosen hashes' sets; two empty ones are alike (1).
 
 Each document is also set against the next one in descending doc_id (the last against the first). The order is
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .tables import shuffle_partitions, stored
 
-WINDOW, WORD_K, CHAR_K, FEW = 8, 3, 6, 24
+WINDOW, K = 8, 6
 MASK = (1 << 31) - 1
 
 
@@ -37,23 +37,22 @@ def next_documents(docs: DataFrame) -> DataFrame:
     return ranged.withColumn("next_id", down).join(F.broadcast(ends), "part").select("doc_id", F.coalesce("next_id", "below").alias("next_id"), "third")
 
 
-def by_characters(text: Column) -> Column:
-    return F.size(F.split(text, "\\s+", FEW + 2)) < FEW
+def _least(array: str, step: int):
+    return lambda x, i: F.least(x, F.get(array, i + step))
 
 
-def chosen(df: DataFrame, text: str, chars: str, out: str) -> DataFrame:
+def chosen(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the array `out`: chosen grams in order of position, hash in the upper bits and MASK - position below."""
-    low = F.lower(F.col(text))
-    units = F.array_remove(F.when(F.col(chars), F.split(low, "")).otherwise(F.split(low, "\\s+")), "")
-    k = F.when(F.col(chars), F.lit(CHAR_K)).otherwise(F.lit(WORD_K))
-    df = df.withColumn("__h", F.transform(units, lambda u: F.xxhash64(u)))
+    df = df.withColumn("__u", F.array_remove(F.split(F.regexp_replace(F.lower(F.col(text)), "\\s+", ""), ""), ""))
     # single elements, as a slice would copy the array at every step; NULLs add nothing to a hash or a minimum
-    parts = lambda i: [F.get("__h", i + j) if j < WORD_K else F.when(F.col(chars), F.get("__h", i + j)) for j in range(CHAR_K)]
-    code = lambda i: F.shiftleft(F.xxhash64(*parts(i)).bitwiseAND(F.lit(MASK)), 31).bitwiseOR(F.lit(MASK) - i.cast("long"))
-    df = df.withColumn("__c", F.when(F.size("__h") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("__h") - k, F.lit(0))), code)))
-    least = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__c") - WINDOW, F.lit(0))), lambda i: F.least(*[F.get("__c", i + j) for j in range(WINDOW)]))
-    df = df.withColumn(out, F.when(F.size("__c") == 0, F.col("__c")).otherwise(F.array_distinct(least)))
-    return df.drop("__h", "__c")
+    code = lambda i: F.shiftleft(F.xxhash64(*[F.get("__u", i + j) for j in range(K)]).bitwiseAND(F.lit(MASK)), 31).bitwiseOR(F.lit(MASK) - i.cast("long"))
+    df = df.withColumn("__c", F.when(F.size("__u") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("__u") - K, F.lit(0))), code)))
+    windows, step = F.greatest(F.size("__c") - WINDOW + 1, F.lit(1)), 1
+    at = "__c"
+    while step < WINDOW:  # minima of 2, 4 and 8
+        df = df.withColumn(f"__m{step}", F.transform(at, _least(at, step)))
+        at, step = f"__m{step}", 2 * step
+    return df.withColumn(out, F.array_distinct(F.slice(at, F.lit(1), windows))).drop("__u", "__c", "__m1", "__m2", "__m4")
 
 
 def hashes(codes: str) -> Column:
@@ -82,15 +81,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     every = docs.select(ids, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = every.filter("doc_id is not null")  # the same exchange serves both joins
     ahead = base.join(links.select(F.col("doc_id").alias("cur"), F.col("next_id").alias("doc_id"), "third").hint("merge"), "doc_id")
-    ahead = chosen(ahead.withColumn("chars", by_characters(F.col("text"))), "text", "chars", "codes")
+    ahead = chosen(ahead, "text", "codes")
     ahead = ahead.select("cur", F.struct(F.expr("substring(text, 1, cast(third as int))").alias("start"), hashes("codes").alias("set")).alias("ahead")).groupBy("cur").agg(F.max("ahead").alias("ahead"))
     wide = base.join(ahead.hint("merge"), base["doc_id"] == ahead["cur"], "left").select("doc_id", "text", F.col("ahead.start").alias("start"), F.col("ahead.set").alias("next_set"))
     wide = wide.union(every.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("string"), F.lit(None).cast("array<int>")))
     wide = wide.withColumn("n_chars", F.length("text").cast("long"))
     wide = wide.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), coalesce(substring(start, 1, cast(n_chars div 3 as int)), ''))"))
-    wide = wide.withColumn("chars", by_characters(F.col("text"))).drop("start")
-    wide = chosen(wide, "text", "chars", "own")
-    wide = chosen(wide, "edited", "chars", "other")
+    wide = wide.drop("start")
+    wide = chosen(wide, "text", "own")
+    wide = chosen(wide, "edited", "other")
     wide = wide.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", "next_set", hashes("own").alias("own_set"), hashes("other").alias("other_set"))
     return wide.select(
         "doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("other").alias("edited_fingerprint"),

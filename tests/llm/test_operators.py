@@ -226,6 +226,21 @@ def test_winnowing_chooses_the_rightmost_minimum(spark):
     assert at == sorted(at) and at[0] >= 5 and max(b - a for a, b in zip(at[:-1], at[1:], strict=True)) <= winnow.WINDOW
 
 
+def test_winnowing_compares_texts_of_all_sizes(spark):
+    """Texts of 23 and 24 words, and an edited text that gets more words, against the same text as a document."""
+    w = [f"{a}{i}" for i, a in enumerate(VOCAB[:23])]
+    rows = [(2, " ".join(w)), (1, " ".join([*w, "more"])), (0, "a b c d e f g h " * 6)]
+    out = {r.doc_id: r for r in winnow.fingerprints(frame(spark, rows)).collect()}
+    assert out[2].near_next > 0.8
+    t, ahead = rows[1][1], rows[2][1]
+    edited = t[: len(t) - len(t) // 3] + ahead[: len(t) // 3]
+    assert len(t.split()) >= 24 and len(edited.split()) >= 24
+    short = "x" * 60 + " " + " ".join(w[:5])
+    rows = [(1, short), (0, ahead), (9, short[: len(short) - len(short) // 3] + ahead[: len(short) // 3])]
+    out = {r.doc_id: r for r in winnow.fingerprints(frame(spark, rows)).collect()}
+    assert out[1].edited_fingerprint == out[9].fingerprint
+
+
 def test_suffix_tree_scores(spark, odd):
     docs = [*odd, *((3000 + i, " ".join(["the cat sat on the mat and the dog ran"] * 8)) for i in range(40))]
     n, want = brute.base_scores(docs)

@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds anchors (at-signs, plus signs, digits, schemes and identifier cues) in one pass over a text; at each
 anchor a deterministic local parser expands to the left and right and validates what it has: e-mail
-addresses, IPv4 addresses, payment cards (Luhn), telephone numbers, URLs, account numbers (IBANs by their check digits).
+addresses, IPv4 addresses, payment cards (Luhn), telephone numbers, URLs, account numbers (IBANs by their check digits), and
+secrets: values named as tokens, keys or passwords, keys with a known beginning, private-key blocks.
 
 Matches of one kind do not overlap and are taken leftmost first; one that fails its check is dropped
 without another try. Offsets count code points. Null texts count as empty and have no spans; repeated
@@ -21,10 +22,14 @@ from pyspark.sql import DataFrame
 from . import bpe, tables
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account")
+KINDS = (*BASE_KINDS, "url", "account", "secret")
 #: Words before an account number
 CUES = ("account", "acct", "iban", "passport", "ssn", "user id", "userid", "customer id", "licence", "license no", "konto", "cuenta", "compte")
 
+#: Words before the value of a secret, and how secrets without such a word begin
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key", "auth_key", "bearer")
+SECRET_STARTS = ("-----BEGIN ", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "AIza", "eyJ")
+
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
@@ -35,6 +40,10 @@ HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\
 ACCOUNT = re.compile(r"(?: (?:no|number|nr))?\.?[ ]?[:#=]?[ ]?([A-Z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?|[A-Za-z]{0,3}[0-9][0-9-]{4,20}[0-9])(?![A-Za-z0-9])")
 
 
+SECRET_VALUE = re.compile(r"""["']?[ \t]{0,3}(?:[:=]|=>|[ ])[ \t]{0,3}["']?([A-Za-z0-9_./+=-]{16,})""")
+SECRET_FORM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?|A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pos]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[bp]-[0-9A-Za-z-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -65,6 +74,11 @@ class Finder:
         for cue in CUES:
             for form in {cue, cue.capitalize(), cue.upper()}:
                 self.auto.add_word(form, "account")
+        for cue in SECRET_CUES:
+            for form in {cue, cue.capitalize(), cue.upper()}:
+                self.auto.add_word(form, "secret cue")
+        for form in SECRET_STARTS:
+            self.auto.add_word(form, f"secret {len(form)}")
         self.auto.make_automaton()
 
     def find(self, text: str) -> dict[str, list[tuple[int, int]]]:
@@ -81,7 +95,7 @@ class Finder:
                 if at >= done["ip"]:
                     m = IP.match(text, at)
                     done["ip"] = m.end() if m else DIGITS.match(text, at).end()
-                    if m and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                    if m and all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.groups())):
                         out["ip"].append(m.span())
             elif cue == "@":
                 start, least = at, done["email"]
@@ -102,6 +116,15 @@ class Finder:
                 if start < at - 2 and (m := HOST.match(text, at + 1)):
                     done["url"] = m.end()
                     out["url"].append((start, m.end()))
+            elif cue == "secret cue":
+                if at >= done["secret"] and (m := SECRET_VALUE.match(text, at + 1)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                    done["secret"] = m.end(1)
+                    out["secret"].append(m.span(1))
+            elif cue.startswith("secret"):
+                start = at + 1 - int(cue[7:])
+                if start >= done["secret"] and (m := SECRET_FORM.match(text, start)):
+                    done["secret"] = m.end()
+                    out["secret"].append(m.span())
             elif at >= done["account"] and (m := ACCOUNT.match(text, at + 1)) and (m[1][:2].isdigit() or not m[1][:2].isupper() or iban(m[1]) or len(DIGITS.findall(m[1])) == 1 and m[1][2:].isdigit() and len(m[1]) <= 12):
                 done["account"] = m.end(1)
                 out["account"].append(m.span(1))
@@ -113,7 +136,7 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (kind:start:end), base_sha256 over the base kinds and a count of each kind. A map over rows."""
+    """doc_id, spans (kind:start:end), base_sha256 over the base kinds, a count of each kind and of all spans (n_spans). A map over rows."""
     tables.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +144,10 @@ def find(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = [finder.find(x) if x else dict.fromkeys(KINDS, ()) for x in batch.column(1).to_pylist()]
             out = {"doc_id": batch.column(0)} | {f"n_{k}": pa.array([len(f[k]) for f in found], pa.int64()) for k in KINDS}
+            out["n_spans"] = pa.array([sum(map(len, f.values())) for f in found], pa.int64())
             out["base_sha256"] = pa.array([hashlib.sha256(joined(f, BASE_KINDS).encode()).hexdigest() for f in found], pa.string())
             out["spans"] = pa.array([joined(f, KINDS) for f in found], pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_spans long, base_sha256 string, spans string"
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)

@@ -1,21 +1,21 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line (text between newlines) is the set of its shingles of `k` lower-cased words; a line of fewer words has its whole sequence as one. The query
-and the pipeline take single words (`WORDS`). A line is removed if an earlier line, by (doc_id, line number), has Jaccard similarity `percent` or more with it; the earlier line
-counts whether or not it is removed itself. Lines of fewer than `least` words are kept.
-
-1. A pass over all words counts 65,536 hash buckets; a token is as rare as its first word's bucket. Any fixed order gives the same
-   result; rare tokens first give few candidates.
-2. Equal sets share a digest; the first line of a digest stays, every other copy is removed.
-3. With tokens in order of rarity, similar lines share one among the first n - ceil(t n) + 1. Tokens of one digest only are dropped in one
-   aggregation. Of the others, each line first meets the earliest line of the token, and only lines that stay meet the
-   rest, under the length and positional filters and a bound from parity bitmaps: sets differ in at least as many tokens as
-   their bitmaps do in bits.
-4. Candidates are verified on their full sets.
-
-Null texts have no lines; empty texts have one empty line, which is kept. Rows with a null doc_id are left as they are.
-Of rows with a repeated doc_id, lines at the same place are removed together if one of them is. doc_ids are to lie within
-39 bits and lines within 2^24 a document. Extra columns are not read by removed_lines and are kept by deduplicate.
+A line (text between newlines) is its set of lower-cased words. A line is removed if an earlier line, by (doc_id, line number), has
+Jaccard similarity `percent` or more with it; the earlier line counts whether or not it is removed itself. Lines without words stay.
+
+1. A pass over all words counts BUCKETS hash buckets; a token is as rare as its own bucket. Any fixed order gives the same result; rare
+   tokens first give few candidates.
+2. One pass tokenises: each line gets its tokens in order of rarity, the first n - ceil(t n) + 1 of them (its prefix), a digest and a
+   parity bitmap. Equal sets share a digest; the first line of a digest stands for all, and every other copy is removed.
+3. Lines whose prefixes have an equal part (of PARTS by hash) meet the earliest such line. This removes most of a large family of near copies
+   before its lines could meet one another.
+4. What is left meets every earlier line of a prefix token, under the length and positional filters and the bitmap's bound: sets differ
+   in at least as many tokens as their bitmaps do in bits.
+5. Candidates are verified on their full sets, made anew from the lines in question only.
+
+Null texts have no lines; empty texts have one empty line, which stays. Rows with a null doc_id are left as they are. Of rows with
+a repeated doc_id, lines at the same place are removed together if one of them is. Any 64-bit doc_id and any number of lines will do.
+Extra columns, whatever their names, are not read by removed_lines and are kept by deduplicate.
 """
 
 from __future__ import annotations
@@ -25,132 +25,152 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import discard, stored
 
-BUCKETS = 1 << 16
-#: What the query and the pipeline take: sets of words at a similarity of 0.8, of every line that has a word
-WORDS = {"k": 1, "percent": 80, "least": 1}
-#: Rows of 8 bytes that are broadcast; more are joined by a shuffle
-FEW = 1 << 21
-#: Words of a line's parity bitmap
-BITS = 8
-SPACES = "[ \\t\\x0B\\f\\r]+"
+BUCKETS = 1 << 18
+PARTS = 6
+#: Lines (a number of 4 bytes each, by document) that are broadcast; more are joined by a shuffle
+FEW = 1 << 20
+PLACE = ("doc_id", "line_no")
+
+
+def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, line_no and line (lower-cased, its white space made blanks), and columns of the document."""
+    text = F.lower(F.col("text").cast("string"))
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
+    plain = docs.select("doc_id", *more, text.alias("text")).withColumn("text", F.when(odd, F.translate("text", "\t\r\x0b\f", "    ")).otherwise(F.col("text")))
+    return plain.select("doc_id", *more, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def rarity(docs: DataFrame) -> Column:
     """Classes (two a power of two) of the counts of all hash buckets, as a constant array of fixed size."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
+    words = numbered_lines(docs).select(F.explode(F.split("line", " ")).alias("w")).filter("w <> ''")
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count().collect()  # at most BUCKETS rows
-    classes = [0] * BUCKETS
+    classes = ["0"] * BUCKETS
     for b, n in counts:
-        classes[b] = int(2 * math.log2(n))
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")
+        classes[b] = str(int(2 * math.log2(n)))
+    return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
 
 
-def lines(docs: DataFrame, classes: Column, least: int, k: int) -> DataFrame:
-    """pos, digest, n and codes (tokens by rarity) of each line; n and codes are NULL if it has fewer than `least` words.
+def with_codes(lines: DataFrame, classes: Column) -> DataFrame:
+    """lines with codes, the distinct tokens in order of rarity, in place of line. The class is the upper byte."""
+    keep = [c for c in lines.columns if c != "line"]
+    hashed = lines.select(*keep, F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
+    code = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))
+    return hashed.select(*keep, F.sort_array(F.transform("h", code)).alias("codes"))
 
-    Those rows are filtered where the result is read again: a filter here would evaluate the tokens twice.
-    """
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(_pos().alias("pos"), F.transform(F.array_remove(F.split(F.lower("line"), SPACES), ""), lambda w: F.xxhash64(w)).alias("h"))
-    # single elements, as a slice would copy the array at every step; beyond the end they are NULL, which a hash passes over
-    rank = lambda i: F.get(classes, F.get("h", i).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    token = lambda i: F.shiftleft(rank(i), 56).bitwiseOR(F.xxhash64(*[F.get("h", i + j) for j in range(k)]).bitwiseAND(F.lit((1 << 56) - 1)))
-    codes = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - k, F.lit(0))), token)))
-    rows = rows.select("pos", F.when(F.size("h") >= least, codes).alias("codes"))
-    return rows.select("pos", F.xxhash64("codes").alias("digest"), F.when(F.col("codes").isNotNull(), F.size("codes")).alias("n"), "codes")
+
+def line_table(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
+    """Place, digest, n, head (the prefix) and map (64 bits of parity) of each line; lines without words have n = 0."""
+    rows = with_codes(numbered_lines(docs), classes)
+    flip = lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    n = F.size("codes")
+    return rows.select(*PLACE, F.xxhash64("codes").alias("digest"), n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("map"))
+
+
+def similar_size(na: Column, nb: Column, percent: int) -> Column:
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def _pos() -> Column:
-    return F.shiftleft(F.col("doc_id"), 24).bitwiseOR(F.col("line_no").cast("long"))
+def near_maps(x: Column, y: Column, n: Column, percent: int) -> Column:
+    """Whether bitmaps allow sets of n tokens in all to be similar."""
+    return F.bit_count(x.bitwiseXOR(y)) * (100 + percent) <= n * (100 - percent)
 
 
-def _doc(pos: str) -> Column:
-    return F.shiftright(F.col(pos), 24)
+def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (ad, al, bd, bl) of a line and the earliest one (by document) with an equal part of its prefix."""
+    part = lambda r: F.filter("head", lambda x: F.pmod(x, F.lit(PARTS)) == r)
+    seed = F.array_compact(F.array(*[F.when(F.size(part(r)) > 0, F.xxhash64(F.lit(r), part(r))) for r in range(PARTS)]))
+    seeds = reps.select("doc_id", "line_no", F.explode(seed).alias("seed"))
+    lists = seeds.groupBy("seed").agg(F.count("*").alias("c"), F.min("doc_id").alias("ad"), F.min_by("line_no", "doc_id").alias("al")).filter("c > 1").drop("c")
+    met = seeds.join(lists, "seed").select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).filter("ad <> bd or al <> bl").distinct()
+    slim = reps.select("doc_id", "line_no", "n", "map")
+    wide = met.join(slim.toDF("ad", "al", "na", "ma"), ["ad", "al"]).join(slim.toDF("bd", "bl", "nb", "mb"), ["bd", "bl"])
+    ok = similar_size(F.col("na"), F.col("nb"), percent) & near_maps(F.col("ma"), F.col("mb"), F.col("na") + F.col("nb"), percent)
+    return wide.filter(ok).select("ad", "al", "bd", "bl")
 
 
-def full_sets(places: DataFrame, docs: DataFrame, classes: Column, least: int, k: int) -> DataFrame:
-    """pos, codes and a parity bitmap (BITS words of 64 bits) of each place.
+def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """Pairs (ad, al, bd, bl) of an earlier line and one that is not in gone, with a common prefix token and fitting sizes, places and maps.
 
-    A token flips the bit it hashes to, so two bitmaps differ in at most as many bits as their sets do in tokens.
+    A posting is the same whichever side it is on, so both sides of the join read one exchange: `at` holds the line number and whether the line
+    is still to be looked at, `size` the set's size and the token's place in it.
     """
-    ids = stored(places.select(_doc("pos").alias("doc_id")).distinct(), "line-docs")
-    small = ids.count() <= FEW
-    some = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    if places.count() <= FEW:  # else the sets of all lines of these documents are shuffled to meet them
-        places = F.broadcast(places)
-    sets = stored(lines(some, classes, least, k).select("pos", "digest", "codes").join(places, "pos", "left_semi").groupBy("pos").agg(F.min_by("codes", "digest").alias("codes")), "line-sets")
-    bit = F.expr("shiftleft(1L, cast(e & 63 as int))")
-    word = F.col("e").bitwiseAND(F.lit(64 * BITS - 1)).cast("long")
-    maps = sets.select("pos", F.explode("codes").alias("e")).groupBy("pos").agg(*[F.coalesce(F.bit_xor(F.when(F.shiftright(word, 6) == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(BITS)])
-    return stored(sets.join(maps, "pos"), "line-full")
-
-
-def apart(x: str, y: str) -> Column:
-    """In how many bits the bitmaps of both sides differ."""
-    return sum((F.bit_count(F.col(f"{x}m{i}").bitwiseXOR(F.col(f"{y}m{i}"))) for i in range(BITS)), F.lit(0))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The later lines of the pairs (a, b) whose full sets are similar, a being the earlier."""
-    both = pairs.join(sets.select(F.col("pos").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("pos").alias("b"), F.col("codes").alias("y")), "b")
+    known = reps.join(gone.select(*PLACE, F.lit(1).cast("long").alias("out")), list(PLACE), "left")
+    at = F.shiftleft(F.col("line_no").cast("long"), 1).bitwiseOR(F.lit(1).cast("long") - F.coalesce("out", F.lit(0).cast("long")))
+    post = known.select("doc_id", at.alias("at"), "n", "map", F.posexplode("head").alias("i", "code"))
+    post = post.select("code", "doc_id", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), "map")
+    post = post.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in post.columns])  # none is NULL: both sides get the same (no) filters
+    a, b = post.toDF(*[f"a_{c}" for c in post.columns]), post.toDF(*[f"b_{c}" for c in post.columns])
+    na, nb = F.shiftright("a_size", 32), F.shiftright("b_size", 32)
+    ia, ib = F.col("a_size").bitwiseAND(F.lit((1 << 32) - 1)), F.col("b_size").bitwiseAND(F.lit((1 << 32) - 1))
+    line = lambda x: F.shiftright(f"{x}_at", 1)
+    earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | (F.col("a_doc_id") == F.col("b_doc_id")) & (line("a") < line("b"))
+    # shared tokens: this one, at most those before it in both, at most those after it in both
+    places = (1 + F.least(na - ia, nb - ib) - 1 + F.least(ia, ib)) * (100 + percent) >= (na + nb) * percent
+    open_ = F.col("b_at").bitwiseAND(F.lit(1)) >= F.col("a_at").bitwiseAND(F.lit(1)) * 0 + 1
+    fits = similar_size(na, nb, percent) & near_maps(F.col("a_map"), F.col("b_map"), na + nb, percent) & places & earlier & open_
+    return a.join(b, (F.col("a_code") == F.col("b_code")) & fits).select(F.col("a_doc_id").alias("ad"), line("a").cast("int").alias("al"), F.col("b_doc_id").alias("bd"), line("b").cast("int").alias("bl")).distinct()
+
+
+def with_lists(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """docs (distinct names) with the array `name` of the line numbers that places (stored) has of them, or NULL."""
+    lists = places.groupBy("doc_id").agg(F.collect_set("line_no").alias(name)).withColumnRenamed("doc_id", f"{name}_id")
+    if places.count() <= FEW:
+        lists = F.broadcast(lists)
+    return docs.join(lists, F.col("doc_id") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: Column, percent: int) -> DataFrame:
+    """The places of the later lines of the pairs (stored) whose full sets are similar."""
+    places = stored(pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")).union(pairs.select("bd", "bl")).distinct(), "line-places")
+    some = numbered_lines(with_lists(docs, places, "want").filter("want is not null"), "want").filter(F.array_contains("want", F.col("line_no"))).drop("want")
+    sets = stored(with_codes(some, classes), "line-sets")
+    both = pairs.join(sets.toDF("ad", "al", "x"), ["ad", "al"]).join(sets.toDF("bd", "bl", "y"), ["bd", "bl"])
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(F.col("b").alias("pos")).distinct()
+    later = F.greatest(F.struct(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")), F.struct(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no")))
+    out = stored(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(later.alias("later")).select("later.*").distinct(), "line-gone")
+    discard(places, sets)
+    return out
 
 
-def removed_lines(docs: DataFrame, *, percent: int = 75, least: int = 3, k: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """doc_id and line_no of each line to remove."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     classes = rarity(docs)
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rows = stored(lines(docs, classes, least, k).select("pos", "digest", "n", F.slice("codes", 1, size).alias("head")), "lines").filter("n is not null")
-    firsts = stored(rows.groupBy("digest").agg(F.min("pos").alias("pos")), "line-firsts")
-
-    post = rows.select("digest", "n", F.posexplode("head").alias("i", "code"))
-    shared = stored(post.groupBy("code").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("code"), "line-shared")
-    hint = F.broadcast if shared.count() <= FEW else (lambda x: x)
-    found = stored(post.join(hint(shared), "code").distinct(), "line-found")
-    lists = stored(found.join(firsts, "digest").select("code", "pos", "n", "i"), "line-lists")
-    sets = full_sets(stored(lists.select("pos").distinct(), "line-ends"), docs, classes, least, k)
-    lists = stored(lists.join(sets.drop("codes"), "pos"), "line-mapped")
-    early = stored(lists.groupBy("code").agg(F.min("pos").alias("lo")), "line-early")
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) + F.least("ia", "ib") >= need)
-    fits &= apart("a", "b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    maps = lambda x: [F.col(f"m{i}").alias(f"{x}m{i}") for i in range(BITS)]
-    later = lists.select("code", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *maps("b"))
-    ahead = lists.select("code", F.col("pos").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *maps("a"))
-    first = ahead.join(early.select("code", F.col("lo").alias("a")), ["code", "a"])
-    pairs = stored(later.join(first, "code").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "line-pairs")
-    gone = stored(verified(pairs, sets, percent), "line-gone")
-
-    # lines that stay so far against every earlier line of their lists; the filters are part of the join
-    stay = later.join(gone.select(F.col("pos").alias("b")), "b", "left_anti")
-    more = stored(stay.join(ahead, "code").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "line-more")
-    late = verified(more, sets, percent)
-
-    near = stored(gone.union(late).distinct(), "line-near")
-    kept = stored(firsts.select("pos").join(near, "pos", "left_anti"), "line-kept")
-    return rows.select("pos").distinct().join(kept, "pos", "left_anti").select(_doc("pos").alias("doc_id"), F.col("pos").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("line_no"))
+    rows = stored(line_table(docs, classes, percent), "lines")
+    first = F.min(F.struct(*PLACE, "n", "head", "map")).alias("first")
+    reps = stored(rows.filter("n > 0").groupBy("digest").agg(first).select("digest", "first.*"), "line-firsts")
+    star = stored(star_pairs(reps, percent), "line-star")
+    gone = verified(star, docs, classes, percent)
+    pairs = stored(prefix_pairs(reps, gone, percent), "line-pairs")
+    late = verified(pairs, docs, classes, percent)
+    kept = reps.select(*PLACE, "digest").join(gone.union(late), list(PLACE), "left_anti")
+    out = stored(rows.filter("n > 0").select(*PLACE, "digest").join(kept, [*PLACE, "digest"], "left_anti").select(*PLACE).distinct(), "line-removed")
+    discard(rows, reps, star, gone, pairs, late)
+    return out
 
 
 def line_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers, from 0) of each document."""
-    out = removed_lines(docs, **how).groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.concat_ws(",", F.sort_array(F.collect_list("line_no")).cast("array<string>")).alias("removed"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n", -1)), F.lit(0)).alias("n_lines"))
-    base = base.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
-    return base.join(out, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
+    gone = removed_lines(docs, **how)
+    parts = F.split(F.col("text").cast("string"), "\n", -1)
+    wide = with_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines")), gone, "gone")
+    lines = F.coalesce(F.sort_array("gone"), F.array().cast("array<int>"))
+    return wide.select("doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(lines).cast("long").alias("n_removed"), F.array_join(lines.cast("array<string>"), ",").alias("removed"))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """docs with the removed lines taken out of text; n_chars, where there is one, is counted anew."""
-    gone = removed_lines(docs, **how).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    wide = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = wide.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    gone = removed_lines(docs, **how)
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    wide = with_lists(packed, gone, "gone")
+    kept = F.filter(F.split(F.col("row.text"), "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    wide = wide.withColumn("text", text)
+    chars = lambda c: F.when(F.col("gone").isNull(), c).otherwise(F.length("text"))
+    of = {f.name: F.col("row").getField(f.name) for f in docs.schema.fields}
+    of["text"] = F.col("text")
+    if "n_chars" in of:
+        of["n_chars"] = chars(of["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return wide.select(*[c.alias(name) for name, c in of.items()])

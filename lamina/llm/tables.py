@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +29,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    Shuffle files of the write go with its end, as nothing reads them again.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete stored tables whose readers are done."""
+    for df in dfs:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -45,17 +45,15 @@ def near_duplicates(rows, percent=75):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def removed_lines(rows, percent=75, least=3):
+def removed_lines(rows, percent=80):
     seen, out = [], collections.defaultdict(list)
     for d, t in sorted((d, t) for d, t in rows if d is not None and t is not None):
         for i, line in enumerate(t.split("\n")):
-            w = [x for x in re.split("[ \t\x0b\f\r]+", line.lower()) if x]
-            if len(w) < least:
-                continue
-            s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
-            if any(100 * len(s & o) >= percent * len(s | o) for o in seen):
-                out[d].append(i)
-            seen.append(s)
+            s = {x for x in re.split("[ \t\x0b\f\r]+", line.lower()) if x}
+            if s:
+                if any(100 * len(s & o) >= percent * len(s | o) for o in seen):
+                    out[d].append(i)
+                seen.append(s)
     return out
 
 

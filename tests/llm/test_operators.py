@@ -171,6 +171,8 @@ def test_line_dedup(spark, odd):
         left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
         assert clean[d].text == left and clean[d].n_chars == len(left)
     assert linedup.line_report(frame(spark, odd, True)).count() == 0
+    named = frame(spark, odd).select("*", F.col("n").alias("meta.url"), F.col("n").alias("gone"), F.col("n").alias("want"))
+    assert linedup.deduplicate(named).columns == named.columns and linedup.deduplicate(named).count() == len(odd)
 
 
 def test_line_dedup_finds_one_changed_word(spark, odd, tmp_path):
@@ -180,19 +182,15 @@ def test_line_dedup_finds_one_changed_word(spark, odd, tmp_path):
 
     line = "copyright holders permit use of this work in {} under terms below"
     rows = [*odd[:-5], (7000, line.format("june")), (7001, "other text\n" + line.format("july")), (7002, "under terms of this other licence")]
-    seen, want = [], {d: [] for d, _ in rows}
-    for d, t in rows:
-        for i, x in enumerate((t or "").split("\n")):
-            w = [v for v in re.split("[ \t\x0b\f\r]+", x.lower()) if v]
-            if len(w) >= linedup.WORDS.get("least", 3):
-                if any(100 * len(set(w) & o) >= 80 * len(set(w) | o) for o in seen):
-                    want[d].append(i)
-                seen.append(set(w))
+    rows += [(7100 + i, " ".join(f"w{j}" for j in range(20 * i, 20 * i + 20))) for i in range(2)]
+    rows += [(7200 + i, " ".join([f"w{j}" for j in range(20 * i, 20 * i + 19)] + ["changed"])) for i in range(2)]
+    rows += [((1 << k) + 5, "far away ids have lines that count") for k in (2, 40, 41, 60)]
+    want = brute.removed_lines(rows)
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     out = {r.doc_id: r.removed for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
-    assert out == {d: ",".join(map(str, x)) for d, x in want.items()} and out[7001] == "1"
+    assert out == {d: ",".join(map(str, want[d])) for d, _ in rows} and out[7001] == "1" and out[7200] == out[(1 << 60) + 5] == "0"
     clean = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
-    assert clean[7001] == "other text" and clean[7002] == rows[-1][1]
+    assert clean[7001] == "other text" and clean[7002] == "under terms of this other licence"
 
 
 def test_short_lines_are_deduplicated(spark, tmp_path):

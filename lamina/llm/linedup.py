@@ -108,7 +108,8 @@ def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | (F.col("a_doc_id") == F.col("b_doc_id")) & (line("a") < line("b"))
     # shared tokens: this one, at most those before it in both, at most those after it in both
     places = (1 + F.least(na - ia, nb - ib) - 1 + F.least(ia, ib)) * (100 + percent) >= (na + nb) * percent
-    open_ = F.col("b_at").bitwiseAND(F.lit(1)) >= F.col("a_at").bitwiseAND(F.lit(1)) * 0 + 1
+    # whether b is still to be looked at; a stands in it as well, since a filter of one side would part the exchanges
+    open_ = F.col("b_at").bitwiseAND(F.lit(1)) * 2 + F.col("a_at").bitwiseAND(F.lit(1)) >= 2
     fits = similar_size(na, nb, percent) & near_maps(F.col("a_map"), F.col("b_map"), na + nb, percent) & places & earlier & open_
     return a.join(b, (F.col("a_code") == F.col("b_code")) & fits).select(F.col("a_doc_id").alias("ad"), line("a").cast("int").alias("al"), F.col("b_doc_id").alias("bd"), line("b").cast("int").alias("bl")).distinct()
 

@@ -11,7 +11,7 @@ Jaccard similarity `percent` or more with it; the earlier line counts whether or
    before its lines could meet one another.
 4. What is left meets every earlier line of a prefix token, under the length and positional filters and the bitmap's bound: sets differ
    in at least as many tokens as their bitmaps do in bits.
-5. Candidates are verified on their full sets, made anew from the lines in question only.
+5. Candidates whose prefixes already differ too much go; the others are verified on their full sets, made anew from the lines in question only.
 
 Null texts have no lines; empty texts have one empty line, which stays. Rows with a null doc_id are left as they are. Of rows with
 a repeated doc_id, lines at the same place are removed together if one of them is. Any 64-bit doc_id and any number of lines will do.
@@ -79,15 +79,33 @@ def near_maps(x: Column, y: Column, n: Column, percent: int) -> Column:
 
 def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (ad, al, bd, bl) of a line and the earliest one (by document) with an equal part of its prefix."""
-    part = lambda r: F.filter("head", lambda x: F.pmod(x, F.lit(PARTS)) == r)
-    seed = F.array_compact(F.array(*[F.when(F.size(part(r)) > 0, F.xxhash64(F.lit(r), part(r))) for r in range(PARTS)]))
-    seeds = reps.select("doc_id", "line_no", F.explode(seed).alias("seed"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: F.filter("head", lambda x: F.pmod(x, F.lit(PARTS)) == r))
+    seeds = reps.select(*PLACE, F.explode(F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: F.xxhash64(p))).alias("seed"))
     lists = seeds.groupBy("seed").agg(F.count("*").alias("c"), F.min("doc_id").alias("ad"), F.min_by("line_no", "doc_id").alias("al")).filter("c > 1").drop("c")
-    met = seeds.join(lists, "seed").select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).filter("ad <> bd or al <> bl").distinct()
-    slim = reps.select("doc_id", "line_no", "n", "map")
+    lists = stored(lists, "line-lists")
+    met = seeds.join(F.broadcast(lists) if lists.count() <= FEW else lists, "seed").select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).filter("ad <> bd or al <> bl")
+    slim = reps.select(*PLACE, "n", "map")
     wide = met.join(slim.toDF("ad", "al", "na", "ma"), ["ad", "al"]).join(slim.toDF("bd", "bl", "nb", "mb"), ["bd", "bl"])
     ok = similar_size(F.col("na"), F.col("nb"), percent) & near_maps(F.col("ma"), F.col("mb"), F.col("na") + F.col("nb"), percent)
-    return wide.filter(ok).select("ad", "al", "bd", "bl")
+    out = stored(wide.filter(ok).select("ad", "al", "bd", "bl").distinct(), "line-star")
+    discard(lists)
+    return out
+
+
+def near_heads(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes allow their sets to be similar.
+
+    Up to the smaller of the two last tokens both prefixes hold all of their sets, so what differs there differs in the sets.
+    """
+    slim = reps.select(*PLACE, "n", "head")
+    wide = pairs.join(slim.toDF("ad", "al", "na", "ha"), ["ad", "al"]).join(slim.toDF("bd", "bl", "nb", "hb"), ["bd", "bl"])
+    top = F.least(F.element_at("ha", -1), F.element_at("hb", -1))
+    common = F.size(F.array_intersect("ha", "hb"))
+    # tokens of each that are not above `top`: the places of the first ones above it
+    upto = lambda h: F.size(F.filter(h, lambda x: x <= F.col("top")))
+    wide = wide.withColumn("top", top)
+    apart = (upto("ha") + upto("hb") - 2 * common) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return wide.filter(apart).select("ad", "al", "bd", "bl")
 
 
 def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
@@ -106,11 +124,11 @@ def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     ia, ib = F.col("a_size").bitwiseAND(F.lit((1 << 32) - 1)), F.col("b_size").bitwiseAND(F.lit((1 << 32) - 1))
     line = lambda x: F.shiftright(f"{x}_at", 1)
     earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | (F.col("a_doc_id") == F.col("b_doc_id")) & (line("a") < line("b"))
-    # shared tokens: this one, at most those before it in both, at most those after it in both
-    places = (1 + F.least(na - ia, nb - ib) - 1 + F.least(ia, ib)) * (100 + percent) >= (na + nb) * percent
+    # of the first token that both have, the shared ones are this and what follows in both
+    places = F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent
     # whether b is still to be looked at; a stands in it as well, since a filter of one side would part the exchanges
     open_ = F.col("b_at").bitwiseAND(F.lit(1)) * 2 + F.col("a_at").bitwiseAND(F.lit(1)) >= 2
-    fits = similar_size(na, nb, percent) & near_maps(F.col("a_map"), F.col("b_map"), na + nb, percent) & places & earlier & open_
+    fits = near_maps(F.col("a_map"), F.col("b_map"), na + nb, percent) & places & earlier & similar_size(na, nb, percent) & open_
     return a.join(b, (F.col("a_code") == F.col("b_code")) & fits).select(F.col("a_doc_id").alias("ad"), line("a").cast("int").alias("al"), F.col("b_doc_id").alias("bd"), line("b").cast("int").alias("bl")).distinct()
 
 
@@ -139,15 +157,19 @@ def removed_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """doc_id and line_no of each line to remove."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     classes = rarity(docs)
-    rows = stored(line_table(docs, classes, percent), "lines")
+    wide = stored(line_table(docs, classes, percent), "lines")
     first = F.min(F.struct(*PLACE, "n", "head", "map")).alias("first")
-    reps = stored(rows.filter("n > 0").groupBy("digest").agg(first).select("digest", "first.*"), "line-firsts")
-    star = stored(star_pairs(reps, percent), "line-star")
+    reps = stored(wide.filter("n > 0").groupBy("digest").agg(first).select("digest", "first.*"), "line-firsts")
+    rows = stored(wide.filter("n > 0").select(*PLACE, "digest"), "line-digests")
+    discard(wide)
+    star = star_pairs(reps, percent)
     gone = verified(star, docs, classes, percent)
-    pairs = stored(prefix_pairs(reps, gone, percent), "line-pairs")
+    met = stored(prefix_pairs(reps, gone, percent), "line-met")
+    pairs = stored(near_heads(met, reps, percent), "line-pairs")
+    discard(met)
     late = verified(pairs, docs, classes, percent)
     kept = reps.select(*PLACE, "digest").join(gone.union(late), list(PLACE), "left_anti")
-    out = stored(rows.filter("n > 0").select(*PLACE, "digest").join(kept, [*PLACE, "digest"], "left_anti").select(*PLACE).distinct(), "line-removed")
+    out = stored(rows.join(kept, [*PLACE, "digest"], "left_anti").select(*PLACE).distinct(), "line-removed")
     discard(rows, reps, star, gone, pairs, late)
     return out
 

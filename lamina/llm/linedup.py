@@ -6,7 +6,7 @@ Jaccard similarity `percent` or more with it; the earlier line counts whether or
 1. A pass over all words counts BUCKETS hash buckets; a token is as rare as its own bucket. Any fixed order gives the same result; rare
    tokens first give few candidates.
 2. One pass tokenises: each line gets its tokens in order of rarity, the first n - ceil(t n) + 1 of them (its prefix), a digest and a
-   parity bitmap. Equal sets share a digest; the first line of a digest stands for all, and every other copy is removed.
+   parity bitmap of 128 bits. Equal sets share a digest; the first line of a digest stands for all, and every other copy is removed.
 3. Lines whose prefixes have an equal part (of PARTS by hash) meet the earliest such line. This removes most of a large family of near copies
    before its lines could meet one another.
 4. What is left meets every earlier line of a prefix token, under the length and positional filters and the bitmap's bound: sets differ
@@ -32,6 +32,8 @@ PARTS = 6
 #: Lines (a number of 4 bytes each, by document) that are broadcast; more are joined by a shuffle
 FEW = 1 << 20
 PLACE = ("doc_id", "line_no")
+#: Two words of parity bits; a token flips one bit of one of them
+MAPS = ("map0", "map1")
 
 
 def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -61,20 +63,27 @@ def with_codes(lines: DataFrame, classes: Column) -> DataFrame:
 
 
 def line_table(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """Place, digest, n, head (the prefix) and map (64 bits of parity) of each line; lines without words have n = 0."""
+    """Place, digest, n, head (the prefix) and parity bitmap of each line; lines without words have n = 0."""
     rows = with_codes(numbered_lines(docs), classes)
-    flip = lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    maps = [_parity(k).alias(name) for k, name in enumerate(MAPS)]
     n = F.size("codes")
-    return rows.select(*PLACE, F.xxhash64("codes").alias("digest"), n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("map"))
+    return rows.select(*PLACE, F.xxhash64("codes").alias("digest"), n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), *maps)
+
+
+def _parity(k: int) -> Column:
+    """The parity of each of 64 bits, over the codes whose seventh bit is k."""
+    mine = lambda x: F.shiftright(x, 6).bitwiseXOR(F.lit(1 - k)).bitwiseAND(F.lit(1))
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", mine(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def similar_size(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def near_maps(x: Column, y: Column, n: Column, percent: int) -> Column:
-    """Whether bitmaps allow sets of n tokens in all to be similar."""
-    return F.bit_count(x.bitwiseXOR(y)) * (100 + percent) <= n * (100 - percent)
+def near_maps(a: str, b: str, n: Column, percent: int) -> Column:
+    """Whether bitmaps (columns with these prefixes) allow sets of n tokens in all to be similar."""
+    apart = sum((F.bit_count(F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))) for m in MAPS), F.lit(0))
+    return apart * (100 + percent) <= n * (100 - percent)
 
 
 def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
@@ -84,9 +93,10 @@ def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     lists = seeds.groupBy("seed").agg(F.count("*").alias("c"), F.min("doc_id").alias("ad"), F.min_by("line_no", "doc_id").alias("al")).filter("c > 1").drop("c")
     lists = stored(lists, "line-lists")
     met = seeds.join(F.broadcast(lists) if lists.count() <= FEW else lists, "seed").select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).filter("ad <> bd or al <> bl")
-    slim = reps.select(*PLACE, "n", "map")
-    wide = met.join(slim.toDF("ad", "al", "na", "ma"), ["ad", "al"]).join(slim.toDF("bd", "bl", "nb", "mb"), ["bd", "bl"])
-    ok = similar_size(F.col("na"), F.col("nb"), percent) & near_maps(F.col("ma"), F.col("mb"), F.col("na") + F.col("nb"), percent)
+    slim = reps.select(*PLACE, "n", *MAPS)
+    side = lambda x: slim.toDF(f"{x}d", f"{x}l", f"n{x}", *[f"{x}_{m}" for m in MAPS])
+    wide = met.join(side("a"), ["ad", "al"]).join(side("b"), ["bd", "bl"])
+    ok = similar_size(F.col("na"), F.col("nb"), percent) & near_maps("a_", "b_", F.col("na") + F.col("nb"), percent)
     out = stored(wide.filter(ok).select("ad", "al", "bd", "bl").distinct(), "line-star")
     discard(lists)
     return out
@@ -116,8 +126,8 @@ def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """
     known = reps.join(gone.select(*PLACE, F.lit(1).cast("long").alias("out")), list(PLACE), "left")
     at = F.shiftleft(F.col("line_no").cast("long"), 1).bitwiseOR(F.lit(1).cast("long") - F.coalesce("out", F.lit(0).cast("long")))
-    post = known.select("doc_id", at.alias("at"), "n", "map", F.posexplode("head").alias("i", "code"))
-    post = post.select("code", "doc_id", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), "map")
+    post = known.select("doc_id", at.alias("at"), "n", *MAPS, F.posexplode("head").alias("i", "code"))
+    post = post.select("code", "doc_id", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), *MAPS)
     post = post.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in post.columns])  # none is NULL: both sides get the same (no) filters
     a, b = post.toDF(*[f"a_{c}" for c in post.columns]), post.toDF(*[f"b_{c}" for c in post.columns])
     na, nb = F.shiftright("a_size", 32), F.shiftright("b_size", 32)
@@ -128,7 +138,7 @@ def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     places = F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent
     # whether b is still to be looked at; a stands in it as well, since a filter of one side would part the exchanges
     open_ = F.col("b_at").bitwiseAND(F.lit(1)) * 2 + F.col("a_at").bitwiseAND(F.lit(1)) >= 2
-    fits = near_maps(F.col("a_map"), F.col("b_map"), na + nb, percent) & places & earlier & similar_size(na, nb, percent) & open_
+    fits = near_maps("a_", "b_", na + nb, percent) & places & earlier & similar_size(na, nb, percent) & open_
     return a.join(b, (F.col("a_code") == F.col("b_code")) & fits).select(F.col("a_doc_id").alias("ad"), line("a").cast("int").alias("al"), F.col("b_doc_id").alias("bd"), line("b").cast("int").alias("bl")).distinct()
 
 
@@ -158,7 +168,7 @@ def removed_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     classes = rarity(docs)
     wide = stored(line_table(docs, classes, percent), "lines")
-    first = F.min(F.struct(*PLACE, "n", "head", "map")).alias("first")
+    first = F.min(F.struct(*PLACE, "n", "head", *MAPS)).alias("first")
     reps = stored(wide.filter("n > 0").groupBy("digest").agg(first).select("digest", "first.*"), "line-firsts")
     rows = stored(wide.filter("n > 0").select(*PLACE, "digest"), "line-digests")
     discard(wide)

@@ -271,6 +271,28 @@ def test_suffix_tree_scores(spark, odd):
         if r.doc_id is not None and r.doc_id >= 3000:
             assert r.score > r.base_score + 20  # its contexts foretell what follows
     assert pst.scores(frame(spark, docs, True)).count() == 0
+    parts = {(r.doc_id, r.n_tokens): r.score for r in pst.scores(frame(spark, docs), block=60_000).collect()}  # the tree in blocks
+    assert all(abs(parts[r.doc_id, r.n_tokens] - r.score) < 1e-6 for r in out)
+
+
+def test_suffix_tree_distributions_sum_to_one(spark):
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice(["a b c d e f g h", "c d a b", "b c d e x y", "g a b c z"]) for _ in range(12))) for i in range(30)]
+    out = pst.word_counts(frame(spark, docs)).toArrow().to_pydict()
+    names = np.sort(np.array(out["key"], np.int64))
+    c = dict(zip(out["key"], out["c"], strict=True))
+    number = np.where(names == pst.END_TOKEN, pst.END, np.arange(len(names)) + pst.FIRST)
+    n, v = sum(c.values()), len(c)
+    root = np.full(number.max() + 1, np.log10(0.5 / (n + 0.5 * (v + 1))))
+    root[number] = np.log10([(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in names.tolist()])
+    tree = pst.grow(frame(spark, docs), (names, number), root, 4, 4, 2, 0.2)
+    assert len(tree.suffix) > 20 and tree.depth == 4 and all(map(len, tree.names))
+    for node in range(1, len(tree.suffix)):  # all symbols and what no symbol has (the root's mass of unseen words)
+        p = pst._prob(tree, np.full(len(number), node), number, 10.0**root)
+        unseen, at = 0.5 / (n + 0.5 * (v + 1)), node
+        while at:
+            unseen, at = unseen * 10 ** tree.rest[at], tree.suffix[at]
+        assert abs(p.sum() + unseen - 1) < 1e-6
 
 
 def labelled_docs(spark, toxic):

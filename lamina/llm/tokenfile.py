@@ -7,7 +7,7 @@ little-endian uint16 (uint32 if a larger id may occur), compressed by itself wit
 short document can be read by its block's index alone. The dictionary is a table of one row beside it.
 
 The dictionary is trained on a bounded sample of serialized id arrays: at most `dict_docs` documents
-taken by a hash of doc_id, each cut to `dict_ids` ids; it decides sizes only, never contents.
+taken by a hash of doc_id, of each at most `dict_ids` ids from a hashed place on; it decides sizes only, never contents.
 
 Null texts count as empty (only the end id); rows with a null doc_id come first; repeated ones are kept
 side by side. Extra columns are not read. An empty table gives an empty file set.
@@ -55,8 +55,13 @@ class WordBpe(bpe.LatinBpe):
 
 
 def train_dictionary(docs: DataFrame, path: str, *, dict_docs: int = 2000, dict_ids: int = 2000, size: int = 32 << 10) -> bytes:
-    """A zstandard dictionary from a bounded sample, made in one task; b"" if the sample is too small."""
-    wide = docs.select(F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"), F.substring("text", 1, 20 * dict_ids).alias("text")).filter("text is not null")
+    """A zstandard dictionary from a bounded sample, made in one task; b"" if the sample is too small.
+
+    Of each sampled text a window of 20 * dict_ids characters is taken that begins at a hashed place of the whole text.
+    """
+    text, hashed = F.col("text"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    begin = (1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - 20 * dict_ids, F.lit(0)).cast("long") + 1)).cast("int")
+    wide = docs.select(hashed.alias("h"), F.substring(text, begin, F.lit(20 * dict_ids)).alias("text")).filter("text is not null")
     share = docs.select("doc_id").count()
     if share > dict_docs:
         wide = wide.filter(F.col("h") < int((1 << 32) * dict_docs / share))
@@ -69,10 +74,8 @@ def train_dictionary(docs: DataFrame, path: str, *, dict_docs: int = 2000, dict_
         for batch in batches:
             ids, ends = enc.encode_column(batch.column(0))
             arrays += [x[:dict_ids].astype("<u2").tobytes() for x in np.split(ids, ends[:-1])]
-        try:
-            made = zstandard.train_dictionary(size, arrays, level=3).as_bytes() if len(arrays) >= 16 else b""
-        except zstandard.ZstdError:
-            made = b""
+        # too few ids have no dictionary; else a failure is an error
+        made = zstandard.train_dictionary(min(size, sum(map(len, arrays)) // 8), arrays, level=3).as_bytes() if len(arrays) >= 16 and sum(map(len, arrays)) >= 1 << 16 else b""
         yield pa.RecordBatch.from_pydict({"d": pa.array([made], pa.binary())})
 
     got = sample.mapInArrow(run, "d binary").collect()  # one row of at most `size` bytes
@@ -165,3 +168,22 @@ def read(spark: SparkSession, out: str, *, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(got | ({"ids": pa.array(all_ids, pa.binary())} if with_ids else {}))
 
     return blocks.select("sha", "part", "start", "width", "doc_ids", "counts", "ends", "frames").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+def read_document(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of one document (of each of its rows): only blocks whose range holds it are read, and only its own frames are decompressed."""
+    import zstandard
+
+    trained = bytes(spark.read.parquet(f"{out}/dictionary").first().dictionary)
+    unzip = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}))
+    at = F.array_position("doc_ids", F.lit(doc_id).cast("long"))
+    blocks = spark.read.parquet(f"{out}/blocks").filter((F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id) & (at > 0))
+    found = []
+    for b in blocks.orderBy("part", "number").toLocalIterator():
+        if b.sha != hashlib.sha256(trained).hexdigest():
+            raise ValueError("a block was written with another dictionary")
+        counts, ends = np.frombuffer(b.counts, "<u4"), [0, *np.frombuffer(b.ends, "<u4").tolist()]
+        for i, name in enumerate(b.doc_ids):
+            if name == doc_id:
+                found.append(np.frombuffer(unzip.decompress(b.frames[ends[i] : ends[i + 1]], max_output_size=int(counts[i]) * b.width), f"<u{b.width}").astype("<u4"))
+    return found

@@ -83,6 +83,8 @@ def test_token_files_round_trip(spark, odd, tmp_path):
             names.append(-1 if r.doc_id is None else r.doc_id)
         assert names == sorted(names)
         ids = {r.doc_id: r.ids for r in out if r.doc_id is not None}
+        if part:
+            assert [x.tobytes() for x in tokenfile.read_document(spark, str(tmp_path / str(k)), part[7][0])] == [ids[part[7][0]]]
         for d, t in part:
             if d is not None:
                 assert ids[d] == np.array([*encode(t), 2], "<u4").tobytes()
@@ -285,7 +287,7 @@ def test_suffix_tree_distributions_sum_to_one(spark):
     n, v = sum(c.values()), len(c)
     root = np.full(number.max() + 1, np.log10(0.5 / (n + 0.5 * (v + 1))))
     root[number] = np.log10([(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in names.tolist()])
-    tree = pst.grow(frame(spark, docs), (names, number), root, 4, 4, 2, 0.2)
+    tree = pst.grow(frame(spark, docs), (names, number), root, float(np.log10(n + 0.5 * (v + 1))), 4, 4, 2, 0.2)
     assert len(tree.suffix) > 20 and tree.depth == 4 and all(map(len, tree.names))
     for node in range(1, len(tree.suffix)):  # all symbols and what no symbol has (the root's mass of unseen words)
         p = pst._prob(tree, np.full(len(number), node), number, 10.0**root)

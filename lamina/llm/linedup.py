@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .tables import discard, stored
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 PARTS = 6
 #: Lines (a number of 4 bytes each, by document) that are broadcast; more are joined by a shuffle
 FEW = 1 << 20
@@ -47,9 +47,9 @@ def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
 def rarity(docs: DataFrame) -> Column:
     """Classes (two a power of two) of the counts of all hash buckets, as a constant array of fixed size."""
     words = numbered_lines(docs).select(F.explode(F.split("line", " ")).alias("w")).filter("w <> ''")
-    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count().collect()  # at most BUCKETS rows
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count().toArrow()  # at most BUCKETS rows
     classes = ["0"] * BUCKETS
-    for b, n in counts:
+    for b, n in zip(*(x.to_pylist() for x in counts.columns), strict=True):
         classes[b] = str(int(2 * math.log2(n)))
     return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
 

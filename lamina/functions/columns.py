@@ -43,7 +43,7 @@ def solar_zenith(ts: Column, lat: Column, lon: Column) -> Column:
     """Solar zenith angle in radians at a UTC time."""
     hour = F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0
     m = 6.24004077 + 0.01720197 * (julian_day(ts) - 2451545.0)
-    eot = -7.659 * F.sin(m) + 9.863 * F.sin(2 * m + 3.5988)
+    eot = -7.659 * F.sin(m) + 9.863 * F.sin(2 * m + 3.5932)
     solar_time = hour + (4 * lon + eot) / 60.0
     tilt = math.pi / 180 * (solar_time - 12.0) * 15.0
     dec = (math.pi * 23.5 / 180) * F.cos(2 * math.pi * (julian_day(ts) - 159.5) / 365.25)

@@ -343,7 +343,8 @@ def soil_downscale(soil: DataFrame, landcover: DataFrame, factor: int, values: l
 
 def soil_type(df: DataFrame, types: DataFrame, values: list[str]) -> DataFrame:
     """R6. The nearest of a few soil types by L1 distance, each property over its sd among the types; the smallest name of equals."""
-    sds = types.agg(*[F.stddev_samp(v).alias(f"__s_{v}") for v in values])
-    t = types.select("type", *[F.col(v).alias(f"__t_{v}") for v in values]).join(sds, how="cross")  # a row
-    d = sum((F.abs(F.col(v) - F.col(f"__t_{v}")) / F.col(f"__s_{v}") for v in values), F.lit(0.0))
-    return df.join(F.broadcast(t), how="cross").groupBy(*df.columns).agg(F.min_by("type", F.struct(d, F.col("type"))).alias("type"))
+    # the types are a few rows: they become constants of one expression, so rows are mapped without a shuffle and repeated ones stay
+    sd = types.agg(*[F.stddev_samp(v).alias(v) for v in values]).first()
+    known = types.select("type", *values).collect()
+    near = [F.struct(sum((F.abs(F.col(v) - F.lit(t[v])) / F.lit(sd[v]) for v in values), F.lit(0.0)).alias("d"), F.lit(t["type"]).alias("type")) for t in known]
+    return df.withColumn("type", F.array_min(F.array(*near))["type"] if near else F.lit(None).cast("string"))

@@ -293,10 +293,10 @@ def r5_soil_downscale(spark, d):
     return climate.soil_downscale(soil, grid(spark, d).select("row", "col", "class"), 5, ["sand"], water=3)
 
 
-@query("with t as (select r_name as type, r_regionkey * 10.0 + 3 as a, (r_regionkey * 3) % 5 * 0.02 as b from region), s as (select stddev_samp(a) as sa, stddev_samp(b) as sb from t) select id, arg_min(type, (abs(x.a - t.a) / sa + abs(x.b - t.b) / sb, type)) as type from (select l_orderkey * 10000000 + l_partkey * 100 + l_linenumber as id, l_quantity as a, l_discount as b from lineitem where l_linenumber = 1) x, t, s group by id, x.a, x.b", "type", "id")
+@query("with t as (select r_name as type, r_regionkey * 10.0 + 3 as a, (r_regionkey * 3) % 5 * 0.02 as b from region), s as (select stddev_samp(a) as sa, stddev_samp(b) as sb from t) select id, arg_min(type, (abs(x.a - t.a) / sa + abs(x.b - t.b) / sb, type)) as type from (select row_number() over () as r, l_orderkey * 10000000 + l_partkey * 100 + l_linenumber as id, l_quantity as a, l_discount as b from lineitem) x, t, s group by r, id", "type", "id")
 def r6_soil_type(spark, d):
     t = table(spark, d, "region").selectExpr("r_name as type", "r_regionkey * 10.0D + 3 as a", "(r_regionkey * 3) % 5 * 0.02D as b")
-    x = table(spark, d, "lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey * 10000000 + l_partkey * 100 + l_linenumber as id", "l_quantity as a", "l_discount as b")
+    x = table(spark, d, "lineitem").selectExpr("l_orderkey * 10000000 + l_partkey * 100 + l_linenumber as id", "l_quantity as a", "l_discount as b")
     return climate.soil_type(x, t, ["a", "b"])
 
 

@@ -38,19 +38,19 @@ MAPS = ("map0", "map1")
 
 def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, line_no and line (lower-cased, its white space made blanks), and columns of the document."""
-    text = F.lower(F.col("text").cast("string"))
-    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
-    plain = docs.select("doc_id", *more, text.alias("text")).withColumn("text", F.when(odd, F.translate("text", "\t\r\x0b\f", "    ")).otherwise(F.col("text")))
-    return plain.select("doc_id", *more, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    raw = F.col("text").cast("string")
+    odd = F.contains(raw, F.lit("\t")) | F.contains(raw, F.lit("\r")) | F.contains(raw, F.lit("\x0b")) | F.contains(raw, F.lit("\f"))
+    text = F.lower(F.when(odd, F.translate(raw, "\t\r\x0b\f", "    ")).otherwise(raw))
+    return docs.select("doc_id", *more, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Classes (two a power of two) of the counts of all hash buckets, as a constant array of fixed size."""
+    """Classes (two a power of two) of the counts of all hash buckets, in the upper byte, as a constant array of fixed size."""
     words = numbered_lines(docs).select(F.explode(F.split("line", " ")).alias("w")).filter("w <> ''")
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count().toArrow()  # at most BUCKETS rows
     classes = ["0"] * BUCKETS
     for b, n in zip(*(x.to_pylist() for x in counts.columns), strict=True):
-        classes[b] = str(int(2 * math.log2(n)))
+        classes[b] = str(int(2 * math.log2(n)) << 56)
     return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
 
 
@@ -58,22 +58,22 @@ def with_codes(lines: DataFrame, classes: Column) -> DataFrame:
     """lines with codes, the distinct tokens in order of rarity, in place of line. The class is the upper byte."""
     keep = [c for c in lines.columns if c != "line"]
     hashed = lines.select(*keep, F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
-    code = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))
+    code = lambda x: F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 8))
     return hashed.select(*keep, F.sort_array(F.transform("h", code)).alias("codes"))
 
 
 def line_table(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
     """Place, digest, n, head (the prefix) and parity bitmap of each line; lines without words have n = 0."""
     rows = with_codes(numbered_lines(docs), classes)
-    maps = [_parity(k).alias(name) for k, name in enumerate(MAPS)]
+    maps = [_parity(lambda x: F.lit(1).cast("long")).alias(MAPS[0]), _parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))).alias(MAPS[1])]
     n = F.size("codes")
-    return rows.select(*PLACE, F.xxhash64("codes").alias("digest"), n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), *maps)
+    rows = rows.select(*PLACE, F.xxhash64("codes").alias("digest"), n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), *maps)
+    return rows.withColumn(MAPS[0], F.col(MAPS[0]).bitwiseXOR(F.col(MAPS[1])))
 
 
-def _parity(k: int) -> Column:
-    """The parity of each of 64 bits, over the codes whose seventh bit is k."""
-    mine = lambda x: F.shiftright(x, 6).bitwiseXOR(F.lit(1 - k)).bitwiseAND(F.lit(1))
-    return F.aggregate("codes", F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", mine(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(bit) -> Column:
+    """The parity, in each of 64 places, of bit(x) over the codes x of that place."""
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def similar_size(na: Column, nb: Column, percent: int) -> Column:
@@ -88,8 +88,8 @@ def near_maps(a: str, b: str, n: Column, percent: int) -> Column:
 
 def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (ad, al, bd, bl) of a line and the earliest one (by document) with an equal part of its prefix."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: F.filter("head", lambda x: F.pmod(x, F.lit(PARTS)) == r))
-    seeds = reps.select(*PLACE, F.explode(F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: F.xxhash64(p))).alias("seed"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: F.xxhash64(F.filter("head", lambda x: F.pmod(x, F.lit(PARTS)) == r)))
+    seeds = reps.select(*PLACE, F.explode(F.array_remove(parts, F.xxhash64(F.array().cast("array<long>")))).alias("seed"))  # empty parts are none
     lists = seeds.groupBy("seed").agg(F.count("*").alias("c"), F.min("doc_id").alias("ad"), F.min_by("line_no", "doc_id").alias("al")).filter("c > 1").drop("c")
     lists = stored(lists, "line-lists")
     met = seeds.join(F.broadcast(lists) if lists.count() <= FEW else lists, "seed").select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).filter("ad <> bd or al <> bl")

@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Units are the lower-cased characters that are not white space, whatever the text's size. Every k = 6 consecutive
+Units are lower-cased words, whatever the text's size; each character of a script written without spaces is a unit by itself, and a
+longer run without white space is cut after every 32 characters. Every k = 3 consecutive
 units are hashed (a shorter text has one gram of all), and of each window of 8 consecutive hashes the minimum
 is chosen, the rightmost of equal ones, with its position among the units. Two texts that share a run of k + 7 units
 share a chosen hash. Likeness is the Dice coefficient of the chosen hashes' sets; two empty ones are alike (1).
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .tables import shuffle_partitions, stored
 
-WINDOW, K = 8, 6
+WINDOW, K = 8, 3
 MASK = (1 << 31) - 1
+#: Characters of scripts without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), and what a text must hold for its units to need more than its white space
+ALONE = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\x{20000}-\x{3FFFF}]"
+ODD = r"[\u0E00-\u9FFF\x{20000}-\x{3FFFF}]|(?:^|\s)\S{33}"
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -41,9 +45,15 @@ def _least(array: str, step: int):
     return lambda x, i: F.least(x, F.get(array, i + step))
 
 
+def units(low: Column) -> Column:
+    """The units of a lower-cased text. Where nothing is alone or too long, both replacements would change nothing."""
+    cut = F.regexp_replace(F.regexp_replace(low, f"({ALONE})", " $1 "), r"(\S{32})", "$1 ")
+    return F.array_remove(F.split(F.when(F.rlike(low, F.lit(ODD)), cut).otherwise(low), r"\s+"), "")
+
+
 def chosen(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the array `out`: chosen grams in order of position, hash in the upper bits and MASK - position below."""
-    df = df.withColumn("__u", F.array_remove(F.split(F.regexp_replace(F.lower(F.col(text)), "\\s+", ""), ""), ""))
+    df = df.withColumn("__u", units(F.lower(F.col(text))))
     # single elements, as a slice would copy the array at every step; NULLs add nothing to a hash or a minimum
     code = lambda i: F.shiftleft(F.xxhash64(*[F.get("__u", i + j) for j in range(K)]).bitwiseAND(F.lit(MASK)), 31).bitwiseOR(F.lit(MASK) - i.cast("long"))
     df = df.withColumn("__c", F.when(F.size("__u") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("__u") - K, F.lit(0))), code)))

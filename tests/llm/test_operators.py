@@ -368,3 +368,36 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     want = {r.doc_id: len(encode(r.text)) for r in at.collect()}
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and got and 3 not in got
+
+
+def test_winnowing_cuts_scripts_without_spaces(spark):
+    """Texts of one run of Han or of letters, against themselves with a changed end."""
+    r = random.Random(5)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(90))
+    run = "".join(r.choice("abcdefgh") for _ in range(2000))
+    rows = [(4, han), (3, han[:80]), (2, run), (1, run[:1900]), (0, "plain words")]
+    out = {x.doc_id: x for x in winnow.fingerprints(frame(spark, rows)).collect()}
+    assert out[4].near_next > 0.8 and out[2].near_next > 0.8 and out[3].near_next == 0
+
+
+def test_winnowing_equals_brute_force(spark, rows):
+    """Chosen places and likenesses from whole windows, given each gram's hash."""
+    docs = [(d, t) for d, t in rows if t is not None]
+    out = {r.doc_id: r for r in winnow.fingerprints(frame(spark, docs)).collect()}
+    grams = sorted({tuple(w[i : i + 3]) for _, t in docs for w in [t.lower().split()] for i in range(max(len(w) - 2, 1)) if w})
+    hashed = spark.createDataFrame([(list(g), i) for i, g in enumerate(grams)], "g array<string>, i int").selectExpr("i", "xxhash64(get(g, 0), get(g, 1), get(g, 2)) & 2147483647 as h").collect()
+    of = {grams[r.i]: r.h for r in hashed}
+    sets = {}
+    for d, t in docs:
+        w = t.lower().split()
+        h = [of[tuple(w[i : i + 3])] for i in range(max(len(w) - 2, 1))] if w else []
+        best = set()
+        for i in range(max(len(h) - 7, 1) if h else 0):
+            part = h[i : i + 8]
+            best.add(i + max(j for j, x in enumerate(part) if x == min(part)))
+        assert out[d].fingerprint == ",".join(f"{h[i]:x}:{i}" for i in sorted(best))
+        sets[d] = {h[i] for i in best}
+    down = sorted(sets, reverse=True)
+    for i, d in enumerate(down):
+        a, b = sets[d], sets[down[(i + 1) % len(down)]]
+        assert abs(out[d].near_next - (2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)) < 1e-9

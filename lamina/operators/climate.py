@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, pct, saturation_pressure, solar_zenith
+from ..functions.columns import beam_transmission, clamp, day_length, diffuse_share, julian_day, pct, saturation_pressure, sky_transmission, solar_constant, solar_shift, solar_zenith, turbidity
 from .grid import fill_multiscale, sharpen
 
 SIGMA = 5.67e-8
@@ -66,47 +66,57 @@ def daily_convert(tables: dict[str, DataFrame], cell: str = "cell", day: str = "
     )
 
 
-def clear_sky_table(days: DataFrame, sites: DataFrame, slices: int = 4, tc: float = 15.0, rh: float = 80.0, pres: float = 101.3, hourly: bool = False) -> DataFrame:
-    """C6. Clear-sky radiation (W/m2) by day (or hour) and site, averaged over slices of an hour. days and sites are small tables."""
-    steps = days.select(F.to_date("day").alias("day")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(24 * slices - 1))))
-    ts = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("s") * (3600 // slices))
-    z = solar_zenith(F.col("ts"), F.col("lat"), F.col("lon"))
-    both = steps.withColumn("ts", ts).join(F.broadcast(sites), how="cross").withColumn("z", z)
-    m = 35 * F.cos("z") * F.pow(1224 * F.cos("z") ** 2 + 1, F.lit(-0.5))
-    dew = F.lit(tc - (100 - rh) / 5)
-    tr = (1.021 - 0.084 * F.sqrt(m * 0.00949 * pres + 0.051))
-    water = F.exp(0.1133 - math.log(3.78) + 0.0393 * (dew * 1.8 + 32))
-    tw = 1 - 0.077 * F.pow(water * m, F.lit(0.3))
-    rad = F.when(F.cos("z") > 0, 1352.778 * F.cos("z") * tr * tw * F.pow(F.lit(0.935), m)).otherwise(0.0)
-    out = both.withColumn("rad", rad)
+def clear_sky_table(days: DataFrame, sites: DataFrame, slices: int = 4, humidity: float = 0.008, hourly: bool = False) -> DataFrame:
+    """C6. Clear-sky radiation (W/m2), direct and diffuse, by day (or hour) and site, averaged over slices of an hour.
+
+    Sites have site, lat and lon, and may have elevation (m) and humidity (specific, kg/kg) of their own. Every day meets every site, as that is the table.
+    """
+    steps = days.select(F.to_date("day").alias("day"))
+    at = sites.select("site", "lat", "lon", F.col("elevation") if "elevation" in sites.columns else F.lit(0.0).alias("elevation"), F.col("humidity") if "humidity" in sites.columns else F.lit(humidity).alias("humidity"))
+    both = steps.crossJoin(at).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(24 * slices - 1))))
+    both = both.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("s") * (3600 // slices)))
+    both = both.withColumn("z", solar_zenith(F.col("ts"), F.col("lat"), F.col("lon"))).withColumn("haze", turbidity(F.col("humidity")))
+    z, haze = F.col("z"), F.col("haze")
+    out = both.withColumn("rad", solar_constant(julian_day(F.col("ts"))) * (F.cos(z) * beam_transmission(z, haze, F.col("elevation")) + sky_transmission(z, haze)))
     return out.groupBy("site", "day", F.hour("ts").alias("hour")).agg(F.avg("rad").alias("clear")) if hourly else out.groupBy("site", "day").agg(F.avg("rad").alias("clear"))
 
 
 def diffuse_partition(df: DataFrame, sw: str = "swdown", zenith: str = "zenith") -> DataFrame:
-    """C7. Diffuse part of short-wave radiation by the clearness index k (sw over extraterrestrial) in three pieces."""
-    k = F.col(sw) / F.nullif(1352.778 * F.greatest(F.cos(zenith), F.lit(0.0)), F.lit(0.0))
-    share = F.when(k.isNull() | (F.col(sw) <= 0), 1.0).when(k <= 0.3, 1.020 - 0.248 * k).when(k < 0.78, 1.45 - 1.67 * k).otherwise(0.147)
-    return df.withColumn("difrad", clamp(share, 0.0, 1.0) * F.col(sw))
+    """C7. Diffuse part of short-wave radiation, by clearness below that of the clearest sky at the zenith angle (radians). All of it at night."""
+    return df.withColumn("difrad", diffuse_share(F.col(sw), F.col(zenith)) * F.col(sw))
+
 
+def daily_to_hourly_temp(df: DataFrame, cell: str = "cell", day: str = "day", lat: str = "lat", lon: str = "lon", decay: float = 0.09) -> DataFrame:
+    """C8. 24 hours (UTC) a day: a sine from sunrise to sunset, then an exponential fall towards the next minimum, rescaled to meet both ends.
 
-def daily_to_hourly_temp(df: DataFrame, cell: str = "cell", day: str = "day", rise: float = 6.0, set_: float = 18.0, decay: float = 2.2) -> DataFrame:
-    """C8. 24 hours a day: a sine from sunrise to sunset, an exponential fall to the next minimum at night, rescaled to meet both ends."""
+    Day length follows date and latitude; polar days have a sine through 24 hours. Where the sun rises in the day before by UTC, the day starts
+    from the minimum before. A day whose two ends are equal has that value at each hour. The hours are made in an array, so that a day's ends need no shuffle.
+    """
     w = Window.partitionBy(cell).orderBy(day)
-    d = df.withColumn("__next", F.coalesce(F.lead("tmin").over(w), F.col("tmin"))).withColumn("__prev", F.coalesce(F.lag("tmax").over(w), F.col("tmax")))
-    d = d.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    length = set_ - rise
-    h = F.col("hour").cast("double")
-    light = F.col("tmin") + (F.col("tmax") - F.col("tmin")) * F.sin(math.pi * (h - rise) / (length + 4))
-    sunset = F.col("tmin") + (F.col("tmax") - F.col("tmin")) * math.sin(math.pi * length / (length + 4))
-    night = 24 - length
-    late = F.col("__next") + (sunset - F.col("__next")) * F.exp(-decay * (h - set_) / night)
-    early = F.col("tmin") + (F.col("__prev") - F.col("tmin")) * F.exp(-decay * (h + 24 - set_) / night)
-    raw = F.when(h < rise, early).when(h <= set_, light).otherwise(late)
-    d = d.withColumn("__t", raw)
-    one = Window.partitionBy(cell, day)
-    lo, hi = F.min("__t").over(one), F.max("__t").over(one)
-    scaled = F.col("tmin") + (F.col("__t") - lo) / F.nullif(hi - lo, F.lit(0.0)) * (F.col("tmax") - F.col("tmin"))
-    return d.select(cell, day, "hour", F.coalesce(scaled, F.col("tmin")).alias("temp"))
+    d = df.select(cell, day, "tmin", "tmax", F.coalesce(F.lead("tmin").over(w), F.col("tmin")).alias("__next"), F.coalesce(F.lag("tmin").over(w), F.col("tmin")).alias("__prev"), day_length(julian_day(F.col(day)), F.col(lat)).alias("__len"), solar_shift(julian_day(F.col(day)), F.col(lon)).alias("__shift"))
+    length, shift, lo = F.col("__len"), F.col("__shift"), F.col("__lo")
+    today = shift + 12 - length / 2 > 0
+    d = d.withColumn("__lo", F.when(today, F.col("tmin")).otherwise(F.col("__prev"))).withColumn("__end", F.when(today, F.col("__next")).otherwise(F.col("tmin")))
+    span, fall = F.col("tmax") - lo, F.col("__end") - lo
+    d = d.withColumn("__night", clamp(0.04187957 * span * (1 - length / 24) + 0.4372056, 0.01, 0.99))
+    night, polar = F.col("__night"), (length == 0) | (length == 24)
+
+    def wrapped(x: Column) -> Column:
+        return F.when(x < 0, x + 24).when(x > 24, x - 24).otherwise(x)
+
+    def temp(hour: Column) -> Column:
+        clock = hour + shift
+        since = wrapped(clock - F.when(length == 0, 0.0).otherwise(12 - length / 2))
+        all_day = span * F.sin(math.pi * since / F.when(length == 24, 28.0).otherwise(24.0)) + fall * since / 24
+        whole = length * math.pi / (math.pi - F.asin(night))  # a half wave that is at the night's share when the sun sets
+        dark = night * F.exp((since - length) * F.try_divide(F.log(decay / night), 24 - length))
+        after = F.when(clock > length, fall * F.try_divide(since - length, 24 - length)).otherwise(0.0)
+        return lo + F.when(polar, all_day).otherwise(span * F.when(since > length, dark).otherwise(F.sin(math.pi * since / whole)) + after)
+
+    d = d.withColumn("__t", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: temp(h.cast("double"))))
+    least, most = F.array_min("__t"), F.array_max("__t")
+    scaled = F.transform("__t", lambda t: F.coalesce(lo + F.try_divide((t - least) * span, most - least), lo))
+    return d.select(cell, day, F.posexplode(scaled).alias("hour", "temp"))
 
 
 def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -209,8 +219,8 @@ def range_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cel
     """C16. Future values within their expected mean +- (largest deviation observed / in history) * future's * f."""
 
     def stats(d: DataFrame, n: str) -> DataFrame:
-        m = d.withColumn("__m", F.avg(value).over(Window.partitionBy(cell)))
-        return m.groupBy(cell).agg(F.first("__m").alias(f"m_{n}"), F.max(F.abs(F.col(value) - F.col("__m"))).alias(f"d_{n}"))
+        mean = F.avg(value)
+        return d.groupBy(cell).agg(mean.alias(f"m_{n}"), F.greatest(F.max(value) - mean, mean - F.min(value)).alias(f"d_{n}"))
 
     wide = fut.join(stats(obs, "o"), cell).join(stats(hist, "h"), cell).join(stats(fut, "f"), cell)
     mean = F.col("m_o") + F.col("m_f") - F.col("m_h")
@@ -218,6 +228,13 @@ def range_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cel
     return wide.withColumn(value, F.least(F.greatest(value, mean - reach), mean + reach)).select(*fut.columns)
 
 
+def rain_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell") -> DataFrame:
+    """C16. Future precipitation not above (largest observed / in history) * future's largest; no limit where history is dry."""
+    top = lambda d, n: d.groupBy(cell).agg(F.max(value).alias(n))
+    wide = fut.join(top(obs, "__o"), cell).join(top(hist, "__h"), cell).join(top(fut, "__f"), cell)
+    return wide.withColumn(value, F.least(value, F.try_divide(F.col("__o") * F.col("__f"), F.col("__h")))).select(*fut.columns)
+
+
 def rain_adjust(df: DataFrame, value: str, step: str, share: str, total: str, cell: str = "cell") -> DataFrame:
     """C17. share * n wet steps in each cell (the largest values; new ones get the least wet value), rescaled to the total."""
     w = Window.partitionBy(cell)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import climate, daily
-from ..sources import tables as src
-from .registry import H, M, Y, chm, classes, hourly, layers, monthly, query, strata, table, yearly
+from ..sources import checkpoints, tables as src
+from .registry import H, M, Y, chm, classes, hourly, layers, monthly, query, strata, sun_sql, table, yearly
 
 CHM = ", c as (select distinct user_id as cell, cast(user_id % 12 as double) as canopy from events)"
 _V7 = "max(v) as max, min(v) as min, stddev_samp(v) as sd, quantile_cont(v, 0.95) as q95, max(v) - min(v) as range"
@@ -80,10 +80,13 @@ def d13_mean_tmax_by_height(spark, d):
     return daily.mean_tmax_by_height(yearly(spark, d))
 
 
-@query("select distinct extract('year' from o_orderdate) as year, o_orderpriority from orders where o_orderstatus = 'F'", "o_orderpriority", "year")
+@query("select distinct o_orderpriority as \"SiteName\", extract('month' from o_orderdate) as \"Month\", 32600 + o_custkey % 60 as \"EPSG\" from orders where o_orderstatus = 'F' and extract('year' from o_orderdate) = 1995", "SiteName", "Month EPSG")
 def s2_read_sites(spark, d):
-    """The distinct keys of one sample, as a site list gives them."""
-    return table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.year("o_orderdate").alias("year"), "o_orderpriority").distinct()
+    """A site list in CSV, of orders: the months and codes of one sample in one year."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("SiteName"), F.col("o_orderstatus").alias("Sample"), F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"), (32600 + F.col("o_custkey") % 60).cast("int").alias("EPSG"))
+    path = checkpoints.new_path(spark, "sites")
+    src.write_table(o, path, fmt="csv")
+    return src.read_sites(spark, path, "F", 1995)
 
 
 @query("select p_partkey, cast(regexp_extract(p_brand, '#([0-9]+)', 1) as integer) as brand from part", "", "p_partkey brand")
@@ -150,6 +153,12 @@ def c4_hourly_to_daily(spark, d):
     return climate.hourly_to_daily(hourly(spark, d), "v", "sum")
 
 
+@query("select user_id as cell, cast(ts as date) as day, avg(value % 100 / 100 * 0.61078 * exp(case when value > 200 then 17.27 * (value / 10 - 20) / (value / 10 + 217.3) else 21.875 * (value / 10 - 20) / (value / 10 + 245.5) end)) as vapour, least(1, avg(300 / (5.67e-8 * (value / 10 + 253.15) ** 4))) as emissivity from events group by all", "day", "cell", "vapour emissivity")
+def c4_daily_moisture(spark, d):
+    x = table(spark, d, "events").selectExpr("user_id as cell", "cast(ts as timestamp) as ts", "value / 10 - 20 as temp", "value % 100 as relhum", "300D as lwdown")
+    return climate.daily_moisture(x)
+
+
 @query(H + ", t as (select cell, day, min(v) as tmin, max(v) as tmax, avg(v) as q from h group by all) select cell, day, (tmin + tmax) / 2 as temp, tmax - tmin as range, sqrt(tmin * tmin + tmax * tmax) as windspeed, q / 1000 * 100 / (0.622 + 0.378 * q / 1000) as vapour from t", "day", "cell", "temp range windspeed vapour")
 def c5_daily_convert(spark, d):
     t = daily.daily_stats(hourly(spark, d))
@@ -158,16 +167,39 @@ def c5_daily_convert(spark, d):
     return climate.daily_convert({n: one(e, n) for n, e in parts.items()})
 
 
-@query(None, "site day", "", "clear")
+_C6 = "with x as (select *, " + sun_sql("day", "h", "lat", "lon") + """ as z, 2 * pi() * (datediff('day', date '1970-01-01', day) + 2440588.0 - 2451545 + 0.0008) / 365 as n, 11.2 * (0.1093309 + 0.07649825 * (0.008 * 101.3 * 1000 / 9.81) ** 0.34 + 0.1) as tl
+  from (select distinct cast(o_orderdate as date) as day from orders), (select n_name as site, n_nationkey * 3 - 36 as lat, n_nationkey as lon from nation), (select cast(unnest(range(24)) as double) as h)),
+b as (select *, pi() / 2 - z + 0.061359 * (0.1594 + 1.123 * (pi() / 2 - z) + 0.065656 * (pi() / 2 - z) ** 2) / (1 + 28.9344 * (pi() / 2 - z) + 277.3971 * (pi() / 2 - z) ** 2) as s from x),
+c as (select *, case when z <= pi() / 2 and s > 0 then 1 / (sin(s) + 0.50572 * greatest(degrees(s) + 6.07995, 0.001) ** -1.6364) end as am from b),
+e as (select *, case when am is null then 0 else exp(-0.8662 * tl * am / case when am <= 20 then 6.6296 + 1.7513 * am - 0.1202 * am ** 2 + 0.0065 * am ** 3 - 0.00013 * am ** 4 else 10.4 + 0.718 * am end) end as tb, -0.015843 + 0.030543 * tl + 0.0003797 * tl * tl as td, 0.26463 - 0.061581 * tl + 0.0031408 * tl * tl as a0 from c)
+select site, day, avg(1361 * (1.00011 + 0.034221 * cos(n) + 0.00128 * sin(n) + 0.000719 * cos(2 * n) + 0.000077 * sin(2 * n)) * (cos(z) * tb + greatest(0, td * (case when a0 < 0.02 then 0.02 / td else a0 end + (2.0402 + 0.018945 * tl - 0.011161 * tl * tl) * cos(z) + (-1.3025 + 0.039231 * tl + 0.0085079 * tl * tl) * cos(z) ** 2)))) as clear from e group by all"""
+
+
+@query(_C6, "site day", "", "clear")
 def c6_clear_sky_table(spark, d):
     days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     sites = table(spark, d, "nation").selectExpr("n_name as site", "cast(n_nationkey * 3 - 36 as double) as lat", "cast(n_nationkey as double) as lon")
     return climate.clear_sky_table(days, sites, 1)
 
 
-@query(None, "day", "cell hour", "temp")
+_C8 = H + """, t as (select cell, day, min(v) as tmin, max(v) as tmax, cell % 171 - 85 as lat, cell % 360 - 180 as lon, datediff('day', date '1970-01-01', day) + 2440588.0 as jd from h group by all),
+a as (select *, coalesce(lead(tmin) over w, tmin) as nxt, coalesce(lag(tmin) over w, tmin) as prv, pi() * 23.5 / 180 * cos(2 * pi() * (jd - 159.5) / 365.25) as de, 6.24004077 + 0.01720197 * (jd - 2451545) as m from t window w as (partition by cell order by day)),
+b as (select *, -0.01453808 / (cos(radians(lat)) * cos(de)) - tan(radians(lat)) * tan(de) as hc, (4 * lon - 7.659 * sin(m) + 9.863 * sin(2 * m + 3.5932)) / 60 as stt from a),
+c as (select *, case when hc < -1 then 24.0 when hc < 1 then 8 * degrees(acos(greatest(-1, least(1, hc)))) / 60 else 0.0 end as dl from b),
+e as (select cell, day, tmax, stt, dl, case when stt + 12 - 0.5 * dl > 0 then tmin else prv end as mn, case when stt + 12 - 0.5 * dl > 0 then nxt else tmin end as mnn from c),
+f as (select *, least(0.99, greatest(0.01, 0.04187957 * (tmax - mn) * (1 - dl / 24) + 0.4372056)) as ng, unnest(range(24)) as hour from e),
+g as (select *, hour + stt - case when dl = 0 then 0 else 12 - 0.5 * dl end as s0 from f),
+i as (select *, case when s0 < 0 then s0 + 24 when s0 > 24 then s0 - 24 else s0 end as s from g),
+j as (select *, case when dl = 24 then (tmax - mn) * sin(pi() * s / 28) + mn + (mnn - mn) * s / 24 when dl = 0 then (tmax - mn) * sin(pi() * s / 24) + mn + (mnn - mn) * s / 24
+  else (tmax - mn) * case when s > dl then ng * exp((s - dl) * ln(0.09 / ng) / (24 - dl)) else sin(pi() * s / (dl - dl * (pi() / (asin(ng) - pi()) + 1))) end + mn + case when hour + stt > dl then (mnn - mn) * (s - dl) / (24 - dl) else 0 end end as r from i)
+select cell, day, hour, case when mx = lw then mn else mn + (r - lw) * (tmax - mn) / (mx - lw) end as temp from (select *, max(r) over (partition by cell, day) as mx, min(r) over (partition by cell, day) as lw from j)"""
+
+
+@query(_C8, "day", "cell hour", "temp")
 def c8_daily_to_hourly_temp(spark, d):
-    return climate.daily_to_hourly_temp(daily.daily_stats(hourly(spark, d)))
+    """Cells from 85 south to 85 north, polar days and nights among them."""
+    x = daily.daily_stats(hourly(spark, d)).withColumn("lat", (F.col("cell") % 171 - 85).cast("double")).withColumn("lon", (F.col("cell") % 360 - 180).cast("double"))
+    return climate.daily_to_hourly_temp(x)
 
 
 @query(None, "ts", "cell", "tmean")
@@ -193,6 +225,12 @@ def c12_block_mean(spark, d):
     return climate.block_mean(hourly(spark, d), 6, "v").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("select o_orderkey, cast(hour as timestamp) as ts, o_totalprice * 3600 as v from (select *, unnest(generate_series(cast(o_orderdate as timestamp), cast(o_orderdate as timestamp) + interval '5 hours', interval '1 hour')) as hour from orders)", "ts", "o_orderkey", "v")
+def c12_repeat_hours(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("v"))
+    return climate.repeat_hours(x, 6, "v", 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(H + ", x as (select day, round(v / 5) * 5 as d, count(*) as k from h group by all), r as (select day, d, k, row_number() over (partition by day order by k desc, d) as n from x) select day, case when k > 1 then d end as v from r where n = 1", "day", "", "v")
 def c13_modal_direction(spark, d):
     return climate.modal_direction(hourly(spark, d), "v", "day")
@@ -219,6 +257,13 @@ def c16_range_limit(spark, d):
     return climate.range_limit(one("tmin"), one("tmean"), fut, "v", f=0.9)
 
 
+@query(Y + ", o as (select cell, max(tmin) as m from y group by all), hh as (select cell, max(tmean) as m from y group by all), f as (select cell, max(tmax) as m from y group by all) select y.cell, y.tmax as raw, least(tmax, o.m * f.m / hh.m) as v from y join o using (cell) join hh using (cell) join f using (cell)", "", "cell", "raw v")
+def c16_rain_limit(spark, d):
+    y = yearly(spark, d)
+    one = lambda c: y.select("cell", F.col(c).alias("v"))
+    return climate.rain_limit(one("tmin"), one("tmean"), y.select("cell", F.col("tmax").alias("v"), F.col("tmax").alias("raw")), "v")
+
+
 @query(None, "", "cell", "v")
 def c17_rain_adjust(spark, d):
     x = hourly(spark, d).withColumn("v", F.when(F.col("v") > 20, F.col("v")).otherwise(0.0)).withColumn("share", F.lit(0.4)).withColumn("total", F.lit(100.0))

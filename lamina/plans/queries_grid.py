@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import climate, grid as g_, points
-from .registry import G, H, P, chm, gappy, grid, hourly, layers, pads, query, strata, table
+from ..sources import checkpoints, tables as src
+from .registry import G, H, P, chm, gappy, grid, hourly, layers, pads, query, strata, sun_sql, table
 
 GRIDS = "(select n_name as site, 50 as ncol, 100 as nrow, 0.0 as xmin, 0.0 as ymin, 500.0 as ymax, 5.0 as res from nation)"
 
@@ -218,6 +219,11 @@ def p5_surface_height(spark, d):
     return points.surface_height(cloud(spark, d), 10.0)
 
 
+@query(CL + ", n as (select distinct floor(y)::bigint as row, floor(x)::bigint as col from c), g as (select floor(y)::bigint as row, floor(x)::bigint as col, avg(z) as ground from c where class = 2 group by all), gap as (select * from n anti join g using (row, col)), w as (select gap.row, gap.col, g.ground, (gap.row - g.row) ** 2 + (gap.col - g.col) ** 2 as d2, row_number() over (partition by gap.row, gap.col order by (gap.row - g.row) ** 2 + (gap.col - g.col) ** 2, g.row, g.col) as k from gap cross join g) select row, col, ground from g union all select row, col, sum(ground / d2) / sum(1 / d2) from w where k <= 10 group by row, col", "", "row col", "ground")
+def p5_ground_height(spark, d):
+    return points.ground_height(cloud(spark, d), 1.0)
+
+
 @query(CL + ", g as (select floor(y / 10) as row, floor(x / 10) as col, avg(z) as ground from c where class = 2 group by all), u as (select x, y, z - ground as z from c join g on g.row = floor(y / 10) and g.col = floor(x / 10) where z >= ground) select x - (select min(x) from u) as x, y - (select min(y) from u) as y, z from u", "", "", "x y z")
 def p6_normalise_height(spark, d):
     p = cloud(spark, d)
@@ -303,18 +309,18 @@ def r6_soil_type(spark, d):
 @query(G + " select row, col, value from gg", "", "row col", "value")
 def s1_read_cells(spark, d):
     """NaN and infinities become NULL on reading."""
-    from ..sources.tables import clean_values
-
     g = grid(spark, d).withColumn("value", F.when(F.col("cell") % 14 == 0, float("nan")).when(F.col("cell") % 7 == 0, float("inf")).otherwise(F.col("value")))
-    return clean_values(g, ["value"])
+    path = checkpoints.new_path(spark, "cells")
+    src.write_table(g, path)
+    return src.read_cells(spark, path)
 
 
 @query("select n_regionkey, count(*) as n from nation group by all", "", "n_regionkey n")
 def s7_write_table(spark, d):
     """nation written in partitions of the shared folder and read back."""
-    from ..sources.checkpoints import cut
-
-    return cut(table(spark, d, "nation")).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    path = checkpoints.new_path(spark, "nations")
+    src.write_table(table(spark, d, "nation"), path, ["n_regionkey"])
+    return spark.read.parquet(path).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
 @query("select n_name as site from nation", "site")
@@ -323,13 +329,24 @@ def g2_same_geometry(spark, d):
     return grids(spark, d)
 
 
-@query("with r as (select user_id as cell, 280 + value / 100 as t2m, 275 + value / 200 as d2m, value * 100 as ssrd, value as u10, value / 2 as v10 from events), x as (select *, t2m - 273.15 as t, d2m - 273.15 as d from r) select cell, t as temp, least(100 * exp(case when d > 0 then 17.27 * d / (d + 237.3) else 21.875 * d / (d + 265.5) end - case when t > 0 then 17.27 * t / (t + 237.3) else 21.875 * t / (t + 265.5) end), 100) as relhum, ssrd / 3600 as swdown, sqrt(u10 * u10 + v10 * v10) * 0.7477849 as windspeed from x", "", "cell", "temp relhum swdown windspeed")
+@query("with r as (select user_id as cell, 280 + value / 100 as t2m, 275 + value / 200 as d2m, value * 100 as ssrd, value as u10, value / 2 as v10, value * 50 as fdir, ts from events), x as (select *, t2m - 273.15 as t, d2m - 273.15 as d from r) select cell, t as temp, least(100 * exp(case when d > 0 then 17.27 * d / (d + 237.3) else 21.875 * d / (d + 265.5) end - case when t > 0 then 17.27 * t / (t + 237.3) else 21.875 * t / (t + 265.5) end), 100) as relhum, ssrd / 3600 as swdown, sqrt(u10 * u10 + v10 * v10) * 0.7477849 as windspeed, ssrd / 3600 - fdir / 3600 * greatest(0, cos(z)) as difrad, 101.325 as pres, 300.0 as lwdown, (atan2(u10, v10) * 180 / pi() + 180) % 360 as winddir, 1.0 as precip from (select *, " + sun_sql("cast(ts as date)", "(hour(ts) + minute(ts) / 60.0 + floor(second(ts)) / 3600.0)", "10", "20") + " as z from x)", "", "cell", "temp relhum swdown windspeed difrad pres lwdown winddir precip")
 def c1_normalise_climate(spark, d):
     x = table(spark, d, "events").selectExpr("user_id as cell", "cast(ts as timestamp) as ts", "280 + value / 100 as t2m", "275 + value / 200 as d2m", "101325D as sp", "value as u10", "value / 2 as v10", "0.001D as tp", "300D as avg_sdlwrf", "value * 50 as fdir", "value * 100 as ssrd", "10D as lat", "20D as lon")
     return climate.normalise_climate(x)
 
 
-@query("with x as (select event_id, value * 3 as sw, (event_id % 90) * pi() / 180 as z from events), k as (select *, case when sw > 0 then sw / (1352.778 * cos(z)) end as k from x) select event_id, sw * least(greatest(case when k is null then 1 when k <= 0.3 then 1.020 - 0.248 * k when k < 0.78 then 1.45 - 1.67 * k else 0.147 end, 0), 1) as difrad from k", "", "event_id", "difrad")
+_C7 = """with x as (select event_id, value * 3 as sw, event_id % 90 as deg, radians(event_id % 90) as z from events),
+a as (select *, 0.83 - 0.56 * exp(-0.06 * (90 - deg)) as k1, 0.56 - 0.32 * exp(-0.06 * (90 - deg)) as kx from x),
+b as (select *, greatest(0, least(k1, sw / (1352 * cos(z)))) as k, 0.95 * k1 as k2, case when deg < 88.6 then 0.07 + 0.046 * deg / (93.0 - deg) else 1 end as d1 from a),
+c as (select *, 0.021 + 0.397 * k / k1 - 0.231 * (k / k1) ** 2 - 0.13 * exp(-0.834 * ((k / k1 - 0.931) / 0.134) ** 2) as s3, greatest(0, 0.5 * (1 + sin(pi() * (k - 0.22) / (k1 - 0.22) - pi() / 2))) as kk from b),
+e as (select *, 1 - (1 - d1) * (0.11 * sqrt(kk) + 0.15 * kk + 0.74 * kk * kk) as d2, 0.81 ** ((1 / cos(z)) ** 0.6) as kb from c),
+f as (select *, (kb + d2 * k2 / (1 - k2)) / (1 + d2 * k2 / (1 - k2)) as km from e),
+g as (select *, case when k <= 0.22 then 1 when k <= k2 then d2 when k <= km then d2 * k2 * (1 - k) / (k * (1 - k2)) else 1 - km * (1 - d2 * k2 * (1 - km) / (km * (1 - k2))) / k end as share from f where sw > 0),
+i as (select *, case when k >= 0.14 and k < kx then -3 * ((k - 0.14) / (kx - 0.14)) ** 2 * (1 - (k - 0.14) / (kx - 0.14)) * s3 ** 1.3 when k >= kx and k < kx + 0.71 then 3 * (k - kx) / 0.71 * (1 - (k - kx) / 0.71) ** 2 * s3 ** 0.6 else 0 end as delta from g where s3 > 0.01)
+select event_id, sw * (share + coalesce(delta, 0)) as difrad from g left join (select event_id, delta from i) using (event_id) union all select event_id, sw from x where sw <= 0"""
+
+
+@query(_C7, "", "event_id", "difrad")
 def c7_diffuse_partition(spark, d):
     x = table(spark, d, "events").select("event_id", (F.col("value") * 3).alias("swdown"), F.radians((F.col("event_id") % 90).cast("double")).alias("zenith"))
     return climate.diffuse_partition(x)

@@ -99,6 +99,15 @@ M = "with m as (select o_custkey as cell, month(o_orderdate) as month, avg(o_tot
 P = "with p as (select p_brand as cell, cast(p_size as double) as height_m, avg(p_retailprice) / 1000 as pad from part group by all), pr as (select p_type as class, cast(p_size as double) as height_m, avg(p_retailprice) / 1000 as pad from part group by all)"
 
 
+def sun_sql(day: str, hour: str, lat: str, lon: str) -> str:
+    """SQL of the solar zenith angle (radians) at an hour (UTC) of a date."""
+    jd = f"(datediff('day', date '1970-01-01', {day}) + 2440588.0)"
+    m = f"(6.24004077 + 0.01720197 * ({jd} - 2451545.0))"
+    dec = f"(pi() * 23.5 / 180 * cos(2 * pi() * ({jd} - 159.5) / 365.25))"
+    noon = f"({hour} + (4.0 * ({lon}) - 7.659 * sin({m}) + 9.863 * sin(2 * {m} + 3.5932)) / 60 - 12)"
+    return f"acos(greatest(-1.0, least(1.0, sin({dec}) * sin(radians({lat})) + cos({dec}) * cos(radians({lat})) * cos(radians(15 * {noon})))))"
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """D7 then D9: vertical ranges averaged over days and trimmed."""
     from ..operators import daily

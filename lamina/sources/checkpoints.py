@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back. Only a local Spark without the setting uses a temporary folder."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. Only a local Spark without the setting uses a temporary folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,6 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-lamina-"))
         folder = _LOCAL[0]
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,11 +5,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, decontam, fm, linedup, neardup, pii, pst, quality, tokenfile, winnow
+from lamina.llm import bpe, decontam, fm, linedup, neardup, pii, pst, quality, queries, tokenfile, winnow
 
 from . import brute
 
@@ -401,3 +402,17 @@ def test_winnowing_equals_brute_force(spark, rows):
     for i, d in enumerate(down):
         a, b = sets[d], sets[down[(i + 1) % len(down)]]
         assert abs(out[d].near_next - (2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)) < 1e-9
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    """Whole tables of the smallest scale against DuckDB."""
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, folder)
+    cols = sorted(got.columns)
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(want.columns) == cols
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(want.select(",".join(cols)).fetchall())

@@ -202,7 +202,7 @@ def coastal_exposure(df: DataFrame, lookup: DataFrame, direction: str, n: int =
 
 
 def bias_correct(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell", knots: int = 10) -> DataFrame:
-    """C15. Future values through the quantile map of both histories: both sorted, smoothed over quantile knots, linear beyond.
+    """C15. Future values through the quantile map of both histories: both sorted, smoothed over quantile knots, linear beyond; then C16.
 
     The histories become `knots` + 1 quantiles a cell in Spark, so a group holds one cell's future series and two short arrays.
     """
@@ -212,17 +212,18 @@ def bias_correct(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, ce
     v, x, y = F.col(value), F.col("__h"), F.col("__o")
     i = F.least(F.greatest(F.size(F.filter("__h", lambda e: e <= v)) - 1, F.lit(0)), F.lit(knots - 1))
     x0, x1, y0, y1 = F.get(x, i), F.get(x, i + 1), F.get(y, i), F.get(y, i + 1)
-    return wide.withColumn(value, F.coalesce(y0 + (v - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)), y0 + (v - x0))).drop("__o", "__h")
+    mapped = wide.withColumn(value, F.coalesce(y0 + (v - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)), y0 + (v - x0))).drop("__o", "__h")
+    return range_limit(obs, hist, fut, value, cell, corrected=mapped)
 
 
-def range_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell", f: float = 1.05) -> DataFrame:
-    """C16. Future values within their expected mean +- (largest deviation observed / in history) * future's * f."""
+def range_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell", f: float = 1.05, corrected: DataFrame | None = None) -> DataFrame:
+    """C16. Future values (or those of `corrected`) within their expected mean +- (largest deviation observed / in history) * future's * f."""
 
     def stats(d: DataFrame, n: str) -> DataFrame:
         mean = F.avg(value)
         return d.groupBy(cell).agg(mean.alias(f"m_{n}"), F.greatest(F.max(value) - mean, mean - F.min(value)).alias(f"d_{n}"))
 
-    wide = fut.join(stats(obs, "o"), cell).join(stats(hist, "h"), cell).join(stats(fut, "f"), cell)
+    wide = (fut if corrected is None else corrected).join(stats(obs, "o"), cell).join(stats(hist, "h"), cell).join(stats(fut, "f"), cell)
     mean = F.col("m_o") + F.col("m_f") - F.col("m_h")
     reach = F.coalesce(F.col("d_o") / F.nullif(F.col("d_h"), F.lit(0.0)), F.lit(1.0)) * F.col("d_f") * f
     return wide.withColumn(value, F.least(F.greatest(value, mean - reach), mean + reach)).select(*fut.columns)

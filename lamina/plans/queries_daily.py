@@ -243,7 +243,13 @@ def c14_coastal_exposure(spark, d):
     return climate.coastal_exposure(o, look, "dir")
 
 
-@query(None, "", "cell year", "tmax")
+_C15 = Y + """, h as (select cell, quantile_cont(tmax, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) as x, quantile_cont(tmax + 1, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) as z, avg(tmax) as m, greatest(max(tmax) - avg(tmax), avg(tmax) - min(tmax)) as dv from y where year < 1998 group by cell),
+f as (select cell, avg(tmax) as m, greatest(max(tmax) - avg(tmax), avg(tmax) - min(tmax)) as dv from y where year >= 1998 group by cell),
+p as (select cell, year, tmax as v, x, z, f.m as fm, f.dv * 1.05 as reach, greatest(1, least(10, len(list_filter(x, lambda e: e <= tmax)))) as i from y join h using (cell) join f using (cell) where year >= 1998)
+select cell, year, least(greatest(coalesce(z[i] + (v - x[i]) * (z[i + 1] - z[i]) / nullif(x[i + 1] - x[i], 0), z[i] + v - x[i]), fm + 1 - reach), fm + 1 + reach) as tmax from p"""
+
+
+@query(_C15, "", "cell year", "tmax")
 def c15_bias_correct(spark, d):
     y = yearly(spark, d).select("cell", "year", "tmax")
     return climate.bias_correct(y.filter("year < 1998").withColumn("tmax", F.col("tmax") + 1), y.filter("year < 1998"), y.filter("year >= 1998"), "tmax")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import season, structure
+from ..sources.checkpoints import cut
 from .registry import G, M, P, classes, grid, layers, monthly, pads, profiles, query, strata, table
 
 
+#: All dimensions of the given embeddings
+DIMS = [f"f{i}" for i in range(1, 65)]
+
+
 def features(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(4)])
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(len(DIMS))])
 
 
 @query(M + " select cell, month, y as raw, case when y between 0 and 100 then y * 0.1 end as y from m", "", "cell month", "raw y")
@@ -32,18 +37,21 @@ def t3_month_climatology(spark, d):
     return season.month_climatology(table(spark, d, "orders").selectExpr("o_custkey as cell", "month(o_orderdate) as month", "o_totalprice as y"), "y")
 
 
-@query(M + ", f as (select cell from m group by all having count(*) = 12) select cell, avg(y) as a0, sum(y * sin(2 * pi() * month / 12)) / 6 as a1, sum(y * cos(2 * pi() * month / 12)) / 6 as b1 from m join f using (cell) group by all", "", "cell", "a0 a1 b1")
+_T4 = M + """, w as (select cell, y, sin(2 * pi() * month / 12) as s, cos(2 * pi() * month / 12) as c from m),
+o as (select cell, count(*) as n, avg(y) as ym, avg(s) as sm, avg(c) as cm from w group by all),
+x as (select cell, any_value(n) as n, any_value(ym) as ym, any_value(sm) as sm, any_value(cm) as cm, sum((s - sm) * (s - sm)) as ss, sum((c - cm) * (c - cm)) as cc, sum((s - sm) * (c - cm)) as sc, sum((s - sm) * (y - ym)) as sy, sum((c - cm) * (y - ym)) as cy from w join o using (cell) group by cell),
+f as (select cell, ym, sm, cm, case when n >= 3 then (sy * cc - cy * sc) / (ss * cc - sc * sc) end as a1, case when n >= 3 then (cy * ss - sy * sc) / (ss * cc - sc * sc) end as b1 from x),
+k as (select cell, ym - a1 * sm - b1 * cm as a0, a1, b1 from f)"""
+
+
+@query(_T4 + " select cell, a0, a1, b1 from k", "", "cell", "a0 a1 b1")
 def t4_harmonic_fit(spark, d):
-    m = monthly(spark, d)
-    full = m.groupBy("cell").count().filter("count = 12").select("cell")
-    return season.harmonic_fit(m.join(full, "cell", "left_semi"), "y")
+    return season.harmonic_fit(monthly(spark, d), "y")
 
 
-@query(M + ", f as (select cell from m group by all having count(*) = 12), k as (select cell, avg(y) as a0, sum(y * sin(2 * pi() * month / 12)) / 6 as a1, sum(y * cos(2 * pi() * month / 12)) / 6 as b1 from m join f using (cell) group by all) select cell, q.month, greatest(a0 + a1 * sin(2 * pi() * q.month / 12) + b1 * cos(2 * pi() * q.month / 12), 0) as pred from k cross join (select unnest(range(1, 13)) as month) q", "", "cell month", "pred")
+@query(_T4 + " select cell, month, greatest(a0 + a1 * sin(2 * pi() * month / 12) + b1 * cos(2 * pi() * month / 12), case when a0 is not null then 0 end) as pred from k cross join (select unnest(range(1, 13)) as month)", "", "cell month", "pred")
 def t5_harmonic_predict(spark, d):
-    m = monthly(spark, d)
-    full = m.groupBy("cell").count().filter("count = 12").select("cell")
-    return season.harmonic_predict(season.harmonic_fit(m.join(full, "cell", "left_semi"), "y"))
+    return season.harmonic_predict(season.harmonic_fit(monthly(spark, d), "y"))
 
 
 @query(M + " select c_custkey as cell, a.month, case when b.y > 0 then c_acctbal * a.y / b.y end as v from customer join m a on a.cell = c_custkey join m b on b.cell = c_custkey and b.month = 6", "", "cell month", "v")
@@ -99,38 +107,39 @@ def t12_moving_average_cyclic(spark, d):
     return season.moving_average_cyclic(monthly(spark, d), 3, "y")
 
 
-E4 = "with e as (select vec_id, label, " + ", ".join(f"cast(embedding[{i}] as double) as f{i}" for i in range(1, 5)) + " from embeddings)"
+E4 = "with e as (select vec_id, label, " + ", ".join(f"cast(embedding[{i}] as double) as f{i}" for i in range(1, len(DIMS) + 1)) + " from embeddings)"
 
 
-@query(E4 + " select vec_id, f1, f2 from e where f1 + f2 + f3 + f4 > 0", "", "vec_id", "f1 f2")
+@query(E4 + " select vec_id, f1, f64 from e where " + " + ".join(DIMS) + " > 0", "", "vec_id", "f1 f64")
 def k1_complete_positive(spark, d):
-    return structure.complete_positive(features(spark, d), ["f1", "f2", "f3", "f4"])
+    return structure.complete_positive(features(spark, d), DIMS)
 
 
 @query(None, "", "vec_id", "pc1 pc2")
 def k2_pca(spark, d):
-    return structure.pca(features(spark, d), ["f1", "f2", "f3", "f4"], 2)[0]
+    return structure.pca(features(spark, d), DIMS, 2)[0]
 
 
 @query(None, "variable", "", "pc1 pc2 pc3 pc4")
 def k2_pca_table(spark, d):
-    cols = ["f1", "f2", "f3", "f4"]
-    return structure.pca_table(spark, cols, *structure.pca(features(spark, d), cols)[1:])
+    return structure.pca_table(spark, DIMS, *structure.pca(features(spark, d), DIMS)[1:])
 
 
 @query(None, "", "vec_id class")
 def k3_gmm(spark, d):
-    return structure.gmm(features(spark, d), ["f1", "f2", "f3", "f4"])
+    """Four components of all dimensions, written as a table since the fit reads them in each iteration."""
+    pcs = [f"pc{i}" for i in range(1, 5)]
+    return structure.gmm(cut(structure.pca(features(spark, d), DIMS, 4)[0].select("vec_id", *pcs)), pcs)
 
 
-@query(E4 + " select label, count(*) as n, avg(f1) as f1_mean, stddev_samp(f1) as f1_sd, avg(f2) as f2_mean, stddev_samp(f2) as f2_sd from e group by all", "", "label n", "f1_mean f1_sd f2_mean f2_sd")
+@query(E4 + " select label, count(*) as n, " + ", ".join(f"avg({c}) as {c}_mean, stddev_samp({c}) as {c}_sd" for c in DIMS) + " from e group by all", "", "label n", " ".join(f"{c}_mean {c}_sd" for c in DIMS))
 def k4_cluster_summary(spark, d):
-    return structure.cluster_summary(features(spark, d), ["f1", "f2"], "label")
+    return structure.cluster_summary(features(spark, d), DIMS, "label")
 
 
-@query(E4 + " select label, avg(f1) as f1, avg(f2) as f2 from e group by all", "", "label", "f1 f2")
+@query(E4 + " select label, " + ", ".join(f"avg({c}) as {c}" for c in DIMS) + " from e group by all", "", "label", " ".join(DIMS))
 def k4_centroids(spark, d):
-    return structure.centroids(features(spark, d), ["f1", "f2"], "label")
+    return structure.centroids(features(spark, d), DIMS, "label")
 
 
 @query(G + " select g.row, g.col, c.class from g left join (select row // 10 as row, col // 10 as col, min(class) as class from g group by all) c on c.row = g.row // 10 and c.col = g.col // 10", "", "row col class")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct
-from .grid import mask_above_canopy, mosaic
+from .grid import mask_above_canopy
 
 
 def daily_stats(df: DataFrame, ts: str = "ts", value: str = "v", keys: tuple[str, ...] = ("cell",)) -> DataFrame:
@@ -22,8 +24,8 @@ def monthly_stats(df: DataFrame, ts: str = "ts", value: str = "v", keys: tuple[s
 
 def merge_daily_tiles(tiles: list[DataFrame], chm: DataFrame, keys: tuple[str, ...] = ("cell", "height_m", "day")) -> DataFrame:
     """D3. Tiles on one grid: mean of tmean, max of tmax, min of tmin where they overlap, NULL over the canopy."""
-    parts = [mosaic([t.select(*keys, v) for t in tiles], list(keys), v, f) for v, f in (("tmean", "avg"), ("tmax", "max"), ("tmin", "min"))]
-    out = parts[0].join(parts[1], list(keys)).join(parts[2], list(keys))
+    every = reduce(DataFrame.unionByName, [t.select(*keys, "tmean", "tmax", "tmin") for t in tiles])
+    out = every.groupBy(*keys).agg(F.avg("tmean").alias("tmean"), F.max("tmax").alias("tmax"), F.min("tmin").alias("tmin"))
     return mask_above_canopy(out, chm, ["cell"], "height_m", ["tmean", "tmax", "tmin"], strict=True)
 
 

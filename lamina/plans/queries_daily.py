@@ -281,7 +281,7 @@ def c18_time_mean(spark, d):
     return climate.time_mean(hourly(spark, d), "v")
 
 
-@query(None, "day", "cell", "y")
+@query(M + ", e as (select cell, y, date '2000-01-01' + cast(floor((month * 30 - 16) * 366 / 360) as integer) as day from m), n as (select *, lead(day) over w as nd, lead(y) over w as ny from e window w as (partition by cell order by day)), x as (select *, unnest(range(coalesce(nd - day, 1))) as i from n) select cell, cast(day + cast(i as integer) as date) as day, coalesce(y + (ny - y) * i / (nd - day), y) as y from x", "day", "cell", "y")
 def c19_fix_360_calendar(spark, d):
     m = monthly(spark, d).withColumn("year", F.lit(2000)).withColumn("day360", F.col("month") * 30 - 15)
     return climate.fix_360_calendar(m, "y", "year", "day360")

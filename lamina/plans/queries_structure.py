@@ -86,7 +86,13 @@ def t9_interpolate_cyclic(spark, d):
     return season.interpolate_cyclic(holes(spark, d), "y")
 
 
-@query(None, "", "cell month class", "y")
+_T10 = M + GAPS.replace(", t as", ", t0 as") + """g0 as (select cell, y, row_number() over (partition by cell order by month) as i from t0), g1 as (select cell, i - row_number() over (partition by cell order by i) as g from g0 where y is null),
+lg as (select cell from (select cell, g, count(*) as n from g1 group by all) group by cell having max(n) > 1), t as (select * from t0 where cell not in (select cell from lg)), """ + T9 + """,
+ef as (select cell % 3 as class, month, avg(y) as e from t0 group by all), r as (select t0.cell, t0.month, y, e, avg(y / nullif(e, 0)) over (partition by t0.cell) as ra from t0 join lg using (cell) left join ef on ef.class = t0.cell % 3 and ef.month = t0.month)
+select cell, month, cell % 3 as class, y from k union all select cell, month, cell % 3, coalesce(y, e * ra) from r"""
+
+
+@query(_T10, "", "cell month class", "y")
 def t10_fill_seasonal(spark, d):
     x = holes(spark, d).withColumn("class", (F.col("cell") % 3).cast("int"))
     return season.fill_seasonal(x, season.season_effect(x, "y", keys=("class",)), "y", most=1)
@@ -97,7 +103,12 @@ def t11_season_effect(spark, d):
     return season.season_effect(holes(spark, d), "y")
 
 
-@query(None, "", "cell month", "y")
+_T11 = M + """, s as (select cell, month, case when (cell + month) % 3 <> 0 then y end as y from m), f as (select cell, 2 * count(y) >= count(*) and arg_min(y is not null, month) as ok, avg(y) as own from s group by cell),
+t as (select cell, month, y from s join f using (cell) where ok), """ + T9 + """, ef as (select month, avg(y) as e from s group by month)
+select cell, month, y from k union all select cell, month, e / (select avg(e) from ef) * own from s join f using (cell) join ef using (month) where not ok"""
+
+
+@query(_T11, "", "cell month", "y")
 def t11_season_adjust(spark, d):
     return season.season_adjust(monthly(spark, d).withColumn("y", F.when((F.col("cell") + F.col("month")) % 3 != 0, F.col("y"))), "y")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fm, linedup, neardup, pii, pst, quality, tables, tokenfile, winnow
+from . import bpe, decontam, fm, linedup, neardup, packing, pii, pst, quality, spelling, tables, tokenfile, turns, winnow
 
 
 def public_file(name: str) -> str:
@@ -60,7 +60,19 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.scores(tables.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op8_decontaminate_fm, op9_line_dedup, op10_suffix_tree_lm)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(tables.documents(spark, sf_dir))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tables.documents(spark, sf_dir), public_file("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op2_winnowing, op3_bpe_encode_decode, op4_pii_anchors, op5_quality_pu, op6_minhash_bayes, op7_token_files, op8_decontaminate_fm, op9_line_dedup, op10_suffix_tree_lm, op11_conversation_repair, op12_spelling_variants, op13_best_fit_packing)}
 
 #: A-Z lower-cased
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

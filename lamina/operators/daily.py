@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct
+from ..functions.quantiles import quantiles
+from ..sources.checkpoints import cut
 from .grid import mask_above_canopy
 
 
@@ -63,10 +65,14 @@ def strata_stats(df: DataFrame, strata: DataFrame, chm: DataFrame | None = None,
 
 
 def trim_above(df: DataFrame, value: str, q: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """NULL above the whole layer's quantile q: a row (or a row a key) is joined back."""
-    if keys:
-        return df.join(F.broadcast(df.groupBy(*keys).agg(pct(value, q).alias("__q"))), list(keys)).withColumn(value, F.when(F.col(value) <= F.col("__q"), F.col(value))).drop("__q")
-    return df.join(F.broadcast(df.agg(pct(value, q).alias("__q"))), how="cross").withColumn(value, F.when(F.col(value) <= F.col("__q"), F.col(value))).drop("__q")
+    """NULL above the whole layer's quantile q (or each key's), which is exact however many rows a layer has.
+
+    The layer is read several times, so it is written to the shared folder first.
+    """
+    layer = cut(df)
+    top = quantiles(layer, value, [q], keys)
+    wide = layer.join(top, list(keys), "left") if keys else layer.join(F.broadcast(top), how="cross")  # a row
+    return wide.withColumn(value, F.when(F.col(value) <= F.col("q0"), F.col(value))).drop("q0")
 
 
 def mean_trim_quantile(df: DataFrame, value: str, q: float = 0.95, cell: str = "cell", classes: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pct
+from ..functions.quantiles import quantiles
 from ..sources.checkpoints import cut
 
 
@@ -253,8 +253,13 @@ def landcover_rules(df: DataFrame, cell: str, height: str, pai: str, cut: float
 
 def global_stats(df: DataFrame, value: str, q: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
     """G22. Max, mean, sum and a quantile of a whole layer."""
-    aggs = (F.max(value).alias("max"), F.avg(value).alias("mean"), F.sum(value).alias("sum"), pct(value, q).alias("q"))
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    aggs = (F.max(value).alias("max"), F.avg(value).alias("mean"), F.sum(value).alias("sum"))
+    top = quantiles(df, value, [q], keys).withColumnRenamed("q0", "q")
+    if not keys:
+        return df.agg(*aggs).join(F.broadcast(top), how="left")  # a row each
+    other = top.toDF(*[f"__{k}" for k in keys], "q")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.groupBy(*keys).agg(*aggs).join(other, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def class_mean_fill(df: DataFrame, cls: str, value: str) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct
+from ..functions.quantiles import quantiles
 from .grid import fill_idw, focal_mean, nearest_layer
 
 
 def iqr_fence(points: DataFrame, z: str = "z") -> DataFrame:
     """P1. Points with z within 1.5 interquartile ranges of the quartiles, ends included."""
-    q = points.agg(pct(z, 0.25).alias("__a"), pct(z, 0.75).alias("__b"))
+    q = quantiles(points, z, [0.25, 0.75]).toDF("__a", "__b")
     spread = 1.5 * (F.col("__b") - F.col("__a"))
     return points.join(F.broadcast(q), how="cross").filter(F.col(z).between(F.col("__a") - spread, F.col("__b") + spread)).drop("__a", "__b")  # one row
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import beam_transmission, clamp, day_length, diffuse_share, julian_day, pct, saturation_pressure, sky_transmission, solar_constant, solar_shift, solar_zenith, turbidity
+from ..sources.checkpoints import cut, forget
 from .grid import fill_multiscale, sharpen
 
 SIGMA = 5.67e-8
@@ -304,38 +305,90 @@ def match_logit(fine: DataFrame, coarse: DataFrame, value: str) -> DataFrame:
     return wide.withColumn(value, 1 / (1 + F.exp(-z))).drop("m1", "s1", "m2", "s2")
 
 
-def _two_stream(leaf: Column, ground: Column, pai: Column) -> Column:
-    """Albedo of a canopy of leaves of a reflectance over ground of another."""
-    cover = 1 - F.exp(-0.5 * pai)
-    return cover * leaf + (1 - cover) * ground
+def _let(c: Column, f) -> Column:
+    """f of a column that is computed once, inside a lambda too."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def _bisect(f, lo: float = 0.001, hi: float = 0.999, steps: int = 30) -> Column:
-    """The root of a rising column expression f on lo..hi: the halvings are one SQL aggregate over a sequence."""
-    start = F.struct(F.lit(lo).alias("a"), F.lit(hi).alias("b"))
+def _leaf_spread(x: Column) -> Column:
+    """Squared cosine of the mean leaf angle for a ratio x of vertical to horizontal leaf projections; 1/3 for spherical ones (x = 1)."""
+    angle = F.least(9.65 * F.pow(3 + x, F.lit(-1.65)), F.lit(math.pi / 2))
+    return F.when(x == 1, 1 / 3).otherwise(F.cos(angle) * F.cos(angle))
+
+
+def _scatter(leaf: Column, x: Column, pai: Column) -> Column:
+    """Two-stream coefficients of a canopy whose leaves transmit a third of what they reflect: absorption a, backscatter g, extinction h, transmission s."""
+    through = 0.33 * leaf
+    a, back = 1 - leaf - through, 0.5 * (leaf + through + _leaf_spread(x) * (leaf - through))
+    h = F.sqrt(a * a + 2 * a * back)
+    return F.struct(a.alias("a"), back.alias("g"), h.alias("h"), F.exp(-h * pai).alias("s"))
+
+
+def _canopy_albedo(c: Column, ground: Column) -> Column:
+    """Diffuse albedo of a canopy with coefficients c (of _scatter) over ground of a reflectance."""
+    u = c["a"] + c["g"] * (1 - 1 / ground)
+    down, up = (u - c["h"]) / c["s"], (u + c["h"]) * c["s"]
+    return c["g"] * (down - up) / ((c["a"] + c["g"] + c["h"]) * down - (c["a"] + c["g"] - c["h"]) * up)
+
+
+def two_stream_albedo(leaf: Column, ground: Column, x: Column, pai: Column) -> Column:
+    return _canopy_albedo(_scatter(leaf, x, pai), ground)
+
+
+def _bisect(f, lo: float, hi: float, tol: float = 1e-6, steps: int = 100) -> Column:
+    """The first midpoint of halved lo..hi at which the column expression f is within tol of 0; NULL if none is in so many steps.
+
+    The halvings are one SQL aggregate over a sequence; f is computed once in each.
+    """
+    state = lambda a, b, fa, root: F.struct(a.alias("a"), b.alias("b"), fa.alias("fa"), root.alias("root"))
+    none = F.lit(None).cast("double")
 
     def half(s: Column, _: Column) -> Column:
-        mid = (s["a"] + s["b"]) / 2
-        up = f(mid) > 0
-        return F.struct(F.when(up, s["a"]).otherwise(mid).alias("a"), F.when(up, mid).otherwise(s["b"]).alias("b"))
+        def split(mid: Column) -> Column:
+            return _let(f(mid), lambda y: F.when(F.abs(y) < tol, state(s["a"], s["b"], s["fa"], mid)).when(s["fa"] * y < 0, state(s["a"], mid, s["fa"], none)).otherwise(state(mid, s["b"], y, none)))
+
+        return F.when(s["root"].isNotNull(), s).otherwise(_let((s["a"] + s["b"]) / 2, split))
+
+    start = state(F.lit(lo), F.lit(hi), f(F.lit(lo)), none)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: s["root"])
+
+
+def ground_reflectance(leaf: Column, pai: Column, x: Column, albedo: Column) -> Column:
+    """R3. The ground under leaves of a reflectance for which the albedo results; NULL if there is none."""
+    there = leaf.isNotNull() & pai.isNotNull() & x.isNotNull() & albedo.isNotNull()
+    return F.when(there, _let(_scatter(leaf, x, pai), lambda c: _bisect(lambda g: _canopy_albedo(c, g) - albedo, 0.0001, 0.9999)))
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: (s["a"] + s["b"]) / 2)
+def leaf_reflectance(pai: Column, ground: Column, x: Column, albedo: Column) -> Column:
+    """R3. The leaves above ground of a reflectance for which the albedo results; NULL if there are none."""
+    there = ground.isNotNull() & pai.isNotNull() & x.isNotNull() & albedo.isNotNull()
+    return F.when(there, _bisect(lambda r: _let(_scatter(r, x, pai), lambda c: _canopy_albedo(c, ground)) - albedo, 0.0001, 0.7499))
 
 
-def invert_reflectance(df: DataFrame, albedo: str, pai: str, tol: float = 1e-3, most: int = 50, w: float = 0.5, store=None) -> DataFrame:
-    """R3. Ground and leaf reflectance in turn, each by bisection, damped, until their global means settle.
+def invert_reflectance(df: DataFrame, albedo: str, pai: str, x: str, tol: float = 1e-3, most: int = 50, w: float = 0.5) -> DataFrame:
+    """R3. Leaf and ground reflectance of each cell (row, col) from its albedo, plant area and leaf angle ratio x.
 
-    store(df) cuts the lineage of a round (a checkpoint by default).
+    They start at 0.5 and 0.15. A round finds each by bisection of the two-stream albedo from the other's last value, fills gaps over the grid (G11,
+    cells without x stay NULL) and takes the mean of old (weight w) and new. Rounds end once the larger of both mean absolute
+    differences between a new mean and what was found is at most tol, or after `most`. A round's cells are one table in the shared folder; the one before it is deleted.
     """
-    store = store or (lambda d: d.checkpoint())
-    d, before = df.withColumn("leaf", F.lit(0.3)).withColumn("ground", F.lit(0.15)), None
+    there = F.col(x).isNotNull()
+    d, before = df.withColumn("leaf", F.when(there, F.lit(0.5))).withColumn("ground", F.when(there, F.lit(0.15))), None
+    mixed = lambda c: (w * F.col(c) + (1 - w) * F.col(f"__{c}")).alias(c)
     for _ in range(most):
-        d = d.withColumn("ground", (1 - w) * F.col("ground") + w * _bisect(lambda g: _two_stream(F.col("leaf"), g, F.col(pai)) - F.col(albedo)))
-        d = store(d.withColumn("leaf", (1 - w) * F.col("leaf") + w * _bisect(lambda x: _two_stream(x, F.col("ground"), F.col(pai)) - F.col(albedo))))
-        now = d.agg(F.avg("ground"), F.avg("leaf")).first()
-        if before is not None and None not in now and max(abs(a - b) for a, b in zip(now, before, strict=True)) < tol:
+        found = d.withColumn("__ground", ground_reflectance(F.col("leaf"), F.col(pai), F.col(x), F.col(albedo))).withColumn("__leaf", leaf_reflectance(F.col(pai), F.col("ground"), F.col(x), F.col(albedo)))
+        whole, held = cut(found), []
+        if any(whole.filter(there).agg(*[F.count(F.when(F.col(f"__{c}").isNull(), 1)) for c in ("ground", "leaf")]).first()):
+            both = whole.select("row", "col", x, F.inline(F.array(*[F.struct(F.lit(c).alias("__of"), F.col(f"__{c}").alias("__v")) for c in ("ground", "leaf")])))
+            filled = fill_multiscale(both, "__v", keys=("__of",)).filter(there).groupBy("row", "col").agg(*[F.max(F.when(F.col("__of") == c, F.col("__v"))).alias(f"__{c}") for c in ("ground", "leaf")])
+            held, whole = [whole], cut(whole.drop("__ground", "__leaf").join(filled, ["row", "col"], "left"))
+        d = whole.select(*df.columns, mixed("leaf"), mixed("ground"))
+        change = whole.agg(*[F.avg(F.abs(mixed(c) - F.col(f"__{c}"))) for c in ("ground", "leaf")]).first()
+        for old in [*held, *[before] * (before is not None)]:
+            forget(old)
+        before = whole
+        if None in tuple(change) or max(change) <= tol:
             break
-        before = now
     return d
 
 

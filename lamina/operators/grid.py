@@ -119,22 +119,32 @@ def focal_mean(df: DataFrame, value: str, n: int = 3, keys: tuple[str, ...] = ()
     return df.join(means, [*keys, "row", "col"], "left").withColumn(value, F.col("__m")).drop("__m")
 
 
-def fill_multiscale(df: DataFrame, value: str, zero_to_null: bool = False, mask_df: DataFrame | None = None, levels: tuple[int, ...] = (2, 4, 8, 16)) -> DataFrame:
-    """G11. Gaps from block means brought back bilinearly, finest first, then from the global mean, then the mask.
+def fill_multiscale(df: DataFrame, value: str, zero_to_null: bool = False, mask_df: DataFrame | None = None, levels: tuple[int, ...] = (2, 4, 8, 16), keys: tuple[str, ...] = ()) -> DataFrame:
+    """G11. Gaps from block means brought back bilinearly, finest first, then from the global mean (of each of keys), then the mask.
 
-    A level is used if both sides of the grid are longer than its factor.
+    A level is used if both sides of the grid are longer than its factor. All levels' blocks are one aggregation and
+    meet the gaps, and only these, in one join.
     """
     base = df.withColumn(value, F.when(F.col(value) != 0, F.col(value))) if zero_to_null else df
     size = df.agg(F.max("row") - F.min("row") + 1, F.max("col") - F.min("col") + 1).first()  # two numbers
+    used = [f for f in levels if size[0] is not None and min(size) > f]
     out, fills = base, [F.col(value)]
-    for f in levels:
-        if size[0] is not None and min(size) > f:
-            back = resample_bilinear(coarsen(base, f, value), df, f, value)
-            out = out.join(back.withColumnRenamed(value, f"__f{f}"), ["row", "col"], "left")
-            fills.append(F.col(f"__f{f}"))
-    mean = base.agg(F.avg(value).alias("__mean"))
-    out = out.join(F.broadcast(mean), how="cross").withColumn(value, F.coalesce(*fills, F.col("__mean")))  # one row
-    out = out.select(*df.columns)
+    if used:
+        level, known = F.explode(F.array(*map(F.lit, used))).alias("__f"), F.col(value).isNotNull()
+        block = [F.expr(f"{c} div __f").cast("int").alias(f"__{c[0]}") for c in ("row", "col")]
+        blocks = base.filter(known).select(*keys, "row", "col", value, level).groupBy(*keys, "__f", *block).agg(F.avg(value).alias("__v"))
+        x, y = (F.col("col") + 0.5) / F.col("__f") - 0.5, (F.col("row") + 0.5) / F.col("__f") - 0.5
+        near = base.filter(~known).select(*keys, "row", "col", level).withColumn("x", x).withColumn("y", y)
+        near = near.withColumn("o", F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (0, 1) for b in (0, 1)])))
+        r, c = (F.floor("y") + F.col("o.dr")).cast("int"), (F.floor("x") + F.col("o.dc")).cast("int")
+        near = near.select(*keys, "row", "col", "__f", r.alias("__r"), c.alias("__c"), ((1 - F.abs(F.col("y") - r)) * (1 - F.abs(F.col("x") - c))).alias("__w"))
+        at = lambda f, v: F.sum(F.when(F.col("__f") == f, v))
+        means = [(at(f, F.col("__w") * F.col("__v")) / F.nullif(at(f, F.col("__w")), F.lit(0.0))).alias(f"__f{f}") for f in used]
+        out = out.join(near.join(blocks, [*keys, "__f", "__r", "__c"]).groupBy(*keys, "row", "col").agg(*means), [*keys, "row", "col"], "left")
+        fills += [F.col(f"__f{f}") for f in used]
+    mean = base.groupBy(*keys).agg(F.avg(value).alias("__mean"))
+    out = out.join(mean, list(keys), "left") if keys else out.join(F.broadcast(mean), how="cross")  # one row without keys
+    out = out.withColumn(value, F.coalesce(*fills, F.col("__mean"))).select(*df.columns)
     return mask(out, mask_df, ["row", "col"], value, [c for c in mask_df.columns if c not in ("row", "col")][0]) if mask_df is not None else out
 
 

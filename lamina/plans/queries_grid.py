@@ -279,12 +279,10 @@ def r2_match_logit(spark, d):
     return climate.match_logit(one("customer", "c_custkey", "c_acctbal"), one("supplier", "s_suppkey", "s_acctbal"), "v")
 
 
-@query(None, "", "c_custkey", "albedo leaf ground")
+@query(None, "", "cell", "albedo leaf ground")
 def r3_invert_reflectance(spark, d):
-    from ..sources.checkpoints import cut
-
-    x = table(spark, d, "customer").select("c_custkey", (0.1 + F.pmod(F.abs("c_acctbal"), F.lit(2000.0)) / 10000).alias("albedo"), (F.col("c_nationkey") / 5.0).alias("pai"))
-    return climate.invert_reflectance(x, "albedo", "pai", store=cut)
+    x = grid(spark, d).select("cell", "row", "col", (0.08 + F.pmod(F.abs("value"), F.lit(2000.0)) / 10000).alias("albedo"), (F.col("class") / 5.0).alias("pai"), F.when(F.col("cell") % 41 != 0, 0.6 + (F.col("row") % 9) / 10).alias("x"))
+    return climate.invert_reflectance(x, "albedo", "pai", "x")
 
 
 @query("select l_suppkey as cell, sum(w * l_quantity) / sum(w) as v from (select *, list_value(5.0, 5.0, 3.75, 3.75, 2.5, 3.125)[l_linenumber] as w from lineitem where l_linenumber <= 6) group by all", "", "cell", "v")

@@ -27,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that `cut` gave and that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import beam_transmission, clamp, day_length, diffuse_share, julian_day, pct, saturation_pressure, sky_transmission, solar_constant, solar_shift, solar_zenith, turbidity
+from ..functions.columns import beam_transmission, clamp, day_length, diffuse_share, julian_day, saturation_pressure, sky_transmission, solar_constant, solar_shift, solar_zenith, turbidity
 from ..sources.checkpoints import cut, forget
 from .grid import fill_multiscale, sharpen
 
@@ -147,21 +147,50 @@ def _thomas(h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def daily_to_hourly_spline(df: DataFrame, value: str, cell: str = "cell", day: str = "day", lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """C9. Hourly values of each cell's series by a natural cubic spline through noon values, clamped. A group is one cell's series."""
+def daily_to_hourly_spline(df: DataFrame, value: str | list[str], cell: str = "cell", day: str = "day", lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """C9. Hourly values of one or more series of each cell by natural cubic splines through noon values, clamped.
+
+    A group is one cell's days, bounded by the length of the record. A series is NULL in a cell where it has no value; days without one are passed over.
+    """
+    values = [value] if isinstance(value, str) else list(value)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna().sort_values(day)
+        p = p.dropna(subset=[day]).dropna(subset=values, how="all").sort_values(day)
         if not len(p):
-            return pd.DataFrame({cell: [], "ts": [], value: []})
+            return pd.DataFrame({cell: [], "ts": pd.Series(dtype="datetime64[s]"), **{v: [] for v in values}})
         x = pd.to_datetime(p[day]).to_numpy().astype("datetime64[s]").astype(np.int64) / 3600 + 12
-        at = np.arange(x[0] - 12, x[-1] + 12)
-        out = _spline(x.astype(float), p[value].to_numpy(float), at.astype(float))
-        out = np.clip(out, -np.inf if lo is None else lo, np.inf if hi is None else hi)
-        return pd.DataFrame({cell: p[cell].iloc[0], "ts": (at * 3600).astype("datetime64[s]"), value: out})
+        at, out = np.arange(x[0] - 12, x[-1] + 12), {}
+        for v in values:
+            y = p[v].to_numpy(float)
+            known = ~np.isnan(y)
+            out[v] = np.clip(_spline(x[known], y[known], at.astype(float)), -np.inf if lo is None else lo, np.inf if hi is None else hi) if known.any() else np.full(len(at), np.nan)
+        return pd.DataFrame({cell: p[cell].iloc[0], "ts": (at * 3600).astype("datetime64[s]"), **out})
 
     kind = df.schema[cell].dataType.simpleString()
-    return df.select(cell, day, value).groupBy(cell).applyInPandas(run, f"{cell} {kind}, ts timestamp_ntz, {value} double")
+    out = df.select(cell, day, *values).groupBy(cell).applyInPandas(run, f"{cell} {kind}, ts timestamp_ntz, " + ", ".join(f"{v} double" for v in values))
+    return out.withColumns({v: F.nanvl(v, F.lit(None).cast("double")) for v in values})
+
+
+def convert_hours(hourly: DataFrame, rain: DataFrame, vapour: str = "vapour", emissivity: str = "emissivity", precip: str = "precip", temp: str = "temp", cell: str = "cell", ts: str = "ts", day: str = "day") -> DataFrame:
+    """C9. relhum, lwdown and precip of hours from splined vapour pressure, sky emissivity and rain, and the hours' temperature.
+
+    Relative humidity is within 10..100. An hour's rain is the splined one times the day's value (`rain`: cell, day, precip) over the mean of its splined
+    hours; where that is not above 0 (or the mean is 0) it is a 24th of the day's value.
+    """
+    t = F.col(temp)
+    wet = (F.col(vapour) / saturation_pressure(t)) * 100
+    d = hourly.withColumn("__day", F.to_date(ts)).join(rain.select(F.col(cell).alias("__cell"), F.col(day).alias("__d"), F.col(precip).alias("__total")), F.col(cell).eqNullSafe(F.col("__cell")) & (F.col("__day") == F.col("__d")), "left")
+    mean = F.sum(F.col(precip) / 24.0).over(Window.partitionBy(cell, "__day"))
+    hour = F.try_divide(F.col("__total"), mean) * F.col(precip)
+    d = d.withColumn("relhum", clamp(wet, 10.0, 100.0)).withColumn("lwdown", F.col(emissivity) * SIGMA * F.pow(t + 273.15, F.lit(4.0)))
+    d = d.withColumn(precip, F.when(F.col(precip).isNotNull(), F.when(hour > 0, hour).otherwise(F.col("__total") / 24)))
+    return d.drop("__day", "__d", "__cell", "__total", vapour, emissivity)
+
+
+def daily_to_hourly(df: DataFrame, temps: DataFrame, cell: str = "cell", day: str = "day", ts: str = "ts") -> DataFrame:
+    """C9. Pressure, humidity, long-wave and rain at each hour from daily vapour, emissivity, pres and precip, with the hours' temperature (cell, ts, temp)."""
+    hours = daily_to_hourly_spline(df, ["pres", "vapour", "emissivity", "precip"], cell, day)
+    return convert_hours(hours.join(temps.select(cell, ts, "temp"), [cell, ts]), df)
 
 
 def blend_temperature(hourly: DataFrame, daily: DataFrame, value: str = "temp", cell: str = "cell", day: str = "day") -> DataFrame:
@@ -202,18 +231,91 @@ def coastal_exposure(df: DataFrame, lookup: DataFrame, direction: str, n: int =
     return df.withColumn("sector", sector).join(lookup, [cell, "sector"], "left")
 
 
-def bias_correct(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell", knots: int = 10) -> DataFrame:
-    """C15. Future values through the quantile map of both histories: both sorted, smoothed over quantile knots, linear beyond; then C16.
-
-    The histories become `knots` + 1 quantiles a cell in Spark, so a group holds one cell's future series and two short arrays.
+def _cubic_penalty(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the natural cubic spline through values at knots: the matrix that gives its second derivatives, and that of its roughness."""
+    h, n = np.diff(knots), len(knots)
+    d, b = np.zeros((n - 2, n)), np.zeros((n - 2, n - 2))
+    for i in range(n - 2):
+        d[i, i : i + 3] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
+        b[i, i] = (h[i] + h[i + 1]) / 3
+        if i + 1 < n - 2:
+            b[i, i + 1] = b[i + 1, i] = h[i + 1] / 6
+    inner = np.linalg.solve(b, d)
+    return np.vstack([np.zeros(n), inner, np.zeros(n)]), d.T @ inner
+
+
+def smooth_map(x: np.ndarray, y: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Knots, values and second derivatives of a penalised natural cubic spline of y on x with k knots at quantiles of x; the penalty by generalised cross-validation."""
+    knots = np.unique(np.quantile(np.unique(x), np.linspace(0, 1, k)))
+    if len(knots) < 3:
+        line = np.polyfit(x, y, 1) if len(knots) == 2 else np.array([0.0, y.mean()])
+        ends = knots if len(knots) == 2 else np.array([knots[0], knots[0] + 1])
+        return ends, np.polyval(line, ends), np.zeros(2)
+    second, rough = _cubic_penalty(knots)
+    h = np.diff(knots)
+    i = np.clip(np.searchsorted(knots, x, side="right") - 1, 0, len(h) - 1)
+    t, u, rows = knots[i + 1] - x, x - knots[i], np.arange(len(x))
+    design = ((t**3 / h[i] - h[i] * t) / 6)[:, None] * second[i] + ((u**3 / h[i] - h[i] * u) / 6)[:, None] * second[i + 1]
+    design[rows, i] += t / h[i]
+    design[rows, i + 1] += u / h[i]
+    gram, moment, best = design.T @ design, design.T @ y, None
+    scale = np.trace(gram) / max(np.trace(rough), 1e-300)
+    for power in np.linspace(-12, 6, 73):
+        full = gram + scale * 10.0**power * rough
+        try:
+            beta, edf = np.linalg.solve(full, moment), np.trace(np.linalg.solve(full, gram))
+        except np.linalg.LinAlgError:
+            continue
+        gcv = len(x) * ((y - design @ beta) ** 2).sum() / max(len(x) - edf, 1e-9) ** 2
+        if best is None or gcv < best[0] - 1e-12 * abs(best[0]):
+            best = (gcv, beta)
+    return knots, best[1], second @ best[1]
+
+
+def paired_ranks(obs: DataFrame, hist: DataFrame, value: str, cell: str = "cell", most: int = 1000) -> DataFrame:
+    """cell, i, o and h: both histories in rising order side by side, at m = least(values of either, most) ranks spread evenly from the smallest to the largest."""
+
+    def ranked(d: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy(cell)
+        known = d.filter(F.col(value).isNotNull())
+        return known.select(cell, F.col(value).alias(name), (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias(f"n{name}"))
+
+    sizes = lambda d, n: d.filter(F.col(value).isNotNull()).groupBy(cell).agg(F.count("*").alias(n))
+    m = sizes(obs, "a").join(sizes(hist, "b"), cell).select(cell, F.least("a", "b", F.lit(most)).alias("m"))
+
+    def kept(d: DataFrame, name: str) -> DataFrame:
+        n, r, last = F.col(f"n{name}") - 1, F.col("r"), F.col("m") - 1
+        i = F.when(last > 0, F.ceil(r * last / F.nullif(n, F.lit(0)))).otherwise(0)
+        at = F.when(last > 0, F.floor(i * n / last)).otherwise(0)
+        return ranked(d, name).join(m, cell).withColumn("i", i).filter(at == r).select(cell, "i", name)
+
+    return kept(obs, "o").join(kept(hist, "h"), [cell, "i"])
+
+
+def bias_correct(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell", knots: int = 10, ranks: int = 1000) -> DataFrame:
+    """C15. Future values through a smooth map between both histories in rising order, then the range limit (C16).
+
+    The map of a cell is a penalised cubic spline, linear beyond its ends, fitted to at most `ranks` pairs of like rank: that is all a
+    group holds. Its knots join the future rows, which are mapped by an expression. Cells without a history drop out, NULLs stay.
     """
-    qs = [i / knots for i in range(knots + 1)]
-    q = lambda d, n: d.groupBy(cell).agg(F.percentile(value, qs).alias(n))
-    wide = fut.join(q(obs, "__o"), cell).join(q(hist, "__h"), cell)
-    v, x, y = F.col(value), F.col("__h"), F.col("__o")
-    i = F.least(F.greatest(F.size(F.filter("__h", lambda e: e <= v)) - 1, F.lit(0)), F.lit(knots - 1))
-    x0, x1, y0, y1 = F.get(x, i), F.get(x, i + 1), F.get(y, i), F.get(y, i + 1)
-    mapped = wide.withColumn(value, F.coalesce(y0 + (v - x0) * (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)), y0 + (v - x0))).drop("__o", "__h")
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("i")
+        x, y, s = smooth_map(p["h"].to_numpy(float), p["o"].to_numpy(float), knots)
+        return pd.DataFrame({cell: [p[cell].iloc[0]], "__x": [x.tolist()], "__y": [y.tolist()], "__s": [s.tolist()]})
+
+    kind = fut.schema[cell].dataType.simpleString()
+    maps = paired_ranks(obs, hist, value, cell, ranks).groupBy(cell).applyInPandas(fit, f"{cell} {kind}, __x array<double>, __y array<double>, __s array<double>")
+    v, last = F.col(value), F.size("__x") - 2
+    i = F.least(F.greatest(F.size(F.filter("__x", lambda e: e <= v)) - 1, F.lit(0)), last)
+    at = lambda c, j: F.get(c, j)
+    d = fut.join(maps, cell).withColumn("__i", i)
+    i = F.col("__i")
+    x0, x1, y0, y1, s0, s1 = at("__x", i), at("__x", i + 1), at("__y", i), at("__y", i + 1), at("__s", i), at("__s", i + 1)
+    h, t, u = x1 - x0, x1 - v, v - x0
+    inside = (t * y0 + u * y1) / h + (t * t * t / h - h * t) * s0 / 6 + (u * u * u / h - h * u) * s1 / 6
+    low, high = y0 + u * ((y1 - y0) / h - h * s1 / 6), y1 + (v - x1) * ((y1 - y0) / h + h * s0 / 6)  # end slopes: the second derivative there is 0
+    mapped = d.withColumn(value, F.when(u < 0, low).when(t < 0, high).otherwise(inside)).drop("__x", "__y", "__s", "__i")
     return range_limit(obs, hist, fut, value, cell, corrected=mapped)
 
 
@@ -227,24 +329,34 @@ def range_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cel
     wide = (fut if corrected is None else corrected).join(stats(obs, "o"), cell).join(stats(hist, "h"), cell).join(stats(fut, "f"), cell)
     mean = F.col("m_o") + F.col("m_f") - F.col("m_h")
     reach = F.coalesce(F.col("d_o") / F.nullif(F.col("d_h"), F.lit(0.0)), F.lit(1.0)) * F.col("d_f") * f
-    return wide.withColumn(value, F.least(F.greatest(value, mean - reach), mean + reach)).select(*fut.columns)
+    return wide.withColumn(value, clamp(value, mean - reach, mean + reach)).select(*fut.columns)
 
 
 def rain_limit(obs: DataFrame, hist: DataFrame, fut: DataFrame, value: str, cell: str = "cell") -> DataFrame:
     """C16. Future precipitation not above (largest observed / in history) * future's largest; no limit where history is dry."""
     top = lambda d, n: d.groupBy(cell).agg(F.max(value).alias(n))
     wide = fut.join(top(obs, "__o"), cell).join(top(hist, "__h"), cell).join(top(fut, "__f"), cell)
-    return wide.withColumn(value, F.least(value, F.try_divide(F.col("__o") * F.col("__f"), F.col("__h")))).select(*fut.columns)
+    limit = F.try_divide(F.col("__o") * F.col("__f"), F.col("__h"))
+    return wide.withColumn(value, F.when(F.col(value).isNotNull(), F.least(value, limit))).select(*fut.columns)
+
 
+def rain_adjust(df: DataFrame, value: str, step: str, share: str, total: str, regional: str, cell: str = "cell") -> DataFrame:
+    """C17. share * n wet steps in each cell, then rescaled to the total.
 
-def rain_adjust(df: DataFrame, value: str, step: str, share: str, total: str, cell: str = "cell") -> DataFrame:
-    """C17. share * n wet steps in each cell (the largest values; new ones get the least wet value), rescaled to the total."""
+    Too few: of the dry steps those with the least regional rain (ties by step, unknown last) get the cell's smallest rain. Too many: the smallest
+    values become 0 (ties by step). A cell whose first step is NULL stays as it is; one without rain stays at 0.
+    """
     w = Window.partitionBy(cell)
-    d = df.withColumn("__n", F.round(F.col(share) * F.count("*").over(w))).withColumn("__k", F.row_number().over(w.orderBy(F.desc(value), step)))
-    least = F.min(F.when(F.col(value) > 0, F.col(value))).over(w)
-    d = d.withColumn("__v", F.when(F.col("__k") <= F.col("__n"), F.when(F.col(value) > 0, F.col(value)).otherwise(F.coalesce(least, F.lit(1.0)))).otherwise(0.0))
-    s = F.sum("__v").over(w)
-    return d.withColumn(value, F.when(s > 0, F.col("__v") * F.col(total) / s).otherwise(0.0)).select(*df.columns)
+    v, wet = F.col(value), F.count(F.when(F.col(value) > 0, 1)).over(w)
+    d = df.withColumn("__n", F.count("*").over(w)).withColumn("__want", F.round(F.col(share) * F.col("__n"))).withColumn("__wet", wet)
+    d = d.withColumn("__dry_rank", F.row_number().over(Window.partitionBy(cell, v == 0).orderBy(F.asc_nulls_last(regional), step))).withColumn("__rank", F.row_number().over(w.orderBy(F.asc_nulls_last(value), step)))
+    least = F.coalesce(F.min(F.when(v > 0, v)).over(w), F.lit(5001.0))
+    more = (F.col("__wet") < F.col("__want")) & (v == 0) & (F.col("__dry_rank") <= F.col("__want") - F.col("__wet"))
+    fewer = (F.col("__wet") > F.col("__want")) & v.isNotNull() & (F.col("__rank") <= F.col("__n") - F.col("__want"))
+    d = d.withColumn("__v", F.when(more, least).when(fewer, 0.0).otherwise(v))
+    known = F.min_by(v.isNotNull(), F.struct(step)).over(w)
+    scaled = F.coalesce(F.try_divide(F.col("__v") * F.col(total), F.sum("__v").over(w)), F.when(F.col("__v").isNotNull(), 0.0))
+    return d.withColumn(value, F.when(known, scaled).otherwise(v)).select(*df.columns)
 
 
 def time_mean(df: DataFrame, value: str, cell: str = "cell", strict: bool = False) -> DataFrame:

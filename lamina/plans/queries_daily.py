@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import climate, daily
@@ -202,9 +203,29 @@ def c8_daily_to_hourly_temp(spark, d):
     return climate.daily_to_hourly_temp(x)
 
 
-@query(None, "ts", "cell", "tmean")
+def day_series(spark, d) -> DataFrame:
+    """Daily pressure, vapour, emissivity and rain of the event cells."""
+    s = hourly(spark, d).groupBy("cell", "day").agg(F.avg("v").alias("v"), F.count("*").alias("k"), F.max("height_m").alias("h"))
+    return s.selectExpr("cell", "day", "100 + v / 100 as pres", "0.5 + v / 100 as vapour", "0.6 + k / 20.0 as emissivity", "case when h > 1 then v / 10 else 0.0 end as precip")
+
+
+@query(None, "ts", "cell", "pres relhum lwdown precip")
 def c9_daily_to_hourly_spline(spark, d):
-    return climate.daily_to_hourly_spline(daily.daily_stats(hourly(spark, d)), "tmean", lo=0.0)
+    s = day_series(spark, d)
+    hours = F.explode(F.sequence(F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz") + F.expr("interval 23 hours"), F.expr("interval 1 hour"))).alias("ts")
+    temps = s.groupBy("cell").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("cell", hours).withColumn("temp", 15 + 10 * F.cos((F.hour("ts") - 14) / 12 * 3.14159265) - F.col("cell") % 20)
+    return climate.daily_to_hourly(s, temps)
+
+
+_DAYS = "(select cell, day, avg(v) as m, count(*) as k, sum(v) / 100 as total from h group by all)"
+
+
+@query(H + f", dd as {_DAYS}, x as (select h.cell, h.ts, h.v as temp, dd.m / 40 as vapour, (k + 4.0) / 10 as em, (h.v - 5) / 10 as p, total from h join dd using (cell, day)), y as (select *, sum(p / 24.0) over (partition by cell, cast(ts as date)) as mean, case when temp > 0 then 0.61078 * exp(17.27 * temp / (temp + 237.3)) else 0.61078 * exp(21.875 * temp / (temp + 265.5)) end as es from x) select cell, temp, least(greatest(vapour / es * 100, 10), 100) as relhum, em * 5.67e-8 * pow(temp + 273.15, 4) as lwdown, case when mean <> 0 and total / mean * p > 0 then total / mean * p else total / 24 end as precip from y", "", "cell", "temp relhum lwdown precip")
+def c9_convert_hours(spark, d):
+    h = hourly(spark, d)
+    days = h.groupBy("cell", "day").agg(F.avg("v").alias("m"), F.count("*").alias("k"), (F.sum("v") / 100).alias("precip"))
+    x = h.join(days.drop("precip"), ["cell", "day"]).selectExpr("cell", "ts", "v as temp", "m / 40 as vapour", "(k + 4) / 10 as emissivity", "(v - 5) / 10 as precip")
+    return climate.convert_hours(x, days)
 
 
 @query(H + ", x as (select *, (v - min(v) over (partition by cell, day)) / nullif(max(v) over (partition by cell, day) - min(v) over (partition by cell, day), 0) as s from h), t as (select cell, day, min(v) - 1 as tmin, max(v) + 1 as tmax from h group by all) select x.cell, x.v as raw, coalesce(tmin + s * (tmax - tmin), (tmin + tmax) / 2) as temp from x join t using (cell, day)", "", "cell", "raw temp")
@@ -243,16 +264,10 @@ def c14_coastal_exposure(spark, d):
     return climate.coastal_exposure(o, look, "dir")
 
 
-_C15 = Y + """, h as (select cell, quantile_cont(tmax, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) as x, quantile_cont(tmax + 1, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) as z, avg(tmax) as m, greatest(max(tmax) - avg(tmax), avg(tmax) - min(tmax)) as dv from y where year < 1998 group by cell),
-f as (select cell, avg(tmax) as m, greatest(max(tmax) - avg(tmax), avg(tmax) - min(tmax)) as dv from y where year >= 1998 group by cell),
-p as (select cell, year, tmax as v, x, z, f.m as fm, f.dv * 1.05 as reach, greatest(1, least(10, len(list_filter(x, lambda e: e <= tmax)))) as i from y join h using (cell) join f using (cell) where year >= 1998)
-select cell, year, least(greatest(coalesce(z[i] + (v - x[i]) * (z[i + 1] - z[i]) / nullif(x[i + 1] - x[i], 0), z[i] + v - x[i]), fm + 1 - reach), fm + 1 + reach) as tmax from p"""
-
-
-@query(_C15, "", "cell year", "tmax")
+@query(None, "", "cell year", "tmax")
 def c15_bias_correct(spark, d):
     y = yearly(spark, d).select("cell", "year", "tmax")
-    return climate.bias_correct(y.filter("year < 1998").withColumn("tmax", F.col("tmax") + 1), y.filter("year < 1998"), y.filter("year >= 1998"), "tmax")
+    return climate.bias_correct(y.filter("year < 1998").withColumn("tmax", 1 + 0.9 * F.col("tmax") + F.col("tmax") ** 2 / 400), y.filter("year < 1998"), y.filter("year >= 1998"), "tmax")
 
 
 @query(Y + ", o as (select cell, avg(tmin) as m, max(abs(tmin - a)) as dv from (select *, avg(tmin) over (partition by cell) as a from y) group by all), hh as (select cell, avg(tmean) as m, max(abs(tmean - a)) as dv from (select *, avg(tmean) over (partition by cell) as a from y) group by all), f as (select cell, avg(tmax) as m, max(abs(tmax - a)) as dv from (select *, avg(tmax) over (partition by cell) as a from y) group by all) select y.cell, y.tmax as raw, least(greatest(tmax, o.m + f.m - hh.m - o.dv / hh.dv * f.dv * 0.9), o.m + f.m - hh.m + o.dv / hh.dv * f.dv * 0.9) as v from y join o using (cell) join hh using (cell) join f using (cell)", "", "cell", "raw v")
@@ -270,10 +285,13 @@ def c16_rain_limit(spark, d):
     return climate.rain_limit(one("tmin"), one("tmean"), y.select("cell", F.col("tmax").alias("v"), F.col("tmax").alias("raw")), "v")
 
 
-@query(None, "", "cell", "v")
+_C17 = H + ", q as (select cell, event_id as step, case when value > 20 then value else 0.0 end as v, (event_id * 7919) % 1009 as regional, 0.2 + (cell % 5) / 10.0 as share, 100.0 as total from (select *, user_id as cell from events)), r as (select *, count(*) over w as n, count(*) filter (where v > 0) over w as wet, min(case when v > 0 then v end) over w as least_v, row_number() over (partition by cell, v = 0 order by regional, step) as dry, row_number() over (partition by cell order by v, step) as rk from q window w as (partition by cell)), a as (select *, case when wet < round(share * n) and v = 0 and dry <= round(share * n) - wet then coalesce(least_v, 5001.0) when wet > round(share * n) and rk <= n - round(share * n) then 0.0 else v end as w2 from r)"
+
+
+@query(_C17 + " select cell, step, w2 * total / sum(w2) over (partition by cell) as v from a", "", "cell step", "v")
 def c17_rain_adjust(spark, d):
-    x = hourly(spark, d).withColumn("v", F.when(F.col("v") > 20, F.col("v")).otherwise(0.0)).withColumn("share", F.lit(0.4)).withColumn("total", F.lit(100.0))
-    return climate.rain_adjust(x, "v", "ts", "share", "total")
+    x = table(spark, d, "events").selectExpr("user_id as cell", "event_id as step", "case when value > 20 then value else 0.0D end as v", "event_id * 7919 % 1009 as regional", "0.2D + user_id % 5 / 10.0D as share", "100.0D as total")
+    return climate.rain_adjust(x, "v", "step", "share", "total", "regional")
 
 
 @query(H + " select cell, avg(v) as v from h group by all", "", "cell", "v")

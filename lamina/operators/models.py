@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct
+from ..sources.checkpoints import cut
 from .daily import in_strata
 from .grid import cell_xy
 from .points import stratum_pai
@@ -236,24 +241,49 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < 0.02425, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(mid)
 
 
-def qq_points(df: DataFrame, value: str, group: str) -> DataFrame:
-    """M17. Ordered values of each group against normal quantiles at (i - 0.5) / n."""
+def global_ranks(df: DataFrame, value: str, group: str, rank: str = "rank", size: str = "size") -> DataFrame:
+    """group and value of the rows with a value, with their rank (from 1, ties in some order) and number in the group.
+
+    Rows are sorted by range over many tasks, also those of one group or one value; a task ranks its own, and sums over
+    the tasks before it are added. No window holds a group.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(group, value).withColumn("__id", F.monotonically_increasing_id())
+    parts = cut(rows.repartitionByRange(group, value, "__id").withColumn("__p", F.spark_partition_id()))
+    counts = parts.groupBy(group, "__p").agg(F.count("*").alias("__k"))  # a row a group and task
     w = Window.partitionBy(group)
-    p = (F.row_number().over(w.orderBy(value)) - 0.5) / F.count("*").over(w)
-    return df.filter(F.col(value).isNotNull()).withColumn("p", p).select(group, value, inverse_normal(F.col("p")).alias("theoretical"))
+    before = F.coalesce(F.sum("__k").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), before.alias("__before"), F.sum("__k").over(w).alias(size))
+    own = F.row_number().over(Window.partitionBy(group, "__p").orderBy(value, "__id"))
+    out = parts.withColumn(rank, own).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return out.select(group, value, (F.col(rank) + F.col("__before")).alias(rank), size)
+
+
+def qq_points(df: DataFrame, value: str, group: str) -> DataFrame:
+    """M17. Ordered values of each group against normal quantiles at (rank - 0.5) / n."""
+    return global_ranks(df, value, group).select(group, value, inverse_normal((F.col("rank") - 0.5) / F.col("size")).alias("theoretical"))
 
 
-def variogram(df: DataFrame, groups: list[str], x: str, y: str, value: str, cutoff: float = 0.5, width: float = 0.01, cap: int = 2000, seed: int = 1) -> DataFrame:
-    """M18. Semivariance by distance bin over the pairs of at most `cap` points a group (a sample by hash), met by buckets of side `cutoff`."""
-    w = Window.partitionBy(*groups).orderBy(F.xxhash64(x, y, value, F.lit(seed)), x, y, value)
-    d = df.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= cap).select(*groups, "__i", x, y, value)
-    d = d.withColumn("__bx", F.floor(F.col(x) / cutoff)).withColumn("__by", F.floor(F.col(y) / cutoff))
-    other = d.select(*groups, F.col("__i").alias("__j"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("__v"), "__bx", "__by")
-    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    near = d.withColumn("__o", F.explode(offs)).withColumn("__bx", F.col("__bx") + F.col("__o.a")).withColumn("__by", F.col("__by") + F.col("__o.b")).drop("__o")
-    dist = F.sqrt((F.col(x) - F.col("__x")) ** 2 + (F.col(y) - F.col("__y")) ** 2)
-    pairs = near.join(other, [*groups, "__bx", "__by"]).filter("__i < __j").withColumn("dist", dist).filter(F.col("dist") <= cutoff)
-    return pairs.groupBy(*groups, F.floor(F.col("dist") / width).cast("int").alias("bin")).agg(F.avg("dist").alias("dist"), (F.avg((F.col(value) - F.col("__v")) ** 2) / 2).alias("gamma"), F.count("*").alias("pairs"))
+def variogram(df: DataFrame, groups: list[str], x: str, y: str, value: str, cutoff: float = 0.5, width: float = 0.01, cap: int | None = None, seed: int = 1) -> DataFrame:
+    """M18. Semivariance by distance bin over all pairs of a group's points that are at most `cutoff` apart; repeated points are points of their own.
+
+    Points meet by buckets of half the cutoff's side: each bucket its own pairs in order of a row number, and the twelve buckets around it that lie ahead,
+    so a pair is made once. AQE splits full buckets; bins are summed before the shuffle. With cap, at most so many points a group, by a hash.
+    """
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(value).isNotNull()).select(*groups, x, y, value)
+    if cap is not None:
+        w = Window.partitionBy(*groups).orderBy(F.xxhash64(x, y, value, F.lit(seed)), x, y, value)
+        known = known.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= cap).drop("__i")
+    side = cutoff / 2
+    d = cut(known.withColumn("__i", F.monotonically_increasing_id()).withColumn("__bx", F.floor(F.col(x) / side)).withColumn("__by", F.floor(F.col(y) / side)))
+    other = d.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("__i").alias("__j"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(value).alias("__v"), F.col("__bx").alias("__cx"), F.col("__by").alias("__cy"))
+    ahead = [(a, b) for a in range(3) for b in range(-2, 3) if a > 0 or b >= 0]
+    near = d.withColumn("__o", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ahead])))
+    near = near.withColumn("__tx", F.col("__bx") + F.col("__o.a")).withColumn("__ty", F.col("__by") + F.col("__o.b"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    dx, dy, dv = F.col(x) - F.col("__x"), F.col(y) - F.col("__y"), F.col(value) - F.col("__v")
+    pairs = near.join(other, [*same, F.col("__tx") == F.col("__cx"), F.col("__ty") == F.col("__cy")])
+    pairs = pairs.filter((F.col("__o.a") > 0) | (F.col("__o.b") > 0) | (F.col("__i") < F.col("__j"))).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= cutoff)
+    return pairs.groupBy(*groups, F.floor(F.col("dist") / width).cast("int").alias("bin")).agg(F.avg("dist").alias("dist"), (F.avg(dv * dv) / 2).alias("gamma"), F.count("*").alias("pairs"))
 
 
 def assign_blocks(df: DataFrame, size: float, x: str = "x_km", y: str = "y_km", site: str = "site", check: bool = False) -> DataFrame:
@@ -289,24 +319,58 @@ def within_slope(sums: DataFrame, group: str, by: list[str]) -> DataFrame:
     return (g.groupBy(*by) if by else g.groupBy()).agg((top / F.nullif(low, F.lit(0.0))).alias("slope"))
 
 
-def block_draws(blocks: DataFrame, replicates: int, seed: int = 123, site: str = "site") -> DataFrame:
-    """b, site, block and times: within each site as many blocks as it has, with replacement, by the MD5 of (seed, b, site, slot)."""
-    n = blocks.select(site, "block").distinct().groupBy(site).agg(F.count("*").alias("n"))
-    slots = n.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    d = slots.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", site, "slot").cast("binary")), 1, 8), 16, 10).cast("long")
-    return d.groupBy("b", site, (F.pmod(h, F.col("n")) + 1).cast("int").alias("block")).agg(F.count("*").alias("times"))
+def packed_blocks(sums: DataFrame, group: str, site: str = "site") -> DataFrame:
+    """site, blocks (their number) and sums: one row a site, an entry for each of its blocks and groups."""
+    entry = F.struct(F.col("block").cast("int").alias("block"), F.col(group).alias("g"), *[F.col(c).cast("double").alias(c) for c in SUMS[:5]])
+    return sums.groupBy(site).agg(F.max("block").cast("int").alias("blocks"), F.sort_array(F.collect_list(entry)).alias("sums"))
 
 
-def block_bootstrap(sums: DataFrame, group: str, replicates: int = 4999, seed: int = 123, site: str = "site") -> DataFrame:
-    """M23. The within slope of each replicate of resampled blocks; an error if one cannot be estimated."""
-    draws = block_draws(sums, replicates, seed, site)
-    j = draws.join(sums, [site, "block"])
-    weighted = j.select("b", site, group, *[(F.col(s) * F.col("times")).alias(s) for s in SUMS])
-    out = within_slope(weighted, group, ["b"])
+def slots(start: np.ndarray, n: int) -> np.ndarray:
+    """For each start (the first 32 bits of the MD5 of `seed:b:site`) n draws from 0..n-1: start + j * 2654435769 for j = 1..n, mixed by two rounds of shifted XOR and multiplication modulo 2^32."""
+    x = (start.astype(np.int64)[:, None] + np.arange(1, n + 1) * 2654435769) & 0xFFFFFFFF
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 73244475) & 0xFFFFFFFF
+    return (x ^ (x >> 16)) % n
+
+
+def block_bootstrap(sums: DataFrame, group: str, replicates: int = 4999, seed: int = 123, site: str = "site", chunk: int = 250) -> DataFrame:
+    """M23. The within slope of each replicate of resampled blocks; an error if one cannot be estimated.
+
+    In each site as many blocks are drawn as it has, with replacement (`slots`). A site's block sums
+    are one row; for each `chunk` of replicates the numbers of draws are a matrix of weights, and its product with the sums gives the replicates' sums by
+    group. So no row is made for a draw, and sites and chunks are spread over tasks.
+    """
+    kind = sums.schema[group].dataType.simpleString()
+    first = F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(chunk)))
+    work = packed_blocks(sums, group, site).select(F.col(site).cast("string").alias("site"), "blocks", "sums", first.alias("first")).repartition("site", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, n, begin, entries = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py(), batch.column(2).slice(k, 1).flatten()
+                groups = entries.field("g").dictionary_encode(null_encoding="encode")
+                at, many = groups.indices.to_numpy(), len(groups.dictionary)
+                table = np.zeros((n, many, 5))
+                for c, s in enumerate(SUMS[:5]):
+                    table[entries.field("block").to_numpy() - 1, at, c] = entries.field(s).to_numpy()
+                reps = range(begin, min(begin + chunk, replicates + 1))
+                drawn = slots(np.array([int(hashlib.md5(f"{seed}:{b}:{name}".encode()).hexdigest()[:8], 16) for b in reps]), n)
+                weights = np.bincount((drawn + n * np.arange(len(reps))[:, None]).reshape(-1), minlength=n * len(reps)).reshape(len(reps), n).astype(float)
+                total = (weights @ table.reshape(n, -1)).reshape(len(reps), many, 5)
+                out = {"b": pa.array(np.repeat(np.array(reps, np.int32), many)), group: groups.dictionary.take(pa.array(np.tile(np.arange(many), len(reps))))}
+                yield pa.RecordBatch.from_pydict(out | {s: pa.array(np.ascontiguousarray(total[:, :, c]).reshape(-1)) for c, s in enumerate(SUMS[:5])})
+
+    drawn = work.mapInArrow(run, f"b int, {group} {kind}, " + ", ".join(f"{s} double" for s in SUMS[:5]))
+    out = within_slope(drawn.withColumn("syy", F.lit(None).cast("double")), group, ["b"])
     return out.withColumn("slope", F.when(F.col("slope").isNotNull(), F.col("slope")).otherwise(F.raise_error(F.lit("a draw cannot be estimated")).cast("double")))
 
 
+def bootstrap_sizes(df: DataFrame, sizes: tuple[float, ...], x: str, y: str, group: str, replicates: int = 4999, seed: int = 123, site: str = "site") -> DataFrame:
+    """M23 for several block sizes (km): block_size, b and slope. df has x_km and y_km."""
+    parts = [block_bootstrap(block_sums(assign_blocks(df, size, site=site), x, y, [site, "block", group]), group, replicates, seed, site).withColumn("block_size", F.lit(size)) for size in sizes]
+    return functools.reduce(DataFrame.unionByName, parts).select("block_size", "b", "slope")
+
+
 def bootstrap_ci(draws: DataFrame, value: str = "slope", by: list[str] = ()) -> DataFrame:
     """M24. 0.025 and 0.975 quantiles, per decade, and as percent change."""
     lo, hi = pct(value, 0.025), pct(value, 0.975)
@@ -336,11 +400,21 @@ def effect_scaling(effects: DataFrame, df: DataFrame, cls: str, predictor: str,
     return out.withColumns({f"{n}_{p}": F.col(effect) * F.col(n) * k for n in ("iqr", "span") for p, k in (("decade", 10), ("20y", 20))})
 
 
-def class_structure_table(df: DataFrame, cls: str, site: str, value: str) -> DataFrame:
-    """M28. Medians by site and class, then their mean and sd over sites, with the share of rows, rounded to 2."""
-    per = df.groupBy(site, cls).agg(pct(value, 0.5).alias("median"), F.count("*").alias("cells"))
-    out = per.groupBy(cls).agg(F.round(F.avg("median"), 2).alias("mean"), F.round(F.stddev_samp("median"), 2).alias("sd"), F.sum("cells").alias("cells"), F.count("*").alias("sites"))
-    return out.withColumn("percent", F.round(100 * F.col("cells") / F.sum("cells").over(Window.partitionBy(F.lit(0))), 2))
+def class_structure_table(cells: DataFrame, zones: DataFrame, values: list[str], res: float, cls: str = "class", site: str = "site", digits: int = 2) -> DataFrame:
+    """M28. Classes over all sites: area, zones, medians of cell values, weighted zone height, percent of the area; rounded.
+
+    cells (site, class, values), side res in metres; zones (site, class, zone_start, zone_end). First by site and class: cells, hectares, number and mean height of zones and
+    the median of each value. Then over sites: sums of cells and hectares, mean and sample sd of the others, and the zone heights weighted by the zones' number. Classes without zones
+    have no zone columns.
+    """
+    per = cells.groupBy(site, cls).agg(F.count("*").alias("n_cells"), (F.count("*") * F.lit(res * res / 10000)).alias("area_ha"), *[pct(v, 0.5).alias(f"median_{v}") for v in values])
+    strata = zones.groupBy(site, cls).agg(F.count("*").alias("n_zones"), F.avg(F.col("zone_end") - F.col("zone_start")).alias("zone_height"))
+    per = per.join(strata, [site, cls], "left")
+    both = [f(F.col(v)).alias(f"{n}_{v}") for v in ("n_zones", "zone_height", *[f"median_{v}" for v in values]) for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    weighted = F.sum(F.col("zone_height") * F.col("n_zones")) / F.nullif(F.sum("n_zones"), F.lit(0))
+    out = per.groupBy(cls).agg(F.count("*").alias("n_sites"), F.sum("n_cells").alias("total_n_cells"), F.sum("area_ha").alias("total_area_ha"), *both, weighted.alias("weighted_mean_zone_height"), F.coalesce(F.sum("n_zones"), F.lit(0)).alias("total_zone_count"))
+    out = out.withColumn("total_percent", 100 * F.col("total_area_ha") / F.sum("total_area_ha").over(Window.partitionBy(F.lit(0))))  # a row a class
+    return out.withColumns({c: F.round(c, digits) for c, t in out.dtypes if t == "double" and c != cls})
 
 
 def pooled_stats(df: DataFrame, metric: str, value: str, site: str) -> DataFrame:

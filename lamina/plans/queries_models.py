@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import models as m_
@@ -136,19 +138,36 @@ def m16_residuals(spark, d):
     return m_.residuals(p, m_.ols(p, "p_retailprice", [("p_size",)]), "p_retailprice", [("p_size",)])
 
 
-@query(None, "c_mktsegment", "", "c_acctbal theoretical")
+def normal_sql(p: str) -> str:
+    """The normal quantile of p by the constants of inverse_normal."""
+    a = "-39.6968302866538 220.946098424521 -275.928510446969 138.357751867269 -30.6647980661472 2.50662827745924".split()
+    b = "-54.4760987982241 161.585836858041 -155.698979859887 66.8013118877197 -13.2806815528857 1.0".split()
+    c = "-0.00778489400243029 -0.322396458041136 -2.40075827716184 -2.54973253934373 4.37466414146497 2.93816398269878".split()
+    d = "0.00778469570904146 0.32246712907004 2.445134137143 3.75440866190742 1.0".split()
+    poly = lambda cs, x: functools.reduce(lambda out, v: f"({out} * {x} + {v}::double)", cs)
+    q, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return f"case when {p} < 0.02425 then {poly(c, low)} / {poly(d, low)} when {p} > 0.97575 then -{poly(c, high)} / {poly(d, high)} else {q} * {poly(a, f'({q} * {q})')} / {poly(b, f'({q} * {q})')} end"
+
+
+@query("select c_mktsegment, c_acctbal, " + normal_sql("p") + " as theoretical from (select *, (row_number() over (partition by c_mktsegment order by c_acctbal) - 0.5)::double / count(*) over (partition by c_mktsegment) as p from customer)", "c_mktsegment", "", "c_acctbal theoretical")
 def m17_qq_points(spark, d):
     return m_.qq_points(table(spark, d, "customer"), "c_acctbal", "c_mktsegment")
 
 
-@query(None, "seg", "bin pairs", "dist gamma")
+_M18 = G + ", pt as (select seg, cell, value, col / 10.0::double as x, row / 10.0::double as y from g), pr as (select a.seg, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist, (a.value - b.value) * (a.value - b.value) as v from pt a join pt b on a.seg = b.seg and a.cell < b.cell and abs(a.x - b.x) <= 0.51)"
+
+
+@query(_M18 + " select seg, cast(floor(dist / 0.1::double) as bigint) as bin, avg(dist) as dist, avg(v) / 2 as gamma, count(*) as pairs from pr where dist <= 0.5 group by all", "seg", "bin pairs", "dist gamma")
 def m18_variogram(spark, d):
     return m_.variogram(grid(spark, d).withColumn("x", F.col("col") / 10).withColumn("y", F.col("row") / 10), ["seg"], "x", "y", "value", width=0.1)
 
 
+def block_cells(spark, d):
+    return grid(spark, d).select(F.col("class").alias("site"), "cell", "seg", (F.col("col") / 10).alias("x_km"), (F.col("row") / 10).alias("y_km"), (F.col("value") / 1000).alias("value"), (F.col("cell") % 17).cast("double").alias("px"))
+
+
 def blocks(spark, d):
-    g = grid(spark, d).select(F.col("class").alias("site"), "cell", "seg", (F.col("col") / 10).alias("x_km"), (F.col("row") / 10).alias("y_km"), (F.col("value") / 1000).alias("value"), (F.col("cell") % 17).cast("double").alias("px"))
-    return m_.assign_blocks(g, 1.0)
+    return m_.assign_blocks(block_cells(spark, d), 1.0)
 
 
 B = G + ", bx as (select class as site, cell, seg, floor(col / 10.0) as a, floor(row / 10.0) as b, value / 1000 as value, cell % 17 as px from g), bl as (select *, dense_rank() over (partition by site order by a, b) as block from bx), bs as (select site, block, seg, count(*) as n, sum(px) as sx, sum(value) as sy, sum(px * px) as sxx, sum(px * value) as sxy, sum(value * value) as syy from bl group by all)"
@@ -178,18 +197,20 @@ def m22_within_slope(spark, d):
     return m_.within_slope(sums(spark, d), "seg", [])
 
 
-REPS = 200
-DRAWS = B + f", nb as (select site, count(distinct block) as n from bs group by all), dr as (select b, nb.site, ('0x' || substr(md5('123:' || b || ':' || nb.site || ':' || slot), 1, 8))::bigint % n + 1 as block from nb cross join (select unnest(range(1, {REPS + 1})) as b) q join (select unnest(range(1, 100000)) as slot) sl on slot <= n), jj as (select dr.b, seg, sum(bs.n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from dr join bs on bs.site = dr.site and bs.block = dr.block group by all), sl2 as (select b, sum(sxy - sx * sy / n) / sum(sxx - sx * sx / n) as slope from jj group by all)"
+#: The study's replicates and block sides (km)
+REPS, SIZES = 4999, (0.3, 0.5)
+_ONE = "b{i} as (select site, seg, px, value, dense_rank() over (partition by site order by floor(col / 10.0::double / {size}::double), floor(row / 10.0::double / {size}::double)) as block from (select class as site, seg, row, col, value / 1000 as value, cell % 17 as px from g)), s{i} as (select site, block, seg, count(*) as n, sum(px) as sx, sum(value) as sy, sum(px * px) as sxx, sum(px * value) as sxy from b{i} group by all), n{i} as (select site, count(distinct block) as n from s{i} group by all), h{i} as (select b, site, n, ('0x' || substr(md5('123:' || b || ':' || site), 1, 8))::bigint as h from n{i} cross join (select unnest(range(1, {reps} + 1)) as b) q), x{i} as (select b, site, n, (h + unnest(range(1, n + 1)) * 2654435769) % 4294967296 as x from h{i}), y{i} as (select b, site, n, xor(x, x >> 16) * 73244475 % 4294967296 as x from x{i}), z{i} as (select b, site, n, xor(x, x >> 16) * 73244475 % 4294967296 as x from y{i}), d{i} as (select b, site, xor(x, x >> 16) % n + 1 as block, count(*) as times from z{i} group by all), j{i} as (select b, seg, sum(times * n) as n, sum(times * sx) as sx, sum(times * sy) as sy, sum(times * sxx) as sxx, sum(times * sxy) as sxy from d{i} join s{i} using (site, block) group by all), r{i} as (select {size}::double as block_size, b, sum(sxy - sx * sy / n) / sum(sxx - sx * sx / n) as slope from j{i} group by all)"
+DRAWS = G + ", " + ", ".join(_ONE.format(i=i, size=size, reps=REPS) for i, size in enumerate(SIZES)) + ", sl2 as (select * from r0 union all select * from r1)"
 
 
-@query(DRAWS + " select * from sl2", "", "b", "slope")
+@query(DRAWS + " select * from sl2", "", "b", "block_size slope")
 def m23_block_bootstrap(spark, d):
-    return m_.block_bootstrap(sums(spark, d), "seg", REPS)
+    return m_.bootstrap_sizes(block_cells(spark, d), SIZES, "px", "value", "seg", REPS)
 
 
-@query(DRAWS + " select quantile_cont(slope, 0.025) as lower, quantile_cont(slope, 0.975) as upper, 10 * quantile_cont(slope, 0.025) as lower_decade, 100 * (exp(quantile_cont(slope, 0.975)) - 1) as upper_percent from sl2", "", "", "lower upper lower_decade upper_percent")
+@query(DRAWS + " select block_size, quantile_cont(slope, 0.025) as lower, quantile_cont(slope, 0.975) as upper, 10 * quantile_cont(slope, 0.025) as lower_decade, 100 * (exp(quantile_cont(slope, 0.975)) - 1) as upper_percent from sl2 group by all", "", "", "block_size lower upper lower_decade upper_percent")
 def m24_bootstrap_ci(spark, d):
-    return m_.bootstrap_ci(m_.block_bootstrap(sums(spark, d), "seg", REPS))
+    return m_.bootstrap_ci(m_.bootstrap_sizes(block_cells(spark, d), SIZES, "px", "value", "seg", REPS), by=["block_size"])
 
 
 @query(B + " select site, count(*) as rows, count(distinct cell) as cells, count(distinct block) as blocks from bl group by all", "", "site rows cells blocks")
@@ -210,9 +231,16 @@ def m27_effect_scaling(spark, d):
     return m_.effect_scaling(m_.fit_from_sums(sums(spark, d), "seg", []), blocks(spark, d), "seg", "px")
 
 
-@query("with p as (select c_nationkey as site, c_mktsegment as class, median(c_acctbal) as m, count(*) as k from customer group by all) select class, round(avg(m) + 1.7e-8, 2) as mean, round(stddev_samp(m), 2) as sd, sum(k) as cells, count(*) as sites, round(100.0 * sum(k) / (select sum(k) from p), 2) as percent from p group by all", "class", "cells sites", "mean sd percent")
+_M28 = "with c as (select c_nationkey as site, c_mktsegment as class, c_acctbal as chm, c_custkey % 97 / 10.0 as pai from customer), z as (select s_nationkey as site, seg as class, s_suppkey % 7 as zone_start, s_suppkey % 7 + 1.5 + s_suppkey % 3 as zone_end from supplier join (select distinct c_mktsegment as seg from customer where c_mktsegment <> 'BUILDING') q on (s_suppkey + length(seg)) % 2 = 0), p as (select site, class, count(*) as n_cells, count(*) * 0.04 as area_ha, median(chm) as mc, median(pai) as mp from c group by all), zz as (select site, class, count(*) as nz, avg(zone_end - zone_start) as zh from z group by all), j as (select * from p left join zz using (site, class))"
+_M28_COLS = "total_area_ha mean_n_zones sd_n_zones mean_zone_height sd_zone_height mean_median_chm sd_median_chm mean_median_pai sd_median_pai weighted_mean_zone_height total_percent"
+
+
+@query(_M28 + " select class, count(*) as n_sites, sum(n_cells) as total_n_cells, round(sum(area_ha)::double, 2) as total_area_ha, round(avg(nz), 2) as mean_n_zones, round(stddev_samp(nz), 2) as sd_n_zones, round(avg(zh), 2) as mean_zone_height, round(stddev_samp(zh), 2) as sd_zone_height, round(avg(mc), 2) as mean_median_chm, round(stddev_samp(mc), 2) as sd_median_chm, round(avg(mp), 2) as mean_median_pai, round(stddev_samp(mp), 2) as sd_median_pai, round(sum(zh * nz) / sum(nz), 2) as weighted_mean_zone_height, coalesce(sum(nz), 0) as total_zone_count, round((100 * sum(area_ha) / (select sum(area_ha) from p))::double, 2) as total_percent from j group by all", "class", "n_sites total_n_cells total_zone_count", _M28_COLS)
 def m28_class_structure_table(spark, d):
-    return m_.class_structure_table(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", "c_acctbal").withColumnRenamed("c_mktsegment", "class")
+    cells = table(spark, d, "customer").selectExpr("c_nationkey as site", "c_mktsegment as class", "c_acctbal as chm", "c_custkey % 97 / 10 as pai")
+    segs = cells.filter("class <> 'BUILDING'").select("class").distinct()
+    zones = table(spark, d, "supplier").join(segs, F.expr("(s_suppkey + length(class)) % 2 = 0")).selectExpr("s_nationkey as site", "class", "cast(s_suppkey % 7 as double) as zone_start", "s_suppkey % 7 + 1.5D + s_suppkey % 3 as zone_end")
+    return m_.class_structure_table(cells, zones, ["chm", "pai"], 20.0)
 
 
 @query("select c_mktsegment as metric, count(c_acctbal) as n, avg(c_acctbal) as mean, stddev_samp(c_acctbal) as sd, min(c_acctbal) as min, quantile_cont(c_acctbal, 0.05) as q05, quantile_cont(c_acctbal, 0.25) as q25, quantile_cont(c_acctbal, 0.5) as q50, quantile_cont(c_acctbal, 0.75) as q75, quantile_cont(c_acctbal, 0.95) as q95, max(c_acctbal) as max, count(distinct c_nationkey) as sites from customer group by all", "metric", "n sites", "mean sd min q05 q25 q50 q75 q95 max")

@@ -6,11 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct
+from ..functions.splines import smooth_map
+from ..sources.checkpoints import cut
 from .grid import resample_near
 
 
@@ -65,25 +67,44 @@ def classes_to_grid(classes: DataFrame, cells: DataFrame, factor: int, cls: str
     return resample_near(classes.select("row", "col", cls), cells, factor, cls)
 
 
-def aligned_profiles(df: DataFrame, keys: list[str], height: str, value: str, n: int = 100) -> DataFrame:
-    """Profiles at n even heights from their lowest to their highest, linear between, ends held."""
-    w = Window.partitionBy(*keys).orderBy(height)
-    seg = df.filter(F.col(value).isNotNull()).withColumn("__h2", F.lead(height).over(w)).withColumn("__v2", F.lead(value).over(w))
-    ext = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(height).alias("__a"), F.max(height).alias("__b"))
-    at = ext.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__h", F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("i") / (n - 1))
-    both = at.join(seg, keys).filter((F.col("__h") >= F.col(height)) & (F.col("__h2").isNull() | (F.col("__h") < F.col("__h2"))))
-    v = F.col(value) + F.coalesce((F.col("__v2") - F.col(value)) * (F.col("__h") - F.col(height)) / (F.col("__h2") - F.col(height)), F.lit(0.0))
-    return both.select(*keys, "i", F.col("__h").alias(height), v.alias(value))
-
-
-def profile_cluster(df: DataFrame, keys: list[str], height: str, value: str, n: int = 20, k: int = 3, components: int = 3, seed: int = 1) -> DataFrame:
-    """K6. Profiles at n heights as shares, their components, k-means: a cluster by profile, numbered by size."""
-    a = aligned_profiles(df, keys, height, value, n)
-    share = a.withColumn("__s", F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy(*keys)), F.lit(0.0)))
-    wide = share.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("__s"))).alias(f"s{i}") for i in range(n)]).na.drop()
-    x = VectorAssembler(inputCols=[f"s{i}" for i in range(n)], outputCol="__x").transform(wide)
+def on_heights(df: DataFrame, keys: list[str], height: str, value: str, at: list[float], hold: bool) -> DataFrame:
+    """keys, i, height and value: each profile at the rising heights `at` (a few hundred at most), linear between its own, of equal heights the mean.
+
+    Beyond its ends a profile keeps its end values, or (hold=False) has no rows.
+    """
+    known = df.filter(F.col(value).isNotNull() & F.col(height).isNotNull()).groupBy(*keys, F.col(height).cast("double").alias("__h")).agg(F.avg(value).alias("__v"))
+    w = Window.partitionBy(*keys).orderBy("__h")
+    seg = known.withColumn("__h2", F.lead("__h").over(w)).withColumn("__v2", F.lead("__v").over(w)).withColumn("__first", F.lag("__h").over(w).isNull())
+    points = F.transform(F.array(*map(F.lit, at)), lambda z, i: F.struct(i.alias("i"), z.alias("z")))
+    before = F.lit(hold) & F.col("__first")
+    last = lambda z: F.col("__h2").isNull() & (F.lit(hold) | (z == F.col("__h")))
+    inside = F.filter(points, lambda p: (before & (p["z"] < F.col("__h"))) | ((p["z"] >= F.col("__h")) & F.coalesce(p["z"] < F.col("__h2"), last(p["z"]))))
+    d = seg.withColumn("__p", F.explode(inside))
+    z = F.col("__p.z")
+    v = F.when((z < F.col("__h")) | F.col("__h2").isNull(), F.col("__v")).otherwise(F.col("__v") + (F.col("__v2") - F.col("__v")) * (z - F.col("__h")) / (F.col("__h2") - F.col("__h")))
+    return d.select(*keys, F.col("__p.i").alias("i"), z.alias(height), v.alias(value))
+
+
+def profile_cluster(df: DataFrame, keys: list[str], height: str, value: str, n: int = 100, k: int = 3, components: int = 3, starts: int = 25, seed: int = 123) -> DataFrame:
+    """K6. Profiles at n even heights from the lowest to the highest of all (ends held), as shares of their sums, scaled; their components; k-means, the best of `starts`.
+
+    A cluster by profile, numbered by falling size. A profile without any density has shares of 0; a height at which all agree counts as 0.
+    """
+    ends = df.filter(F.col(value).isNotNull()).agg(F.min(height).cast("double"), F.max(height).cast("double")).first()  # two numbers
+    if ends[0] is None:
+        return df.select(*keys).limit(0).withColumn("cluster", F.lit(0))
+    at = np.linspace(ends[0], ends[1], n).tolist()
+    a = on_heights(df, keys, height, value, at, hold=True)
+    wide = a.groupBy(*keys).agg(F.sum(value).alias("__sum"), *[F.max(F.when(F.col("i") == i, F.col(value))).alias(f"s{i}") for i in range(n)])
+    share = wide.select(*keys, *[F.coalesce(F.col(f"s{i}") / F.nullif(F.col("__sum"), F.lit(0.0)), F.lit(0.0)).alias(f"s{i}") for i in range(n)])
+    x = cut(share)
+    x = VectorAssembler(inputCols=[f"s{i}" for i in range(n)], outputCol="__raw").transform(x)
+    x = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(x).transform(x)
     x = PCA(k=components, inputCol="__x", outputCol="__pc").fit(x).transform(x)
-    out = KMeans(k=k, featuresCol="__pc", predictionCol="__k", seed=seed, initSteps=5).fit(x).transform(x)
+    pcs = cut(x.select(*keys, vector_to_array("__pc").alias("__a")))
+    x = pcs.withColumn("__pc", array_to_vector("__a")).drop("__a")
+    best = min((KMeans(k=k, featuresCol="__pc", predictionCol="__k", seed=seed + i).fit(x) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    out = best.transform(x)
     size = out.groupBy("__k").agg(F.count("*").alias("__n")).withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("__n"), "__k")))  # k rows
     return out.join(F.broadcast(size), "__k").select(*keys, "cluster")
 
@@ -219,11 +240,31 @@ def zone_points(zone: DataFrame, profile: DataFrame, cls: str = "class", height:
     return inner.join(profile.select(cls, height, value), [cls, height], "left")
 
 
-def inflections(df: DataFrame, keys: list[str], height: str, value: str, n: int = 100) -> DataFrame:
-    """K17. Mean of aligned profiles, smoothed; heights of slope minima under the slope's 0.2 quantile, and the greatest height."""
-    mean = aligned_profiles(df, keys, height, value, n).groupBy("i").agg(F.avg(height).alias(height), F.avg(value).alias(value)).withColumn("class", F.lit(0))
-    g = gradient(smooth_profile(mean, "class", height, value, 0.1), "class", height, value)
-    w = Window.partitionBy("class").orderBy(height)
-    g = g.withColumn("__a", F.lag("slope").over(w)).withColumn("__b", F.lead("slope").over(w))
-    low = g.agg(pct("slope", 0.2).alias("__q"), F.max(height).alias("max_height"))
-    return g.join(F.broadcast(low), how="cross").filter("slope < __a and slope <= __b and slope < __q").select(F.col(height).alias("inflection"), "max_height")
+def inflections(df: DataFrame, keys: list[str], height: str, value: str, step: float = 0.05, knots: int = 20, q: float = 0.2) -> DataFrame:
+    """K17. Heights where density falls off most: strict minima of the slope under its q quantile, the density there, and the greatest height of all profiles.
+
+    Profiles are taken at the heights of the longest one (most heights; of equals the first by keys), only where all have a value. Their mean is one
+    profile; a penalised spline of it, every `step`, gives the slopes.
+    """
+    known = df.filter(F.col(value).isNotNull() & F.col(height).isNotNull())
+    sizes = known.groupBy(*keys).agg(F.count_distinct(height).alias("__n"), F.sort_array(F.collect_set(F.col(height).cast("double"))).alias("__z"))
+    longest = sizes.orderBy(F.desc("__n"), *keys).limit(1).collect()  # one profile's heights
+    at = longest[0]["__z"] if longest else [0.0]
+    many = sizes.count()
+    each = on_heights(known, keys, height, value, at, hold=False)
+    mean = each.groupBy(height).agg(F.avg(value).alias(value), F.count("*").alias("__k")).filter(F.col("__k") == many).select(F.lit(0).alias("class"), height, value)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        x, y, s = smooth_map(p[height].to_numpy(float), p[value].to_numpy(float), knots)
+        z = np.arange(p[height].min(), p[height].max() + step * 1e-6, step)
+        i = np.clip(np.searchsorted(x, z, side="right") - 1, 0, len(x) - 2)
+        h, t, u = x[i + 1] - x[i], x[i + 1] - z, z - x[i]
+        return pd.DataFrame({"class": 0, height: z, value: (t * y[i] + u * y[i + 1]) / h + (t**3 / h - h * t) * s[i] / 6 + (u**3 / h - h * u) * s[i + 1] / 6})
+
+    w = Window.partitionBy("class").orderBy(height)  # one smoothed profile
+    d = mean.groupBy("class").applyInPandas(run, f"class int, {height} double, {value} double").withColumn("slope", (F.col(value) - F.lag(value).over(w)) / step)
+    d = d.withColumn("__a", F.lag("slope").over(w)).withColumn("__b", F.lead("slope").over(w))
+    low = d.agg(pct("slope", q).alias("__q"))
+    top = known.agg(F.max(height).cast("double").alias("max_height"))
+    out = d.join(F.broadcast(low), how="cross").filter("slope < __a and slope < __b and slope < __q")
+    return out.join(F.broadcast(top), how="cross").select(F.col(height).alias("inflection"), F.col(value).alias("density"), "max_height")  # one row each

@@ -231,6 +231,6 @@ def k16_zone_points(spark, d):
     return structure.zone_points(z, p)
 
 
-@query(None, "", "", "inflection max_height")
+@query(None, "", "", "inflection density max_height")
 def k17_inflections(spark, d):
     return structure.inflections(pads(spark, d), ["cell"], "height_m", "pad")

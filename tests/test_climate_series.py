@@ -6,6 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from lamina.functions import splines
 from lamina.operators import climate
 
 DAY = datetime.date(2020, 1, 1)
@@ -104,24 +105,24 @@ def test_wet_days(spark):
 def test_smoother():
     r = np.random.default_rng(4)
     x = np.sort(r.uniform(0, 10, 300))
-    knots, y, s = climate.smooth_map(x, 3 * x - 2)
+    knots, y, s = splines.smooth_map(x, 3 * x - 2)
     np.testing.assert_allclose(y, 3 * knots - 2, atol=1e-6)
     assert abs(s).max() < 1e-6
-    knots, y, s = climate.smooth_map(x, np.sin(x / 2) * 5)
+    knots, y, s = splines.smooth_map(x, np.sin(x / 2) * 5)
     assert np.abs(natural(knots, y, x) - np.sin(x / 2) * 5).max() < 0.05
-    second, rough = climate._cubic_penalty(knots)  # noqa: SLF001
+    second, rough = splines.cubic_penalty(knots)
     at = np.linspace(knots[0], knots[-1], 200_001)
     np.testing.assert_allclose(y @ rough @ y, np.trapezoid(np.interp(at, knots, second @ y) ** 2, at), rtol=1e-6)
     noisy = np.sin(x / 2) * 5 + r.normal(0, 1, 300)
-    knots, y, _ = climate.smooth_map(x, noisy)
+    knots, y, _ = splines.smooth_map(x, noisy)
     base = np.array([natural(knots, e, x) for e in np.eye(len(knots))]).T
-    _, rough = climate._cubic_penalty(knots)  # noqa: SLF001
+    _, rough = splines.cubic_penalty(knots)
     hats = [base @ np.linalg.solve(base.T @ base + lam * rough, base.T) for lam in 10 ** np.linspace(-4, 4, 400)]
     gcv = [300 * ((noisy - h @ noisy) ** 2).sum() / (300 - np.trace(h)) ** 2 for h in hats]
     mine = natural(knots, y, x)
     assert np.abs(mine - hats[int(np.argmin(gcv))] @ noisy).max() < 0.05
     for few in (np.array([2.0, 2.0]), np.array([1.0, 2.0]), np.array([5.0])):
-        assert all(np.isfinite(z).all() for z in climate.smooth_map(few, few * 2))
+        assert all(np.isfinite(z).all() for z in splines.smooth_map(few, few * 2))
 
 
 def test_bias_correction(spark):
@@ -138,7 +139,7 @@ def test_bias_correction(spark):
         o, h = np.sort(obs[c]), np.sort(hist[c])
         m = min(len(o), len(h), 50)
         pick = lambda a: a[[i * (len(a) - 1) // (m - 1) for i in range(m)]]  # noqa: B023, E731
-        knots, y, _ = climate.smooth_map(pick(h), pick(o))
+        knots, y, _ = splines.smooth_map(pick(h), pick(o))
         f, step = fut[c], 1e-6
         inner = natural(knots, y, np.clip(f, knots[0], knots[-1]))
         low, high = ((natural(knots, y, [a + step]) - natural(knots, y, [a]))[0] / step for a in (knots[0], knots[-1] - step))

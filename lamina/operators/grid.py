@@ -64,6 +64,32 @@ def resample_bilinear(coarse: DataFrame, cells: DataFrame, factor: int, value: s
     return cells.select(*keys, "row", "col").join(some, [*keys, "row", "col"], "left")
 
 
+def grid_cells(grids: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """keys, row, col and the centre x, y of every cell of grids (keys, nrow, ncol, xmin, ymax, res)."""
+    d = grids.select(*keys, "ncol", "xmin", "ymax", "res", F.explode(F.sequence(F.lit(0), F.col("nrow").cast("int") - 1)).alias("row"))
+    d = d.select(*keys, "xmin", "ymax", "res", "row", F.explode(F.sequence(F.lit(0), F.col("ncol").cast("int") - 1)).alias("col"))
+    return d.select(*keys, "row", "col", (F.col("xmin") + (F.col("col") + 0.5) * F.col("res")).alias("x"), (F.col("ymax") - (F.col("row") + 0.5) * F.col("res")).alias("y"))
+
+
+def resample_grid(df: DataFrame, src: DataFrame, dst: DataFrame, value: str, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """G5 between any two grids of a key, whatever their sides and corners: each cell of dst gets the bilinear mean of the 4 src centres around it.
+
+    src and dst: keys, nrow, ncol, xmin, ymax, res. Weights are taken over the centres that have a value, so edges and gaps do not pull to 0. A cell whose
+    centre is outside src, or without any value around it, is NULL.
+    """
+    g = src.select(*keys, F.col("xmin").alias("__x0"), F.col("ymax").alias("__y0"), F.col("res").alias("__s"), F.col("nrow").alias("__nr"), F.col("ncol").alias("__nc"))
+    at = grid_cells(dst, keys).join(g, list(keys), "left").withColumn("__fx", (F.col("x") - F.col("__x0")) / F.col("__s") - 0.5).withColumn("__fy", (F.col("__y0") - F.col("y")) / F.col("__s") - 0.5)
+    inside = (F.col("__fx") >= -0.5) & (F.col("__fx") <= F.col("__nc") - 0.5) & (F.col("__fy") >= -0.5) & (F.col("__fy") <= F.col("__nr") - 0.5)
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in (0, 1) for b in (0, 1)]))
+    near = at.filter(inside).select(*keys, "row", "col", "__fx", "__fy", corner.alias("__o"))
+    r, c = (F.floor("__fy") + F.col("__o.r")).cast("int"), (F.floor("__fx") + F.col("__o.c")).cast("int")
+    near = near.select(*keys, "row", "col", r.alias("__r"), c.alias("__c"), ((1 - F.abs(F.col("__fy") - r)) * (1 - F.abs(F.col("__fx") - c))).alias("__w")).filter("__w > 0")
+    have = df.filter(F.col(value).isNotNull()).select(*keys, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v"))
+    mean = (F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias(value)
+    some = near.join(have, [*keys, "__r", "__c"]).groupBy(*keys, "row", "col").agg(mean)
+    return at.select(*keys, "row", "col").join(some, [*keys, "row", "col"], "left")
+
+
 def resample_near(coarse: DataFrame, cells: DataFrame, factor: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """G6. The value of the coarse cell that holds each finer one."""
     near = cells.select(*keys, "row", "col").withColumn("__r", F.expr(f"row div {factor}").cast("int")).withColumn("__c", F.expr(f"col div {factor}").cast("int"))

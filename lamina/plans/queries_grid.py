@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import climate, grid as g_, points
@@ -59,6 +60,22 @@ def g5_resample_bilinear(spark, d):
     return g_.resample_bilinear(g_.coarsen(gappy(spark, d), 5, "value"), grid(spark, d), 5, "value")
 
 
+_SRC = "select n_nationkey as site, 7 + n_nationkey % 4 as nrow, 6 + n_nationkey % 3 as ncol, 10.0 * n_nationkey as xmin, 50.0 as ymax, 3.0 as res from nation"
+_DST = "select n_nationkey as site, 11 as nrow, 9 as ncol, 10.0 * n_nationkey - 0.7 as xmin, 51.3 as ymax, 2.0 as res from nation"
+_G5 = f"with src as ({_SRC}), dst as ({_DST}), c as (select c_nationkey as site, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i, c_acctbal as v from customer), v as (select c.site, i // ncol as r, i % ncol as k, v from c join src using (site) where i < nrow * ncol and i % 5 <> 3), t as (select dst.site, a.row, b.col, (dst.xmin + (b.col + 0.5) * dst.res - src.xmin) / src.res - 0.5 as fx, (src.ymax - dst.ymax + (a.row + 0.5) * dst.res) / src.res - 0.5 as fy, src.nrow, src.ncol from dst join src using (site) cross join (select unnest(range(11)) as row) a cross join (select unnest(range(9)) as col) b), w as (select t.site, row, col, v.v, greatest(0, 1 - abs(fy - r)) * greatest(0, 1 - abs(fx - k)) as w from t join v on t.site = v.site and abs(fy - r) < 1 and abs(fx - k) < 1 where fx between -0.5 and ncol - 0.5 and fy between -0.5 and nrow - 0.5), m as (select site, row, col, sum(w * v) / sum(w) as value from w where w > 0 group by all)"
+
+
+@query(_G5 + " select t.site, t.row, t.col, value from t left join m using (site, row, col)", "", "site row col", "value")
+def g5_resample_grid(spark, d):
+    """Grids of three-unit cells at two-unit cells with another corner."""
+    n = table(spark, d, "nation")
+    src = n.selectExpr("n_nationkey as site", "7 + n_nationkey % 4 as nrow", "6 + n_nationkey % 3 as ncol", "10.0D * n_nationkey as xmin", "50.0D as ymax", "3.0D as res")
+    dst = n.selectExpr("n_nationkey as site", "11 as nrow", "9 as ncol", "10.0D * n_nationkey - 0.7D as xmin", "51.3D as ymax", "2.0D as res")
+    i = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    v = table(spark, d, "customer").select(F.col("c_nationkey").alias("site"), i.alias("i"), F.col("c_acctbal").alias("value")).join(src, "site").filter("i < nrow * ncol and i % 5 <> 3")
+    return g_.resample_grid(v.selectExpr("site", "cast(i div ncol as int) as row", "cast(i % ncol as int) as col", "value"), src, dst, "value")
+
+
 @query(G + ", k5 as (select row // 5 as row, col // 5 as col, min(class) as class from g group by all) select g.row, g.col, k5.class from g left join k5 on k5.row = g.row // 5 and k5.col = g.col // 5", "", "row col class")
 def g6_resample_near(spark, d):
     return g_.resample_near(g_.coarsen(grid(spark, d), 5, "class", fun="min"), grid(spark, d), 5, "class")

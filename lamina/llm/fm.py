@@ -111,7 +111,7 @@ class Sample:
         return out
 
 
-def sparse_weights(d: Sample, lam: float, w: np.ndarray, w0: float, offset: np.ndarray, steps: int = 60, rounds: int = 3) -> tuple[np.ndarray, float]:
+def sparse_weights(d: Sample, lam: float, w: np.ndarray, w0: float, offset: np.ndarray, steps: int = 40, rounds: int = 4) -> tuple[np.ndarray, float]:
     """Weights under an absolute-value penalty lam, from w on: accelerated proximal steps over the terms whose gradient exceeds the penalty, until no other's does."""
     active = w != 0
     for k in range(rounds):
@@ -125,23 +125,38 @@ def sparse_weights(d: Sample, lam: float, w: np.ndarray, w0: float, offset: np.n
         ids, keep = np.flatnonzero(active), active[d.term]
         number = np.cumsum(active) - 1
         doc, term = d.doc[keep], number[d.term[keep]]
+        by_term = np.argsort(term, kind="stable")
+        doc_by_term = doc[by_term]
+        first, begin = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (doc, term[by_term]))
+        texts, own = doc[first], term[by_term][begin]
+
+        def by_text(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(d.n)
+            out[texts] = np.add.reduceat(x[term], first)
+            return out
+
+        def by_term_sums(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(ids))
+            out[own] = np.add.reduceat(x[doc_by_term], begin)
+            return out
+
         top = np.full(len(ids), 1 / np.sqrt(max(len(ids), 1)))
         norm = 0.0
-        for _ in range(8):  # the largest curvature
-            top = np.bincount(term, np.bincount(doc, top[term], d.n)[doc], len(ids))
+        for _ in range(5):  # the largest curvature
+            top = by_term_sums(by_text(top))
             norm = float(np.linalg.norm(top))
             top /= max(norm, 1e-300)
-        rate = d.n / (0.25 * (1.1 * norm + d.n))
+        rate = d.n / (0.25 * (1.2 * norm + d.n))
         x, at, at0, t = w[ids], w[ids], w0, 1.0
         for _ in range(steps):
-            err = logistic(at0 + offset + np.bincount(doc, at[term], d.n)) - d.y
-            new = at - rate * np.bincount(term, err[doc], len(ids)) / d.n
+            err = logistic(at0 + offset + by_text(at)) - d.y
+            new = at - rate * by_term_sums(err) / d.n
             new = np.sign(new) * np.maximum(np.abs(new) - rate * lam, 0)
             new0, t2 = at0 - rate * err.mean(), (1 + np.sqrt(1 + 4 * t * t)) / 2
             moved = max(float(np.abs(new - x).max(initial=0)), abs(new0 - w0))
             at, at0 = new + (t - 1) / t2 * (new - x), new0 + (t - 1) / t2 * (new0 - w0)
             x, w0, t = new, new0, t2
-            if moved < 1e-5:
+            if moved < 1e-4:
                 break
         w = np.zeros(d.m)
         w[ids] = x
@@ -246,13 +261,13 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, epochs: int = 2,
     w, w0, best = np.zeros(m), model.w0, None
     worse = 0
     for lam in PENALTIES:
-        w, w0 = sparse_weights(first, lam, w, w0, np.zeros(first.n))
+        w, w0 = sparse_weights(first, lam, w, w0, np.zeros(first.n), rounds=2)
         z = w0 + judge.linear(w)
         if best is None or log_loss(judge.y, z) < best[0] - 1e-5:
             best, worse = (log_loss(judge.y, z), lam, w, w0, z), 0
         else:
             worse += 1
-            if worse == 3:
+            if worse == 2:
                 break
     _, lam, w, w0, z = best
     w2, w02, v2 = with_pairs(first, lam, w, w0)
@@ -260,8 +275,7 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, epochs: int = 2,
     pairs = log_loss(judge.y, z2) < best[0]
     a, c = calibrated(judge.y, z2 if pairs else z)
     whole = part(np.ones(len(y), bool))
-    for step in (x for x in PENALTIES if x >= lam):
-        w, w0 = sparse_weights(whole, step, w, w0, np.zeros(whole.n))
+    w, w0 = sparse_weights(whole, lam, w, w0, np.zeros(whole.n), steps=150)
     v = np.zeros((m, rank))
     if pairs:
         w, w0, v = with_pairs(whole, lam, w, w0)

@@ -98,16 +98,22 @@ class Sample:
         self.n, self.m, self.y = len(sets), m, y
         self.size = np.array([len(x) for x in sets], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        self.doc, self.term = np.repeat(np.arange(self.n), self.size), np.concatenate([*sets, np.zeros(0, np.int32)]).astype(np.int64)
+        self.doc, self.term = np.repeat(np.arange(self.n, dtype=np.int32), self.size), np.concatenate([*sets, np.zeros(0, np.int32)])
+
+    def slices(self) -> Iterator[slice]:
+        """Runs of pairs, so that what is computed for each pair stays small."""
+        return (slice(i, i + (1 << 20)) for i in range(0, len(self.term), 1 << 20))
 
     def linear(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, w[self.term], self.n)
+        return sum((np.bincount(self.doc[k], w[self.term[k]], self.n) for k in self.slices()), np.zeros(self.n))
+
+    def gradient(self, err: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self.term[k], err[self.doc[k]], self.m) for k in self.slices()), np.zeros(self.m))
 
     def pairs(self, v: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
         for f in range(v.shape[1]):
-            x = v[self.term, f]
-            out += 0.5 * (np.bincount(self.doc, x, self.n) ** 2 - np.bincount(self.doc, x * x, self.n))
+            out += 0.5 * (self.linear(v[:, f]) ** 2 - self.linear(v[:, f] ** 2))
         return out
 
 
@@ -115,7 +121,7 @@ def sparse_weights(d: Sample, lam: float, w: np.ndarray, w0: float, offset: np.n
     """Weights under an absolute-value penalty lam, from w on: accelerated proximal steps over the terms whose gradient exceeds the penalty, until no other's does."""
     active = w != 0
     for k in range(rounds):
-        grad = np.bincount(d.term, (logistic(w0 + offset + d.linear(w)) - d.y)[d.doc], d.m) / d.n
+        grad = d.gradient(logistic(w0 + offset + d.linear(w)) - d.y) / d.n
         more = (np.abs(grad) > lam) & ~active
         if k and not more.any():
             break
@@ -123,9 +129,9 @@ def sparse_weights(d: Sample, lam: float, w: np.ndarray, w0: float, offset: np.n
         if not active.any():
             break
         ids, keep = np.flatnonzero(active), active[d.term]
-        number = np.cumsum(active) - 1
+        number = np.cumsum(active, dtype=np.int32) - 1
         doc, term = d.doc[keep], number[d.term[keep]]
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term, kind="stable").astype(np.int32)
         doc_by_term = doc[by_term]
         first, begin = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (doc, term[by_term]))
         texts, own = doc[first], term[by_term][begin]
@@ -274,6 +280,7 @@ def fit(texts: DataFrame, *, rank: int = 4, least_df: int = 5, epochs: int = 2,
     z2 = w02 + judge.linear(w2) + judge.pairs(v2)
     pairs = log_loss(judge.y, z2) < best[0]
     a, c = calibrated(judge.y, z2 if pairs else z)
+    del first, judge, got, z2, v2, w2
     whole = part(np.ones(len(y), bool))
     w, w0 = sparse_weights(whole, lam, w, w0, np.zeros(whole.n), steps=150)
     v = np.zeros((m, rank))

@@ -9,11 +9,14 @@ divergence test: the log likelihood of what follows, over that under its suffix,
 Suffixes of what stays stay. Distributions are smoothed into the suffix's (Witten-Bell). A symbol's probability is that in the longest suffix of its
 past in the tree.
 
-All suffixes of a context end in the same word, so the tree falls into blocks by that word: each is counted, built, broadcast and
-used for scores by itself, and has at most about `block` entries a level. Further blocks are further maps over the texts.
+Each level is one pass over the texts: it counts what follows the contexts of that level, all of them, by a shuffle on context and symbol. All suffixes
+of a context end in the same word, so what is counted falls into blocks by that word: the driver builds them one by one, each with at most
+about `block` entries a level, and what a block holds does not depend on their number. Trees that have passed the test are packed together up to `block` entries for scoring;
+a further pack is a further map over the texts.
 
-Word counts are a table in the shared folder. Words of at least the share `frequent` of all tokens (at most 1 / frequent of them) are broadcast, the
-others are joined; the tree's part of a score needs only the former, as a rare word differs from the root by its context's factor.
+Symbols are 64-bit hashes of words. Words that occur less than `few` times cannot be listed nor be in a context, so they are counted as one symbol: a bitmap of
+2^BITS places, made by Spark, tells most of them; those that it does not tell only make more rows to shuffle. Word counts are a table in the shared folder. For the base
+score words of at least the share `frequent` of all tokens (at most 1 / frequent of them) are broadcast and the others joined, which changes no score.
 
 Null texts count as empty: one end token. Rows with a null doc_id train nothing and have a null held_out; repeated rows count as often as
 they are there. With no training documents every token has the base value of an empty count. Extra columns are not read.
@@ -35,8 +38,10 @@ from .labelled import remainder
 from .tables import discard, stored
 
 END_TOKEN = -(1 << 63)  # in place of a word's hash
-#: Numbers of symbols: what is not frequent, a start, an end; the tree's words follow
-OTHER, START, END, FIRST = 0, 1, 2, 3
+#: In place of a word's hash: a start, and any word that is too rare
+START, OTHER = END_TOKEN + 1, END_TOKEN + 2
+#: Places of the bitmap of words that are not too rare
+BITS = 26
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -62,21 +67,32 @@ def follow(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         return words.mix(context.view(np.uint64) * np.uint64(3) + symbol.astype(np.uint64)).view(np.int64)
 
 
-def contexts(ids: np.ndarray, bounds: np.ndarray, depth: int, block: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For k = 1 to depth the names of the k symbols before each token, and whether there are as many, all of the tree, the last in the block.
+def symbols(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The hashes h, or OTHER where the bitmap says that a word is too rare."""
+    place = h.view(np.uint64) >> np.uint64(64 - BITS)
+    known = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return np.where(known | (h == END_TOKEN), h, OTHER)
+
+
+def contexts(ids: np.ndarray, bounds: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1 to depth the names of the k symbols before each token, and whether there are as many, none of them too rare.
 
     A context of k + 1 symbols is one of k, a place earlier, with what follows it.
     """
     n = len(ids)
-    place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    last = np.where(place > 0, ids[np.arange(n) - 1], START)
-    mine = last % block[1] == block[0]
+    place, last = before(ids, bounds)
     name, ok = follow(np.zeros(n, np.int64), last), last != OTHER
     for k in range(1, depth + 1):
-        yield name, ok & mine
+        yield name, ok
         name, ok = follow(name, ids)[np.arange(n) - 1], ok[np.arange(n) - 1] & (last != OTHER) & (place >= k)
 
 
+def before(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each token in its text and the symbol before it."""
+    place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return place, np.where(place > 0, ids[np.arange(len(ids)) - 1], START)
+
+
 def _sums(batches: Iterator[pa.RecordBatch], keys_of, names: tuple[str, ...], most: int) -> Iterator[pa.RecordBatch]:
     """The columns `names` (the first a key) and c, summed by key within a task and given out when more than `most` keys are held."""
     held, fresh = [], 0
@@ -112,107 +128,147 @@ def word_counts(docs: DataFrame, most: int = 1 << 21) -> DataFrame:
     return docs.select("text").mapInArrow(lambda batches: _sums(batches, lambda h, bounds: (h,), ("key",), most), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def followers(docs: DataFrame, vocabulary, known, k: int, block: tuple[int, int], most: int = 1 << 20) -> DataFrame:
-    """key (a known context of k symbols and what follows), p (the context), up (its suffix), s (what follows) and c."""
+def bitmap(counts: DataFrame, few: float) -> np.ndarray:
+    """2^BITS bits: which places have a word that occurs at least `few` times. Spark makes it; the driver gets at most 2^(BITS - 6) rows."""
+    place = F.shiftrightunsigned("key", 64 - BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    got = counts.filter(F.col("c") >= few).groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def followers(docs: DataFrame, bits, known, k: int, blocks: int = 1, most: int = 1 << 20) -> DataFrame:
+    """key (a known context of k symbols and what follows), p (the context), up (its suffix), s (what follows), c, and with several blocks that of the context."""
+    names = ("key", "p", "up", "s", *(["block"] if blocks > 1 else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, numbers = vocabulary.value
-        have = known.value
+        often, have = bits.value, known.value
 
         def keys_of(h: np.ndarray, bounds: np.ndarray) -> tuple:
-            at = lookup(names, h)
-            ids = np.where(at >= 0, numbers[at], OTHER)
+            ids = symbols(h, often)
             up = np.zeros(len(ids), np.int64)
-            for i, (name, ok) in enumerate(contexts(ids, bounds, k, block), 1):
+            for i, (name, ok) in enumerate(contexts(ids, bounds, k), 1):
                 if i < k:
                     up = name
             some = np.flatnonzero(ok)
             some = some[lookup(have, name[some]) >= 0]
-            return follow(name[some], ids[some]), name[some], up[some], ids[some]
+            more = [before(ids, bounds)[1][some] % blocks] if blocks > 1 else []
+            return follow(name[some], ids[some]), name[some], up[some], ids[some], *more
 
-        yield from _sums(batches, keys_of, ("key", "p", "up", "s"), most)
+        yield from _sums(batches, keys_of, names, most)
 
-    schema = "key long, p long, up long, s long, c long"
-    return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(*[F.first(x).alias(x) for x in ("p", "up", "s")], F.sum("c").alias("c"))
+    schema = ", ".join(f"{x} long" for x in (*names, "c"))
+    return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(*[F.first(x).alias(x) for x in names[1:]], F.sum("c").alias("c"))
 
 
 @dataclass
 class Tree:
-    """Nodes by level. Node 0 is the root; entries are keyed by node << 16 | number of what follows."""
-
-    block: tuple[int, int]
-    depth: int
-    names: list[np.ndarray]  # sorted contexts of each level from 1
-    first: list[int]  # number of the first node of each level
-    suffix: np.ndarray
-    rest: np.ndarray  # log10 of the factor of what is not listed
-    keys: np.ndarray
-    logp: np.ndarray
-
-    def past_root(self, ids: np.ndarray, bounds: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 P(token | longest suffix) - log10 P(token) of each token, given its number and root value; 0 outside the block."""
-        node = np.zeros(len(ids), np.int64)
+    """By level, from 1: sorted contexts and log10 of the factor of what they do not list; sorted names of contexts with what they list, and log10 of its probability over the root's."""
+
+    names: list[np.ndarray]
+    rest: list[np.ndarray]
+    keys: list[np.ndarray]
+    past: list[np.ndarray]
+
+    def entries(self) -> int:
+        return sum(map(len, self.names)) + sum(map(len, self.keys))
+
+    def past_root(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 P(token | longest suffix in the tree) - log10 P(token) of each token."""
+        out = np.zeros(len(ids))
+        met = []
         live = np.arange(len(ids))  # the suffixes of a context of the tree are in the tree
-        for k, (name, ok) in enumerate(contexts(ids, bounds, self.depth, self.block)):
+        for k, (name, ok) in enumerate(contexts(ids, bounds, len(self.names))):
             live = live[ok[live]]
             at = lookup(self.names[k], name[live])
             live, at = live[at >= 0], at[at >= 0]
-            node[live] = self.first[k] + at
-        out = np.zeros(len(ids))
-        live = np.flatnonzero(node)
-        while len(live):
-            at = lookup(self.keys, node[live] << 32 | ids[live])
-            at[ids[live] == OTHER] = -1
-            hit = at >= 0
-            out[live[hit]] += self.logp[at[hit]] - root[live[hit]]
-            live = live[~hit]
-            out[live] += self.rest[node[live]]
-            node[live] = self.suffix[node[live]]
-            live = live[node[live] > 0]
+            met.append((live, at, follow(name[live], ids[live])))
+        done = np.zeros(len(ids), bool)
+        for k in range(len(met) - 1, -1, -1):  # from the longest suffix down to the one that lists the token
+            live, at, key = met[k]
+            now = ~done[live]
+            live, at = live[now], at[now]
+            hit = lookup(self.keys[k], key[now])
+            listed = hit >= 0
+            out[live[listed]] += self.past[k][hit[listed]]
+            done[live[listed]] = True
+            out[live[~listed]] += self.rest[k][at[~listed]]
         return out
 
 
-def grow(docs: DataFrame, vocabulary: tuple, root: np.ndarray, bottom: float, depth: int, least: float, few: float, gain: float, block: tuple[int, int] = (0, 1)) -> Tree:
-    """One block of the tree. root: log10 root probability by number, over 10^bottom. What comes to the driver are the block's contexts and listed successors."""
+def together(trees: list[Tree]) -> Tree:
+    """One tree of those of several blocks, which share no context."""
+    out = Tree([], [], [], [])
+    for k in range(max((len(t.names) for t in trees), default=0)):
+        for of, by in ((out.names, out.rest), (out.keys, out.past)):
+            pairs = [(t.names[k], t.rest[k]) if of is out.names else (t.keys[k], t.past[k]) for t in trees if k < len(t.names)]
+            x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
+            order = np.argsort(x, kind="stable")
+            of.append(x[order])
+            by.append(y[order])
+    return out
+
+
+def grow(docs: DataFrame, counts: DataFrame, bits, bottom: float, depth: int, least: float, few: float, gain: float, blocks: int = 1) -> Iterator[Tree]:
+    """The tree of docs, block by block. counts (stored): key and c of all words; root probabilities are (c + 0.5) over 10^bottom.
+
+    A level's contexts come to the driver as names, at most one for every `least` tokens; counts of one block at a time.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    probs = 10.0**root
-    often = root > np.log10(least) - bottom  # no rarer word is a context
-    last = np.append(vocabulary[1][(vocabulary[1] != END) & often[vocabulary[1]]], START)
-    names, levels = np.unique(follow(np.zeros(len(last), np.int64), last)), []
-    longer = None  # sequences that are frequent enough to be contexts, whatever block their last symbol is in
+    words_ = counts.filter((F.col("c") >= least) & (F.col("key") != END_TOKEN)).select("key").toArrow()["key"].to_numpy()
+    last = np.append(words_, START)
+    names = np.unique(follow(np.zeros(len(last), np.int64), last))
+    roots = counts.filter(F.col("c") >= few).select(F.col("key").alias("s"), F.col("c").alias("all"))
+    tables_: list[tuple] = []
     for k in range(1, depth + 1):
-        if k > 1:
-            if longer is None:
-                break
-            names = np.unique(longer["key"].to_numpy())
         if not len(names):
             break
-        got = stored(followers(docs, shared, spark.sparkContext.broadcast(names), k, block), f"pst-level{k}")
-        if block[1] == 1:
-            every = got
-        else:  # what follows a context of another block may end in a word of this one
-            every = stored(followers(docs, shared, spark.sparkContext.broadcast(names), k, (0, 1)), f"pst-all{k}")
-        sums = got.groupBy("p").agg(F.sum("c").alias("n"), F.first("up").alias("up")).filter(F.col("n") >= least).toArrow()
-        listed = got.filter((F.col("c") >= few) & (F.col("s") != OTHER)).select("p", "s", "c").toArrow()
-        mine = F.pmod("s", F.lit(block[1])) == block[0]
-        longer = every.filter((F.col("c") >= least) & ~F.col("s").isin(OTHER, END) & mine).select("key").toArrow()
-        discard(got, *([every] if block[1] > 1 else []))
+        got = stored(followers(docs, bits, spark.sparkContext.broadcast(names), k, blocks), f"pst-level{k}")
+        more = ["block"] if blocks > 1 else []
+        sums = got.groupBy("p").agg(F.sum("c").alias("n"), F.first("up").alias("up"), *[F.first(x).alias(x) for x in more]).filter(F.col("n") >= least)
+        listed = got.filter((F.col("c") >= few) & (F.col("s") != OTHER)).join(roots, "s").select("key", "p", "s", "c", "all", *more)
+        if blocks > 1:
+            tables_.append((stored(sums, f"pst-sums{k}", "block"), stored(listed, f"pst-listed{k}", "block")))
+        else:
+            tables_.append((sums.toArrow(), listed.toArrow()))
+        longer = got.filter((F.col("c") >= least) & ~F.col("s").isin(OTHER, END_TOKEN)).select("key").toArrow()
+        names = np.unique(longer["key"].to_numpy())  # contexts of the next level, whatever their block
+        discard(got)
+    for b in range(blocks):
+        yield tree_of([tuple(x.filter(F.col("block") == b).toArrow() if blocks > 1 else x for x in pair) for pair in tables_], bottom, gain)
+    if blocks > 1:
+        discard(*(x for pair in tables_ for x in pair))
+
+
+def tree_of(counted: list[tuple], bottom: float, gain: float) -> Tree:
+    """Distributions from the root down, and the test of each context against its suffix, from (sums, listed) of each level of a block."""
+    tree, ups, owners, probs, stays = Tree([], [], [], []), [], [], [], []
+
+    def prob(k: int, at: np.ndarray, s: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """P(s | context `at` of level k)."""
+        out, at, live = np.ones(len(s)), at.copy(), np.arange(len(s))
+        for j in range(k - 1, -1, -1):
+            hit = lookup(tree.keys[j], follow(tree.names[j][at[live]], s[live]))
+            found = hit >= 0
+            out[live[found]] *= probs[j][hit[found]]
+            live = live[~found]
+            out[live] *= tree.rest[j][at[live]]
+            at[live] = ups[j][at[live]]
+        out[live] *= root[live]
+        return out
+
+    for k, (sums, listed) in enumerate(counted):
         order = np.argsort(sums["p"].to_numpy())
-        ctx, n, up = sums["p"].to_numpy()[order], sums["n"].to_numpy()[order].astype(float), sums["up"].to_numpy()[order]
-        key, s, c = (listed[x].to_numpy() for x in ("p", "s", "c"))
-        at = lookup(ctx, key)
-        keep = at >= 0
-        order = np.lexsort((s[keep], at[keep]))
-        levels.append((ctx, n, up, at[keep][order], s[keep][order], c[keep][order].astype(float)))
-    # distributions from the root down, and the test of each context against its suffix
-    tree = Tree(block, len(levels), [], [], np.zeros(1, np.int64), np.zeros(1), np.zeros(0, np.int64), np.zeros(0))
-    stays = []
-    nodes = 1
-    for k, (ctx, n, up, at, s, c) in enumerate(levels, 1):
-        above = lookup(tree.names[-1], up) if k > 1 else np.full(len(ctx), -1)
-        parent = np.where(above >= 0, tree.first[-1] + above, 0) if k > 1 else np.zeros(len(ctx), np.int64)
-        below = _prob(tree, parent[at], s, probs)
+        ctx, n, up = (sums[x].to_numpy()[order] for x in ("p", "n", "up"))
+        parent = lookup(tree.names[-1], up) if k else np.zeros(len(ctx), np.int64)
+        ctx, n, parent = ctx[parent >= 0], n[parent >= 0].astype(float), parent[parent >= 0]
+        order = np.argsort(listed["key"].to_numpy())
+        key, p_, s, c, all_ = (listed[x].to_numpy()[order] for x in ("key", "p", "s", "c", "all"))
+        at = lookup(ctx, p_)
+        key, s, c, all_, at = (x[at >= 0] for x in (key, s, c, all_, at))
+        root = (all_ + 0.5) / 10.0**bottom
+        below = prob(k, parent[at], s, root)
         kinds = np.bincount(at, minlength=len(ctx)) + 1.0
         p = (c + kinds[at] * below) / (n + kinds)[at]
         left = np.maximum(1 - np.bincount(at, p, len(ctx)), 1e-12)
@@ -220,48 +276,27 @@ def grow(docs: DataFrame, vocabulary: tuple, root: np.ndarray, bottom: float, de
         other = np.maximum(n - np.bincount(at, c, len(ctx)), 0)
         won = np.bincount(at, c * np.log(p / below), len(ctx)) + other * np.log(left / left_below)
         stays.append(won >= gain * kinds * np.log(np.maximum(n, 2)) / 2)
-        tree.names.append(ctx)
-        tree.first.append(nodes)
-        tree.suffix = np.append(tree.suffix, parent)
-        tree.rest = np.append(tree.rest, np.log10(left / left_below))
-        tree.keys = np.append(tree.keys, (nodes + at) << 32 | s)
-        tree.logp = np.append(tree.logp, np.log10(p))
-        nodes += len(ctx)
-    keep = np.zeros(nodes, bool)
-    keep[0] = True
-    for k in range(len(levels), 0, -1):
-        mine = np.arange(len(levels[k - 1][0])) + tree.first[k - 1]
-        keep[mine] |= stays[k - 1]
-        keep[tree.suffix[mine[keep[mine]]]] = True
-    return _pruned(tree, keep)
-
-
-def _prob(tree: Tree, node: np.ndarray, s: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """P(s | node)."""
-    out, node, live = np.ones(len(s)), node.copy(), np.arange(len(s))
-    while len(live):
-        at = lookup(tree.keys, node[live] << 32 | s[live])
-        root = node[live] == 0
-        out[live[root]] *= probs[s[live[root]]]
-        hit = (at >= 0) & ~root
-        out[live[hit]] *= 10.0 ** tree.logp[at[hit]]
-        live = live[~hit & ~root]
-        out[live] *= 10.0 ** tree.rest[node[live]]
-        node[live] = tree.suffix[node[live]]
-    return out
-
-
-def _pruned(tree: Tree, keep: np.ndarray) -> Tree:
-    """The tree without the nodes that do not stay. A node's suffix stays with it, so its numbers hold."""
-    new = np.cumsum(keep) - 1
-    names, first = [], []
-    for k, x in enumerate(tree.names):
-        mine = keep[tree.first[k] : tree.first[k] + len(x)]
-        names.append(x[mine])
-        first.append(int(new[tree.first[k] - 1]) + 1)
-    ok = keep[tree.keys >> 32]
-    keys = new[tree.keys[ok] >> 32] << 32 | tree.keys[ok] & 0xFFFFFFFF
-    return Tree(tree.block, tree.depth, names, first, new[tree.suffix[keep]], tree.rest[keep], keys, tree.logp[ok])
+        for of, x in ((tree.names, ctx), (tree.rest, left / left_below), (tree.keys, key), (tree.past, np.log10(p / root)), (ups, parent), (owners, at), (probs, p)):
+            of.append(x)
+    for k in range(len(stays) - 1, 0, -1):  # the suffix of what stays stays
+        stays[k - 1][ups[k][stays[k]]] = True
+    for k, keep in enumerate(stays):
+        mine = keep[owners[k]]
+        tree.names[k], tree.rest[k], tree.keys[k], tree.past[k] = tree.names[k][keep], np.log10(tree.rest[k][keep]), tree.keys[k][mine], tree.past[k][mine]
+    return tree
+
+
+def packs(trees: Iterator[Tree], most: int) -> Iterator[Tree]:
+    """The trees together, as many at a time as have at most `most` entries; one at least."""
+    held: list[Tree] = []
+    size = 0
+    for tree in trees:
+        if held and size + tree.entries() > most:
+            yield together(held)
+            held, size = [], 0
+        held.append(tree)
+        size += tree.entries()
+    yield together(held)
 
 
 def scores(docs: DataFrame, *, held_out: int = 1, depth: int = 5, gain: float = 1.0, frequent: float = 2.5e-7, block: int = 1 << 24) -> DataFrame:
@@ -273,36 +308,28 @@ def scores(docs: DataFrame, *, held_out: int = 1, depth: int = 5, gain: float =
     counts = stored(word_counts(training), "pst-words").select(F.col("key").alias("h"), "c")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bottom = float(np.log10(n + 0.5 * (v + 1)))
-    often = counts.filter(F.col("c") >= max(1.0, frequent * n)).toArrow()  # at most 1 / frequent rows
+    often = counts.filter((F.col("c") >= max(1.0, frequent * n)) | (F.col("h") == END_TOKEN)).toArrow()  # at most 1 / frequent rows and the end
     order = np.argsort(often["h"].to_numpy())
-    names, c = often["h"].to_numpy()[order], often["c"].to_numpy()[order].astype(float)
-    logs = np.log10(c + 0.5)
+    names, logs = often["h"].to_numpy()[order], np.log10(often["c"].to_numpy()[order] + 0.5)
     least, few = max(n**0.5 / 40, 4.0), max(n**0.5 / 1000, 2.0)
-    top = np.flatnonzero((c >= few) & (names != END_TOKEN))
-    number = np.zeros(len(names), np.int64)
-    number[top] = np.arange(FIRST, len(top) + FIRST)
-    number[names == END_TOKEN] = END
-    root = np.full(len(top) + FIRST, -bottom + np.log10(0.5))
-    root[number[number > 0]] = logs[number > 0] - bottom
-    some = number > 0
+    by_key = counts.withColumnRenamed("h", "key")
     blocks = max(1, int(np.ceil(1000 * n**0.5 / block)))
-    words_ = spark.sparkContext.broadcast((names, logs, number))
+    words_, bits = spark.sparkContext.broadcast((names, logs)), spark.sparkContext.broadcast(bitmap(by_key, few))
 
-    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        names, logs, number = words_.value
+    def run(batches: Iterator[pa.RecordBatch], shared, first: bool) -> Iterator[pa.RecordBatch]:
+        names, logs = words_.value
         tree = shared.value
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             for i, j, h, bounds in tokens(b.column(1)):
-                at = lookup(names, h)
-                known = at >= 0
                 doc = np.repeat(np.arange(j - i), np.diff(bounds))
-                ids = np.where(known, number[at], OTHER) if len(names) else np.zeros(len(h), np.int64)
-                own = np.where(known, logs[at], 0.0) if len(names) else np.zeros(len(h))
-                past = np.bincount(doc, tree.past_root(ids, bounds, own - bottom), j - i)
+                past = np.bincount(doc, tree.past_root(symbols(h, bits.value), bounds), j - i)
                 rows = {"row": pa.array(row + np.arange(j - i)), "past": pa.array(past)}
                 row += j - i
-                if tree.block[0] == 0:  # the other blocks add their part of the score only
+                if first:  # the other packs add their part of the score only
+                    at = lookup(names, h)
+                    known = at >= 0
+                    own = np.where(known, logs[at], 0.0) if len(names) else np.zeros(len(h))
                     rare = ~known & (h != END_TOKEN)
                     cut = np.searchsorted(doc[rare], np.arange(j - i + 1)).astype(np.int32)
                     rows |= {
@@ -313,10 +340,10 @@ def scores(docs: DataFrame, *, held_out: int = 1, depth: int = 5, gain: float =
 
     schema = "row long, past double"
     parts = []
-    for k in range(blocks):
-        shared = spark.sparkContext.broadcast(grow(training, (names[some], number[some]), root, bottom, depth, least, few, gain, (k, blocks)))
+    for k, tree in enumerate(packs(grow(training, by_key, bits, bottom, depth, least, few, gain, blocks), block)):
+        shared = spark.sparkContext.broadcast(tree)
         more = "" if k else ", doc_id long, n_tokens long, known long, base double, rare array<long>"
-        parts.append(stored(docs.mapInArrow(lambda batches, shared=shared: run(batches, shared), schema + more), "pst-scored"))
+        parts.append(stored(docs.mapInArrow(lambda batches, shared=shared, first=not k: run(batches, shared, first), schema + more), "pst-scored"))
     made = parts[0]
     for other in parts[1:]:
         made = made.join(other.withColumnRenamed("past", "part"), "row").withColumn("past", F.col("past") + F.col("part")).drop("part")

@@ -81,3 +81,46 @@ def base_scores(rows):
     c = collections.Counter(w for d, t in docs if d is not None and remainder(d) != 1 for w in t)
     n, v = sum(c.values()), len(c)
     return n, [(d, len(t), sum(w in c for w in t), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for d, t in docs]
+
+
+def suffix_tree(rows, depth=5, gain=1.0):
+    """P(symbol | history) of a probabilistic suffix tree over words, all contexts and symbols in dictionaries; and the contexts that stay."""
+    docs = [[*words(t), None] for d, t in rows if d is not None and remainder(d) != 1]
+    c = collections.Counter(w for t in docs for w in t)
+    n, v = sum(c.values()), len(c)
+    least, few = max(n**0.5 / 40, 4.0), max(n**0.5 / 1000, 2.0)
+    after = collections.defaultdict(collections.Counter)
+    for t in docs:
+        for i, w in enumerate(t):
+            past = ("<", *t[:i])
+            for k in range(1, min(depth, len(past)) + 1):
+                after[past[-k:]][w] += 1
+    after = {ctx: x for ctx, x in after.items() if sum(x.values()) >= least}
+    tree = {}
+
+    def prob(w, ctx):
+        while ctx and ctx not in tree:
+            ctx = ctx[1:]
+        if not ctx:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        listed, rest = tree[ctx]
+        return listed[w] if w in listed else rest * prob(w, ctx[1:])
+
+    won = {}
+    for ctx in sorted(after, key=len):
+        m, listed = sum(after[ctx].values()), {w: x for w, x in after[ctx].items() if x >= few and c[w] >= few}
+        below, kinds = {w: prob(w, ctx[1:]) for w in listed}, len(listed) + 1.0
+        p = {w: (x + kinds * below[w]) / (m + kinds) for w, x in listed.items()}
+        left, left_below = max(1 - sum(p.values()), 1e-12), max(1 - sum(below.values()), 1e-12)
+        likely = sum(x * math.log(p[w] / below[w]) for w, x in listed.items()) + (m - sum(listed.values())) * math.log(left / left_below)
+        won[ctx] = likely >= gain * kinds * math.log(max(m, 2)) / 2
+        tree[ctx] = p, left / left_below
+    stays = {ctx[i:] for ctx, yes in won.items() if yes for i in range(len(ctx))}
+    for ctx in set(tree) - stays:
+        del tree[ctx]
+    return prob, tree, c
+
+
+def suffix_tree_scores(rows, **how):
+    prob, _, _ = suffix_tree(rows, **how)
+    return [(d, sum(math.log10(prob(w, ("<", *t[:i])[-5:])) for i, w in enumerate(t))) for d, t in ((d, [*words(x), None]) for d, x in rows)]

@@ -274,28 +274,45 @@ def test_suffix_tree_scores(spark, odd):
         if r.doc_id is not None and r.doc_id >= 3000:
             assert r.score > r.base_score + 20  # its contexts foretell what follows
     assert pst.scores(frame(spark, docs, True)).count() == 0
-    parts = {(r.doc_id, r.n_tokens): r.score for r in pst.scores(frame(spark, docs), block=60_000).collect()}  # the tree in blocks
-    assert all(abs(parts[r.doc_id, r.n_tokens] - r.score) < 1e-6 for r in out)
+    exact = sorted((str(d), round(s, 4)) for d, s in brute.suffix_tree_scores(docs))
+    assert sorted((str(r.doc_id), round(r.score, 4)) for r in out) == exact
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 7])
+def test_suffix_tree_is_the_same_in_blocks(spark, blocks):
+    """What comes next depends on the words one and three back, so contexts of three words of several blocks matter."""
+    r, docs = random.Random(4), []
+    words_ = [f"w{i}" for i in range(12)]
+    for i in range(60):
+        w = [r.choice(words_) for _ in range(3)]
+        for _ in range(200):
+            k = (int(w[-1][1:]) * 5 + int(w[-3][1:]) * 7) % 12
+            w.append(words_[(k + (r.random() < 0.1)) % 12])
+        docs.append((i, " ".join(w)))
+    n = sum(len(t.split()) + 1 for d, t in docs if brute.remainder(d) != 1)
+    want = dict(brute.suffix_tree_scores(docs))
+    assert any(len(ctx) >= 3 for ctx in brute.suffix_tree(docs)[1])
+    frequent = 1e-9 if blocks == 1 else 0.2  # how base scores are looked up changes nothing
+    out = pst.scores(frame(spark, docs), block=int(1000 * n**0.5 / (blocks - 0.5)), frequent=frequent).collect()
+    assert len(out) == 60 and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in out)
+    assert sum(r.score for r in out) > 0.5 * sum(r.base_score for r in out)
+
+
+def test_suffix_trees_are_packed_for_scoring(spark):
+    z = np.zeros(1, np.int64)
+    trees = [pst.Tree([z + i], [z * 0.0], [z + 10 - i, ], [z + i * 1.0]) for i in range(5)]
+    got = list(pst.packs(iter(trees), 4))
+    assert [len(t.names[0]) for t in got] == [2, 2, 1] and got[0].keys[0].tolist() == [9, 10] and got[0].past[0].tolist() == [1.0, 0.0]
+    assert [t.entries() for t in pst.packs(iter([]), 4)] == [0]
 
 
 def test_suffix_tree_distributions_sum_to_one(spark):
     r = random.Random(2)
     docs = [(i, " ".join(r.choice(["a b c d e f g h", "c d a b", "b c d e x y", "g a b c z"]) for _ in range(12))) for i in range(30)]
-    out = pst.word_counts(frame(spark, docs)).toArrow().to_pydict()
-    names = np.sort(np.array(out["key"], np.int64))
-    c = dict(zip(out["key"], out["c"], strict=True))
-    number = np.where(names == pst.END_TOKEN, pst.END, np.arange(len(names)) + pst.FIRST)
-    n, v = sum(c.values()), len(c)
-    root = np.full(number.max() + 1, np.log10(0.5 / (n + 0.5 * (v + 1))))
-    root[number] = np.log10([(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in names.tolist()])
-    tree = pst.grow(frame(spark, docs), (names, number), root, float(np.log10(n + 0.5 * (v + 1))), 4, 4, 2, 0.2)
-    assert len(tree.suffix) > 20 and tree.depth == 4 and all(map(len, tree.names))
-    for node in range(1, len(tree.suffix)):  # all symbols and what no symbol has (the root's mass of unseen words)
-        p = pst._prob(tree, np.full(len(number), node), number, 10.0**root)
-        unseen, at = 0.5 / (n + 0.5 * (v + 1)), node
-        while at:
-            unseen, at = unseen * 10 ** tree.rest[at], tree.suffix[at]
-        assert abs(p.sum() + unseen - 1) < 1e-6
+    prob, tree, c = brute.suffix_tree(docs, gain=0.2)
+    assert len(tree) > 20
+    for ctx in tree:  # all symbols and one that no text has
+        assert abs(sum(prob(w, ctx) for w in [*c, "unseen"]) - 1) < 1e-6
 
 
 def labelled_docs(spark, toxic):

@@ -93,8 +93,8 @@ def before(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, np.where(place > 0, ids[np.arange(len(ids)) - 1], START)
 
 
-def _sums(batches: Iterator[pa.RecordBatch], keys_of, names: tuple[str, ...], most: int) -> Iterator[pa.RecordBatch]:
-    """The columns `names` (the first a key) and c, summed by key within a task and given out when more than `most` keys are held."""
+def _sums(batches: Iterator[pa.RecordBatch], keys_of, names: tuple[str | None, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """The columns `names` (the first a key; None is not given out) and c, summed by key within a task and given out when more than `most` keys are held."""
     held, fresh = [], 0
 
     def merged(parts):
@@ -105,7 +105,7 @@ def _sums(batches: Iterator[pa.RecordBatch], keys_of, names: tuple[str, ...], mo
         return [*(x[first] for x in cols[:-1]), np.add.reduceat(cols[-1], first) if len(order) else cols[-1]]
 
     def out(cols):
-        return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in zip((*names, "c"), cols, strict=True)})
+        return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in zip((*names, "c"), cols, strict=True) if name})
 
     for b in batches:
         for _, _, h, bounds in tokens(b.column(0)):
@@ -139,27 +139,24 @@ def bitmap(counts: DataFrame, few: float) -> np.ndarray:
 
 
 def followers(docs: DataFrame, bits, known, k: int, blocks: int = 1, most: int = 1 << 20) -> DataFrame:
-    """key (a known context of k symbols and what follows), p (the context), up (its suffix), s (what follows), c, and with several blocks that of the context."""
-    names = ("key", "p", "up", "s", *(["block"] if blocks > 1 else []))
+    """p (a known context of k symbols), s (what follows), c, and with several blocks that of the context."""
+    more = ["block"] if blocks > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, have = bits.value, known.value
 
         def keys_of(h: np.ndarray, bounds: np.ndarray) -> tuple:
             ids = symbols(h, often)
-            up = np.zeros(len(ids), np.int64)
-            for i, (name, ok) in enumerate(contexts(ids, bounds, k), 1):
-                if i < k:
-                    up = name
+            *_, (name, ok) = contexts(ids, bounds, k)
             some = np.flatnonzero(ok)
             some = some[lookup(have, name[some]) >= 0]
-            more = [before(ids, bounds)[1][some] % blocks] if blocks > 1 else []
-            return follow(name[some], ids[some]), name[some], up[some], ids[some], *more
+            block = [before(ids, bounds)[1][some] % blocks] if blocks > 1 else []
+            return follow(name[some], ids[some]), name[some], ids[some], *block
 
-        yield from _sums(batches, keys_of, names, most)
+        yield from _sums(batches, keys_of, (None, "p", "s", *more), most)
 
-    schema = ", ".join(f"{x} long" for x in (*names, "c"))
-    return docs.select("text").mapInArrow(run, schema).groupBy("key").agg(*[F.first(x).alias(x) for x in names[1:]], F.sum("c").alias("c"))
+    schema = ", ".join(f"{x} long" for x in ("p", "s", *more, "c"))
+    return docs.select("text").mapInArrow(run, schema).groupBy("p", "s", *more).agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -219,6 +216,7 @@ def grow(docs: DataFrame, counts: DataFrame, bits, bottom: float, depth: int, le
     words_ = counts.filter((F.col("c") >= least) & (F.col("key") != END_TOKEN)).select("key").toArrow()["key"].to_numpy()
     last = np.append(words_, START)
     names = np.unique(follow(np.zeros(len(last), np.int64), last))
+    ups = np.zeros(len(names), np.int64)  # names of their suffixes
     roots = counts.filter(F.col("c") >= few).select(F.col("key").alias("s"), F.col("c").alias("all"))
     tables_: list[tuple] = []
     for k in range(1, depth + 1):
@@ -226,23 +224,27 @@ def grow(docs: DataFrame, counts: DataFrame, bits, bottom: float, depth: int, le
             break
         got = stored(followers(docs, bits, spark.sparkContext.broadcast(names), k, blocks), f"pst-level{k}")
         more = ["block"] if blocks > 1 else []
-        sums = got.groupBy("p").agg(F.sum("c").alias("n"), F.first("up").alias("up"), *[F.first(x).alias(x) for x in more]).filter(F.col("n") >= least)
-        listed = got.filter((F.col("c") >= few) & (F.col("s") != OTHER)).join(roots, "s").select("key", "p", "s", "c", "all", *more)
+        sums = got.groupBy("p", *more).agg(F.sum("c").alias("n")).filter(F.col("n") >= least)
+        listed = got.filter((F.col("c") >= few) & (F.col("s") != OTHER)).join(roots, "s").select("p", "s", "c", "all", *more)
         if blocks > 1:
-            tables_.append((stored(sums, f"pst-sums{k}", "block"), stored(listed, f"pst-listed{k}", "block")))
+            tables_.append((names, ups, stored(sums, f"pst-sums{k}", "block"), stored(listed, f"pst-listed{k}", "block")))
         else:
-            tables_.append((sums.toArrow(), listed.toArrow()))
-        longer = got.filter((F.col("c") >= least) & ~F.col("s").isin(OTHER, END_TOKEN)).select("key").toArrow()
-        names = np.unique(longer["key"].to_numpy())  # contexts of the next level, whatever their block
+            tables_.append((names, ups, sums.toArrow(), listed.toArrow()))
+        longer = got.filter((F.col("c") >= least) & ~F.col("s").isin(OTHER, END_TOKEN)).select("p", "s").toArrow()
+        p, s = longer["p"].to_numpy(), longer["s"].to_numpy()
+        # contexts of the next level, whatever their block
+        ups = follow(ups[lookup(names, p)], s)
+        names, first = np.unique(follow(p, s), return_index=True)
+        ups = ups[first]
         discard(got)
     for b in range(blocks):
-        yield tree_of([tuple(x.filter(F.col("block") == b).toArrow() if blocks > 1 else x for x in pair) for pair in tables_], bottom, gain)
+        yield tree_of([(*row[:2], *(x.filter(F.col("block") == b).toArrow() if blocks > 1 else x for x in row[2:])) for row in tables_], bottom, gain)
     if blocks > 1:
-        discard(*(x for pair in tables_ for x in pair))
+        discard(*(x for row in tables_ for x in row[2:]))
 
 
 def tree_of(counted: list[tuple], bottom: float, gain: float) -> Tree:
-    """Distributions from the root down, and the test of each context against its suffix, from (sums, listed) of each level of a block."""
+    """Distributions from the root down, and the test of each context against its suffix, from (contexts, their suffixes, sums, listed) of each level of a block."""
     tree, ups, owners, probs, stays = Tree([], [], [], []), [], [], [], []
 
     def prob(k: int, at: np.ndarray, s: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -258,13 +260,14 @@ def tree_of(counted: list[tuple], bottom: float, gain: float) -> Tree:
         out[live] *= root[live]
         return out
 
-    for k, (sums, listed) in enumerate(counted):
+    for k, (names, suffixes, sums, listed) in enumerate(counted):
         order = np.argsort(sums["p"].to_numpy())
-        ctx, n, up = (sums[x].to_numpy()[order] for x in ("p", "n", "up"))
-        parent = lookup(tree.names[-1], up) if k else np.zeros(len(ctx), np.int64)
+        ctx, n = (sums[x].to_numpy()[order] for x in ("p", "n"))
+        parent = lookup(tree.names[-1], suffixes[lookup(names, ctx)]) if k else np.zeros(len(ctx), np.int64)
         ctx, n, parent = ctx[parent >= 0], n[parent >= 0].astype(float), parent[parent >= 0]
-        order = np.argsort(listed["key"].to_numpy())
-        key, p_, s, c, all_ = (listed[x].to_numpy()[order] for x in ("key", "p", "s", "c", "all"))
+        key = follow(listed["p"].to_numpy(), listed["s"].to_numpy())
+        order = np.argsort(key)
+        key, p_, s, c, all_ = key[order], *(listed[x].to_numpy()[order] for x in ("p", "s", "c", "all"))
         at = lookup(ctx, p_)
         key, s, c, all_, at = (x[at >= 0] for x in (key, s, c, all_, at))
         root = (all_ + 0.5) / 10.0**bottom

@@ -9,7 +9,7 @@ blocks of at most `block_words` words, so what a task holds of it is bounded; fu
 rows, without a shuffle.
 
 Null and empty texts have no words and no hits; null items and items with a null id are left out; items with
-the same id count once. Repeated documents and null doc_ids are each returned. Extra columns are kept by `marked`.
+the same id count once. Repeated documents and null doc_ids are each returned. `marked` packs all columns, so extra ones are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -106,13 +106,12 @@ def runs(covered: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block_words: int = 2_000_000, slim: bool = False) -> DataFrame:
-    """All columns of docs (without text if slim) with __n_words, __spans (merged word spans: start, end, in turn) and __items."""
+    """row (all columns of docs, without text if slim) with n_words, spans (merged word spans: start, end, in turn) and items."""
     spark = docs.sparkSession
     tables.small_batches(spark)
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     parts = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (2 * block_words)))
-    names = [c for c in docs.columns if not (slim and c == "text")]
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<long>").alias("__spans"), F.array().cast("array<string>").alias("__items"), F.col("text").cast("string").alias("__text"))
+    out = tables.packed(docs, *(["text"] if slim else [])).select("row", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"), "text")
     schema = out.schema
     for part in range(parts):
         # a block: at most about block_words words, as a word and what parts it are two characters or more
@@ -125,8 +124,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block_wor
             phrases = shared.value
             for b in batches:
                 n_words, spans, found = [], [], []
-                old_spans, old_items = b.column(len(names) + 1).to_pylist(), b.column(len(names) + 2).to_pylist()
-                for i, j, h, bounds in words.hashed_words(b.column(len(names) + 3), words.ALNUM, SHARD):
+                old_spans, old_items = b.column(2).to_pylist(), b.column(3).to_pylist()
+                for i, j, h, bounds in words.hashed_words(b.column(4), words.ALNUM, SHARD):
                     covered, items_ = phrases.hits(h, bounds)
                     for d in range(j - i):
                         mine = covered[bounds[d] : bounds[d + 1]]
@@ -135,24 +134,24 @@ def marked(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block_wor
                         n_words.append(len(mine))
                         spans.append(runs(mine).tolist() if mine.any() else [])
                         found.append(sorted({*old_items[i + d], *items_[d]}))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), *([b.column(len(names) + 3)] if more else [])], names=schema.names[: len(names) + 3 + more])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), *([b.column(4)] if more else [])], names=schema.names[: 4 + more])
 
-        out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields[: len(names) + 3 + more]]))
+        out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields[: 4 + more]]))
     return out
 
 
 def _hit_words():
-    return F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
-    out = marked(docs.selectExpr("cast(doc_id as long) doc_id", "text"), benchmark, **how, slim=True).select("doc_id", F.col("__n_words").alias("n_words"), _hit_words().alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("__items"), ",").cast("binary"), 256).alias("items_sha256"))
+    out = marked(docs.selectExpr("cast(doc_id as long) doc_id", "text"), benchmark, **how, slim=True).select("row.doc_id", "n_words", _hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without contaminated documents."""
     out = marked(docs, benchmark, **how)
-    bad = (_hit_words() > 0) & (20 * _hit_words() >= F.col("__n_words"))
-    return out.filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = (_hit_words() > 0) & (20 * _hit_words() >= F.col("n_words"))
+    return tables.unpacked(out.filter(~bad))

@@ -188,20 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, prior: flo
     return fit(x[order], positive[order], prior=prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and score, for every whole text: a map over rows."""
+def accepted(docs: DataFrame, model: Model, *, cut: float = 0.3) -> DataFrame:
+    """docs, with all columns whatever their names, whose whole text has a score of at least `cut`: a map over rows."""
     tables.small_batches(docs.sparkSession)
-    names = docs.columns
+    rows = tables.packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(statistics(b.column(len(names)))))], names=[*names, "__score"])
+            good = model.score(statistics(b.column(1))) >= cut
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good))], names=["row"])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    wide = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
-    return wide.mapInArrow(run, schema)
+    return tables.unpacked(rows.mapInArrow(run, rows.select("row").schema))
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, bound: int = 20_000, cut: float = 0.3) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -57,6 +58,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(docs: DataFrame, *without: str) -> DataFrame:
+    """row (a struct of the columns of docs but those named) and text as a string: what an operator adds beside it clashes with no name."""
+    names = [c for c in docs.columns if c not in without]
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The columns that `packed` put into row."""
+    return df.select(*[F.col("row").getField(name).alias(name) for name in df.schema["row"].dataType.names])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

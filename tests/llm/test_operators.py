@@ -388,6 +388,25 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     assert got == want and got and 3 not in got
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names with dots and names that operators use, null ids and texts, repeated rows, an empty table."""
+    import corpus_pipeline
+
+    docs, labels = labelled_docs(spark, False)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such words in any of these documents at all here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = {"meta.url": F.lit("u"), "__score": F.lit(1), "score": F.lit(2), "row": F.lit("r"), "had": F.lit(True), "__had": F.lit(3), "items": F.lit(4), "__items": F.lit("i"), "spans": F.lit("s"), "__spans": F.lit(5), "n_words": F.lit(6)}
+    base = docs.filter("doc_id < 200 or doc_id is null").select("doc_id", "text", "lang", "source")
+    base = base.union(base.filter("doc_id = 5")).union(spark.createDataFrame([(901, None, "en", "s")], base.schema))
+    wide = base.select("*", *[c.alias(n) for n, c in more.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns and out.dtypes == wide.dtypes, name
+        first = out.select("doc_id", *[F.col(f"`{n}`") for n in more]).collect()
+        assert first and all(tuple(r)[1:] == ("u", 1, 2, "r", True, 3, 4, "i", "s", 5, 6) for r in first), name
+        assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_winnowing_cuts_scripts_without_spaces(spark):
     """Texts of one run of Han or of letters, against themselves with a changed end."""
     r = random.Random(5)

@@ -17,14 +17,16 @@ from lamina.llm.queries import labels, public_file
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier does not reject (score 0.3 or more)."""
     model = quality.train(docs, labels(spark, sf_dir))
-    return quality.score(docs, model).filter("__score >= 0.3").drop("__score")
+    return quality.accepted(docs, model, cut=0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line resembles; documents of which nothing is left go."""
-    had = F.col("text").isNull() | (F.trim("text") == "")
-    out = linedup.deduplicate(docs.withColumn("__had", ~had))
-    return out.filter(~F.col("__had") | (F.trim("text") != "")).drop("__had")
+    had = "had"
+    while had in map(str.lower, docs.columns):
+        had += "_"
+    out = linedup.deduplicate(docs.withColumn(had, F.col("text").isNotNull() & (F.trim("text") != "")))
+    return out.filter(~F.col(had) | (F.trim("text") != "")).drop(had)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

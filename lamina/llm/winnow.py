@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Units are lower-cased words, whatever the text's size; each character of a script written without spaces is a unit by itself, and a
-longer run without white space is cut after every 32 characters. Every k = 3 consecutive
+Units are lower-cased words, whatever the text's size; each character of a script written without spaces is a unit by itself. A run of
+more than LONG characters without white space (an address, code, encoded data) is cut where its own characters say: after each pair of one whose
+code point is 0 and one whose is 1 modulo 4, about every 16 characters, so that shifted copies have the same units from their first common cut on; what has
+no such pair for longer is cut after every 32 characters from its last cut. Every k = 3 consecutive
 units are hashed (a shorter text has one gram of all), and of each window of 8 consecutive hashes the minimum
 is chosen, the rightmost of equal ones, with its position among the units. Two texts that share a run of k + 7 units
 share a chosen hash. Likeness is the Dice coefficient of the chosen hashes' sets; two empty ones are alike (1).
@@ -25,7 +27,10 @@ WINDOW, K = 8, 3
 MASK = (1 << 31) - 1
 #: Characters of scripts without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), and what a text must hold for its units to need more than its white space
 ALONE = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\x{20000}-\x{3FFFF}]"
+LONG = 32
 ODD = r"[\u0E00-\u9FFF\x{20000}-\x{3FFFF}]|(?:^|\s)\S{33}"
+#: The pair that a run is cut after: Latin letters, digits and signs, Greek and Cyrillic
+PAIR = "([{}][{}])".format(*("".join(f"\\x{{{c:x}}}" for c in (*range(33, 256), *range(0x370, 0x460)) if c % 4 == r) for r in (0, 1)))
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
@@ -47,8 +52,10 @@ def _least(array: str, step: int):
 
 def units(low: Column) -> Column:
     """The units of a lower-cased text. Where nothing is alone or too long, both replacements would change nothing."""
-    cut = F.regexp_replace(F.regexp_replace(low, f"({ALONE})", " $1 "), r"(\S{32})", "$1 ")
-    return F.array_remove(F.split(F.when(F.rlike(low, F.lit(ODD)), cut).otherwise(low), r"\s+"), "")
+    pieces = lambda w: F.split(F.regexp_replace(F.regexp_replace(w, PAIR, "$1 "), rf"(\S{{{LONG}}})", "$1 "), " ")
+    apart = F.split(F.regexp_replace(low, f"({ALONE})", " $1 "), r"\s+")
+    cut = F.flatten(F.transform(apart, lambda w: F.when(F.length(w) > LONG, pieces(w)).otherwise(F.array(w))))
+    return F.array_remove(F.when(F.rlike(low, F.lit(ODD)), cut).otherwise(F.split(low, r"\s+")), "")
 
 
 def chosen(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -262,6 +262,15 @@ def test_winnowing_compares_texts_of_all_sizes(spark):
     assert out[1].edited_fingerprint == out[9].fingerprint
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "abcABC+/019zZ", "абвгдежзиклмнопрст"])
+def test_winnowing_finds_shifted_copies_of_runs_without_spaces(spark, letters):
+    r = random.Random(3)
+    run, other = ("".join(r.choice(letters) for _ in range(3000)) for _ in range(2))
+    rows = [(4, "y" + run), (3, run), (2, other), (1, run[:1500] + "!" + run[1500:]), (0, "z" * 3000)]
+    out = {x.doc_id: x for x in winnow.fingerprints(frame(spark, rows)).collect()}
+    assert out[4].near_next > 0.9 and out[3].near_next < 0.2 and out[2].near_next < 0.2 and out[1].near_next < 0.2
+
+
 def test_suffix_tree_scores(spark, odd):
     docs = [*odd, *((3000 + i, " ".join(["the cat sat on the mat and the dog ran"] * 8)) for i in range(40))]
     n, want = brute.base_scores(docs)

@@ -55,7 +55,7 @@ def daily_moisture(df: DataFrame, cell: str = "cell", ts: str = "ts") -> DataFra
 
 
 def daily_convert(tables: dict[str, DataFrame], cell: str = "cell", day: str = "day", albedo: float = 0.23) -> DataFrame:
-    """C5. Separate daily tables (tmin, tmax, q, pres, rsn, lwn, u, v) joined and converted."""
+    """C5. Separate daily tables (tmin, tmax, q, pres, rsn, lwn, u, v) joined and converted; a table albedo, where there is one, holds that of each cell and day."""
     names = list(tables)
     out = tables[names[0]]
     for n in names[1:]:
@@ -63,7 +63,7 @@ def daily_convert(tables: dict[str, DataFrame], cell: str = "cell", day: str = "
     mean = (F.col("tmin") + F.col("tmax")) / 2
     vapour = F.col("q") * F.col("pres") / (0.622 + 0.378 * F.col("q"))
     return out.select(
-        cell, day, mean.alias("temp"), (F.col("tmax") - F.col("tmin")).alias("range"), vapour.alias("vapour"), (F.col("rsn") / (1 - albedo)).alias("swdown"),
+        cell, day, mean.alias("temp"), (F.col("tmax") - F.col("tmin")).alias("range"), vapour.alias("vapour"), (F.col("rsn") / (1 - (F.col("albedo") if "albedo" in tables else F.lit(albedo)))).alias("swdown"),
         clamp(1 + F.col("lwn") / (SIGMA * (mean + 273.15) ** 4), 0.0, 1.0).alias("emissivity"), F.sqrt(F.col("u") ** 2 + F.col("v") ** 2).alias("windspeed"), clamp(100 * vapour / saturation_pressure(mean), 15.0, 100.0).alias("relhum"),
     )
 

@@ -5,6 +5,10 @@ A grid is nrow x ncol cells of side res from (xmin, ymax); cells count from 1 al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +211,37 @@ def fill_idw(df: DataFrame, target: DataFrame, value: str, k: int = 10, power: f
     return target.select("row", "col").join(found, ["row", "col"], "left")
 
 
+def fill_idw_all(df: DataFrame, target: DataFrame, value: str, power: float = 2, most: int = 1_000_000, block: int = 1 << 22) -> DataFrame:
+    """G12 over all known cells: inverse-distance weighted means of the targets; a target that is a known cell has its value.
+
+    The known cells are counted first and are sent to all tasks (24 bytes each); more than `most` are an error, as fill_idw is the way for those.
+    A task holds `block` distances at a time.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(F.col("row").cast("double"), F.col("col").cast("double"), F.col(value).cast("double").alias("v"))
+    n = known.count()
+    if n > most:
+        raise ValueError(f"{n} known cells, at most {most} are sent to all tasks: use fill_idw")
+    cells = known.sort("row", "col", "v").toPandas().to_numpy(float).reshape(-1, 3)
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, c, v = shared.value.T
+        for b in batches:
+            out = np.full(len(b), np.nan)
+            rows, cols = b["row"].to_numpy(float), b["col"].to_numpy(float)
+            step = max(1, block // max(len(v), 1))
+            for i in range(0, len(b) if len(v) else 0, step):
+                d2 = (rows[i : i + step, None] - r) ** 2 + (cols[i : i + step, None] - c) ** 2
+                w = np.maximum(d2, 1e-300) ** (-power / 2)
+                here = d2 == 0
+                own = here.any(axis=1)
+                w[own] = here[own]
+                out[i : i + step] = w @ v / w.sum(axis=1)
+            yield pd.DataFrame({"row": b["row"], "col": b["col"], value: pd.Series(out).astype(object).where(~np.isnan(out), None)})
+
+    return target.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).mapInPandas(run, f"row int, col int, {value} double")
+
+
 def extract_at_points(points: DataFrame, df: DataFrame, value: str, res: float = 1.0, x: str = "x", y: str = "y") -> DataFrame:
     """G13. The value of the cell under each point, with rows down from 0 at y = 0 upwards."""
     at = points.withColumn("row", F.floor(F.col(y) / res).cast("int")).withColumn("col", F.floor(F.col(x) / res).cast("int"))
@@ -263,6 +298,20 @@ def tile_with_buffer(df: DataFrame, tile: int, buffer: int) -> DataFrame:
     return out.withColumn("tile_row", F.explode(F.sequence(lo("row"), hi("row")))).withColumn("tile_col", F.explode(F.sequence(lo("col"), hi("col")))).drop("__max_row", "__max_col")
 
 
+def tile_points(points: DataFrame, tile: str, most: int, size: int, x: str = "x", part: str = "part") -> DataFrame:
+    """G18 for points: a tile of more than `most` points is split on x into ceil(points / size) parts of equal width, numbered from 1; others are one part.
+
+    A part holds its lower break, the last one both. A point without x is in part 1.
+    """
+    ends = points.groupBy(tile).agg(F.count("*").alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    ends = ends.withColumn("__k", F.when(F.col("__n") > most, F.ceil(F.col("__n") / size)).otherwise(1))
+    width = F.nullif((F.col("__hi") - F.col("__lo")) / F.col("__k"), F.lit(0.0))
+    at = F.least(F.coalesce(F.floor((F.col(x) - F.col("__lo")) / width) + 1, F.lit(1)), F.col("__k"))
+    ends = ends.withColumnRenamed(tile, "__tile")
+    out = points.join(ends, F.col(tile).eqNullSafe(F.col("__tile")))
+    return out.withColumn(part, at.cast("int")).drop("__tile", "__n", "__lo", "__hi", "__k")
+
+
 def bbox(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """G19. One row: the bounding box."""
     return df.agg(F.min(x).alias("xmin"), F.max(x).alias("xmax"), F.min(y).alias("ymin"), F.max(y).alias("ymax"))

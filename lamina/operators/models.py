@@ -32,14 +32,18 @@ def zscore(df: DataFrame, scale: DataFrame, cols: list[str]) -> DataFrame:
 def climate_distinctness(df: DataFrame, keys: list[str], cols: list[str], height: str = "height_m") -> DataFrame:
     """M3. Mean and sd of the Euclidean distances between all pairs of a key's heights with complete variables; NULL with fewer than 2.
 
-    Pairs are within a key, whose heights are few; an equi-join, never a Cartesian product.
+    One aggregation: a key's complete heights (some hundred at most) are an array in order, pairs are taken inside it. Equal heights are no pair.
     """
-    ok = df.dropna(subset=cols)
-    a = ok.select(*keys, F.col(height).alias("__h1"), *[F.col(c).alias(f"__a_{c}") for c in cols])
-    b = ok.select(*keys, F.col(height).alias("__h2"), *[F.col(c).alias(f"__b_{c}") for c in cols])
-    d = F.sqrt(sum(((F.col(f"__a_{c}") - F.col(f"__b_{c}")) ** 2 for c in cols), F.lit(0.0)))
-    pairs = a.join(b, keys).filter("__h1 < __h2").groupBy(*keys).agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"))
-    return df.select(*keys).distinct().join(pairs, keys, "left")
+    whole = F.col(height).isNotNull() & F.coalesce(*[F.when(F.col(c).isNull(), F.lit(False)) for c in cols], F.lit(True))
+    row = F.struct(F.col(height).alias("h"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    d = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(whole, row))).alias("__a"))
+    apart = lambda a, b: F.sqrt(sum(((a[f"v{i}"] - b[f"v{i}"]) ** 2 for i in range(len(cols))), F.lit(0.0)))
+    later = lambda a, i: F.filter(F.slice("__a", i + 2, F.size("__a")), lambda b: b["h"] > a["h"])
+    d = d.withColumn("__d", F.flatten(F.transform("__a", lambda a, i: F.transform(later(a, i), lambda b: apart(a, b)))))
+    total = lambda f: F.aggregate("__d", F.lit(0.0), lambda s, x: s + f(x))
+    n = F.size("__d")
+    d = d.withColumn("mean", F.when(n > 0, total(lambda x: x) / n))
+    return d.select(*keys, "mean", F.when(n > 1, F.sqrt(total(lambda x: (x - F.col("mean")) ** 2) / (n - 1))).alias("sd"))
 
 
 def distinctness_by_zone(df: DataFrame, strata: DataFrame, classes: DataFrame, keys: list[str], cols: list[str], cell: str = "cell", height: str = "height_m") -> DataFrame:

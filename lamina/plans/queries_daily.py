@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import climate, daily
@@ -23,10 +23,13 @@ def d2_monthly_stats(spark, d):
     return daily.monthly_stats(hourly(spark, d))
 
 
-@query(H + CHM + ", t as (select cell, height_m, day, avg(v) as tmean, max(v) as tmax, min(v) as tmin, event_half from (select *, cell % 2 as event_half from h) group by all) select t.cell, t.height_m, day, case when canopy >= height_m then tmean end as tmean, case when canopy >= height_m then tmax end as tmax, case when canopy >= height_m then tmin end as tmin from t join c using (cell)", "day", "cell", "height_m tmean tmax tmin")
+@query(H + CHM + ", i as (select *, row_number() over (partition by cell, height_m, day order by ts, v) % 3 as i from h), s as (select cell, height_m, day, avg(v) as tmean, max(v) as tmax, min(v) as tmin from i where i in (0, 1) group by all union all select cell, height_m, day, avg(v), max(v), min(v) from i where i in (0, 2) group by all), t as (select cell, height_m, day, avg(tmean) as tmean, max(tmax) as tmax, min(tmin) as tmin from s group by all) select t.cell, t.height_m, day, case when canopy >= height_m then tmean end as tmean, case when canopy >= height_m then tmax end as tmax, case when canopy >= height_m then tmin end as tmin from t join c using (cell)", "day", "cell", "height_m tmean tmax tmin")
 def d3_merge_daily_tiles(spark, d):
-    one = daily.daily_stats(hourly(spark, d), keys=("cell", "height_m"))
-    return daily.merge_daily_tiles([one.filter("cell % 2 = 0"), one.filter("cell % 2 = 1")], chm(spark, d))
+    """Two tiles that overlap: each has a third of the hours of its own and shares a third."""
+    i = F.row_number().over(Window.partitionBy("cell", "height_m", "day").orderBy("ts", "v")) % 3
+    x = hourly(spark, d).withColumn("i", i)
+    tiles = [daily.daily_stats(x.filter(F.col("i").isin(0, own)), keys=("cell", "height_m")) for own in (1, 2)]
+    return daily.merge_daily_tiles(tiles, chm(spark, d))
 
 
 @query(Y + " select cell, height_m, year, avg(tmin) as tmin_mean, avg(tmax) as tmax_mean, avg(tmax) - avg(tmin) as diurnal_range, quantile_cont(tmax, 0.9) as tmax_q90, stddev_samp(tmean) as tmean_sd from y group by all", "", "cell year", "height_m tmin_mean tmax_mean diurnal_range tmax_q90 tmean_sd")
@@ -121,6 +124,12 @@ def s9_collect_monthly(spark, d):
     return src.collect_monthly(table(spark, d, "orders").withColumnRenamed("o_custkey", "cell"), ["cell"], "o_orderdate", "o_totalprice", 1996, 1999)
 
 
+@query("select o_custkey as cell, extract('year' from o_orderdate) as year, " + ", ".join(f"avg(o_totalprice) filter (where month(o_orderdate) = {m}) as m{m:02d}" for m in range(1, 13)) + " from orders where year(o_orderdate) between 1996 and 1999 and o_custkey % 50 between 10 and 40 and o_custkey // 50 between 1 and 20 group by all", "", "cell year", " ".join(f"m{m:02d}" for m in range(1, 13)))
+def s9_collect_region(spark, d):
+    x = table(spark, d, "orders").withColumnRenamed("o_custkey", "cell").withColumn("x", F.col("cell") % 50).withColumn("y", F.expr("cell div 50"))
+    return src.collect_monthly(x, ["cell"], "o_orderdate", "o_totalprice", 1996, 1999, (10, 1, 40, 20))
+
+
 @query("select l_suppkey as cell, median(l_extendedprice) as b2, median(l_discount) as b3 from lineitem where l_quantity < 30 and l_linenumber not in (0, 1, 3, 8, 9, 10, 11) group by all", "", "cell", "b2 b3")
 def s10_cloud_free_median(spark, d):
     x = table(spark, d, "lineitem").selectExpr("l_suppkey as cell", "l_quantity as cloud", "l_linenumber as scl", "l_extendedprice as b2", "l_discount as b3")
@@ -160,16 +169,16 @@ def c4_daily_moisture(spark, d):
     return climate.daily_moisture(x)
 
 
-@query(H + ", t as (select cell, day, min(v) as tmin, max(v) as tmax, avg(v) as q from h group by all) select cell, day, (tmin + tmax) / 2 as temp, tmax - tmin as range, sqrt(tmin * tmin + tmax * tmax) as windspeed, q / 1000 * 100 / (0.622 + 0.378 * q / 1000) as vapour from t", "day", "cell", "temp range windspeed vapour")
+@query(H + ", t as (select cell, day, min(v) as tmin, max(v) as tmax, avg(v) as q from h group by all) select cell, day, (tmin + tmax) / 2 as temp, tmax - tmin as range, sqrt(tmin * tmin + tmax * tmax) as windspeed, vapour, tmax / (1 - cell % 10 / 20) as swdown, greatest(0, least(1, 1 - tmin / (5.67e-8 * ((tmin + tmax) / 2 + 273.15) ** 4))) as emissivity, greatest(15, least(100, 100 * vapour / (0.61078 * exp(case when tmin + tmax > 0 then 17.27 * (tmin + tmax) / 2 / ((tmin + tmax) / 2 + 237.3) else 21.875 * (tmin + tmax) / 2 / ((tmin + tmax) / 2 + 265.5) end)))) as relhum from (select *, q / 1000 * 100 / (0.622 + 0.378 * q / 1000) as vapour from t)", "day", "cell", "temp range windspeed vapour swdown emissivity relhum")
 def c5_daily_convert(spark, d):
     t = daily.daily_stats(hourly(spark, d))
     one = lambda e, n: t.select("cell", "day", e.alias(n))
-    parts = {"tmin": F.col("tmin"), "tmax": F.col("tmax"), "q": F.col("tmean") / 1000, "pres": F.lit(100.0), "rsn": F.col("tmax"), "lwn": -F.col("tmin"), "u": F.col("tmin"), "v": F.col("tmax")}
+    parts = {"tmin": F.col("tmin"), "tmax": F.col("tmax"), "q": F.col("tmean") / 1000, "pres": F.lit(100.0), "rsn": F.col("tmax"), "lwn": -F.col("tmin"), "u": F.col("tmin"), "v": F.col("tmax"), "albedo": F.col("cell") % 10 / 20}
     return climate.daily_convert({n: one(e, n) for n, e in parts.items()})
 
 
 _C6 = "with x as (select *, " + sun_sql("day", "h", "lat", "lon") + """ as z, 2 * pi() * (datediff('day', date '1970-01-01', day) + 2440588.0 - 2451545 + 0.0008) / 365 as n, 11.2 * (0.1093309 + 0.07649825 * (0.008 * 101.3 * 1000 / 9.81) ** 0.34 + 0.1) as tl
-  from (select distinct cast(o_orderdate as date) as day from orders), (select n_name as site, n_nationkey * 3 - 36 as lat, n_nationkey as lon from nation), (select cast(unnest(range(24)) as double) as h)),
+  from (select distinct cast(o_orderdate as date) as day from orders), (select n_name as site, n_nationkey * 3 - 36 as lat, n_nationkey as lon from nation), (select unnest(range(96)) / 4.0 as h)),
 b as (select *, pi() / 2 - z + 0.061359 * (0.1594 + 1.123 * (pi() / 2 - z) + 0.065656 * (pi() / 2 - z) ** 2) / (1 + 28.9344 * (pi() / 2 - z) + 277.3971 * (pi() / 2 - z) ** 2) as s from x),
 c as (select *, case when z <= pi() / 2 and s > 0 then 1 / (sin(s) + 0.50572 * greatest(degrees(s) + 6.07995, 0.001) ** -1.6364) end as am from b),
 e as (select *, case when am is null then 0 else exp(-0.8662 * tl * am / case when am <= 20 then 6.6296 + 1.7513 * am - 0.1202 * am ** 2 + 0.0065 * am ** 3 - 0.00013 * am ** 4 else 10.4 + 0.718 * am end) end as tb, -0.015843 + 0.030543 * tl + 0.0003797 * tl * tl as td, 0.26463 - 0.061581 * tl + 0.0031408 * tl * tl as a0 from c)
@@ -180,7 +189,7 @@ select site, day, avg(1361 * (1.00011 + 0.034221 * cos(n) + 0.00128 * sin(n) + 0
 def c6_clear_sky_table(spark, d):
     days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     sites = table(spark, d, "nation").selectExpr("n_name as site", "cast(n_nationkey * 3 - 36 as double) as lat", "cast(n_nationkey as double) as lon")
-    return climate.clear_sky_table(days, sites, 1)
+    return climate.clear_sky_table(days, sites)
 
 
 _C8 = H + """, t as (select cell, day, min(v) as tmin, max(v) as tmax, cell % 171 - 85 as lat, cell % 360 - 180 as lon, datediff('day', date '1970-01-01', day) + 2440588.0 as jd from h group by all),

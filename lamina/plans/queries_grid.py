@@ -131,6 +131,12 @@ def g12_fill_idw(spark, d):
     return g_.fill_idw(g, g.filter("value is null"), "value")
 
 
+@query(G + ", t as (select row, col, value as v0 from g where cell % 50 = 0) select t.row, t.col, coalesce(any_value(k.value) filter (where t.row = k.row and t.col = k.col), sum(k.value / nullif((t.row - k.row) ** 2 + (t.col - k.col) ** 2, 0)) / sum(1 / nullif((t.row - k.row) ** 2 + (t.col - k.col) ** 2, 0))) as value from t cross join (select row, col, value from g where cell % 7 <> 0) k group by all", "", "row col", "value")
+def g12_fill_idw_all(spark, d):
+    """Every 50th cell, a stated set of targets, from all known cells."""
+    return g_.fill_idw_all(gappy(spark, d), grid(spark, d).filter("cell % 50 = 0"), "value")
+
+
 @query(G + " select s_suppkey, value from supplier left join g on g.row = s_suppkey % 30 and g.col = s_suppkey % 50", "", "s_suppkey", "value")
 def g13_extract_at_points(spark, d):
     p = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 + 0.5).alias("x"), (F.col("s_suppkey") % 30 + 0.5).alias("y"))
@@ -164,6 +170,11 @@ def g18_tile_with_buffer(spark, d):
     return g_.tile_with_buffer(grid(spark, d), 10, 2)
 
 
+@query("with p as (select p_type as tile, p_partkey, p_retailprice as x from part), e as (select tile, count(*) as n, min(x) as lo, max(x) as hi, case when count(*) > 10 then ceil(count(*) / 4.0) else 1 end as k from p group by all) select tile, p_partkey, least(coalesce(floor((x - lo) / nullif((hi - lo) / k, 0)) + 1, 1), k) as part from p join e using (tile)", "tile", "p_partkey part")
+def g18_tile_points(spark, d):
+    return g_.tile_points(table(spark, d, "part").selectExpr("p_type as tile", "p_partkey", "p_retailprice as x"), "tile", 10, 4)
+
+
 @query(CL + " select min(x) as xmin, max(x) as xmax, min(y) as ymin, max(y) as ymax from c", "", "", "xmin xmax ymin ymax")
 def g19_bbox(spark, d):
     return g_.bbox(cloud(spark, d))
@@ -340,8 +351,12 @@ def s7_write_table(spark, d):
 
 @query("select n_name as site from nation", "site")
 def g2_same_geometry(spark, d):
-    g_.same_geometry(grids(spark, d), grids(spark, d).repartition(3))
-    return grids(spark, d)
+    """Grids as given against those found again from the ends of their cells."""
+    g = grids(spark, d)
+    ends = g_.grid_cells(g).groupBy("site").agg(F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("row").alias("r"), F.max("col").alias("c"))
+    again = ends.join(g.select("site", "res"), "site").select("site", (F.col("r") + 1).alias("nrow"), (F.col("c") + 1).alias("ncol"), (F.col("x0") - F.col("res") / 2).alias("xmin"), (F.col("y1") + F.col("res") / 2).alias("ymax"))
+    g_.same_geometry(g.select(*[F.col(c).cast("double") for c in again.columns if c != "site"], "site"), again.select(*[F.col(c).cast("double") for c in again.columns if c != "site"], "site"))
+    return g
 
 
 @query("with r as (select user_id as cell, 280 + value / 100 as t2m, 275 + value / 200 as d2m, value * 100 as ssrd, value as u10, value / 2 as v10, value * 50 as fdir, ts from events), x as (select *, t2m - 273.15 as t, d2m - 273.15 as d from r) select cell, t as temp, least(100 * exp(case when d > 0 then 17.27 * d / (d + 237.3) else 21.875 * d / (d + 265.5) end - case when t > 0 then 17.27 * t / (t + 237.3) else 21.875 * t / (t + 265.5) end), 100) as relhum, ssrd / 3600 as swdown, sqrt(u10 * u10 + v10 * v10) * 0.7477849 as windspeed, ssrd / 3600 - fdir / 3600 * greatest(0, cos(z)) as difrad, 101.325 as pres, 300.0 as lwdown, (atan2(u10, v10) * 180 / pi() + 180) % 360 as winddir, 1.0 as precip from (select *, " + sun_sql("cast(ts as date)", "(hour(ts) + minute(ts) / 60.0 + floor(second(ts)) / 3600.0)", "10", "20") + " as z from x)", "", "cell", "temp relhum swdown windspeed difrad pres lwdown winddir precip")

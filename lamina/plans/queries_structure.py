@@ -178,7 +178,7 @@ def k8_profile_bands(spark, d):
 
 @query(None, "class", "", "height_m pad")
 def k9_smooth_profile(spark, d):
-    return structure.smooth_profile(profiles(spark, d), step=0.5)
+    return structure.smooth_profile(profiles(spark, d))
 
 
 EXT = P + ", a as (select *, lead(pad) over w as nx, sign(lead(pad) over w - pad) as s from pr window w as (partition by class order by height_m)), b as (select *, coalesce(last_value(nullif(s, 0) ignore nulls) over w1, first_value(nullif(s, 0) ignore nulls) over w2) as t from a window w1 as (partition by class order by height_m rows between unbounded preceding and current row), w2 as (partition by class order by height_m rows between current row and unbounded following)), c as (select *, lag(t) over (partition by class order by height_m) as u from b), ex as (select class, height_m, pad, case when (u is null or u > 0) and t < 0 then 'peak' when u < 0 and t > 0 then 'trough' end as kind from c where nx is not null), x as (select * from ex where kind is not null)"
@@ -195,7 +195,7 @@ def k11_prominence(spark, d):
 
 
 def _strata(spark, d):
-    p = structure.smooth_profile(profiles(spark, d), step=0.5)
+    p = structure.smooth_profile(profiles(spark, d))
     e = structure.prominence(structure.extrema(p), p, 1.0, least=0.05)
     c = structure.anchors(e, p)
     return p, c, structure.zones(c, structure.boundaries(c, structure.gradient(p)), p, 0.5)

@@ -73,9 +73,11 @@ def missing_outputs(wanted: DataFrame, done: DataFrame, keys: list[str]) -> Data
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def collect_monthly(df: DataFrame, keys: list[str], date: str, band: str, first: int, last: int) -> DataFrame:
-    """S9. Mean of a band by key, year and month, one column a month."""
+def collect_monthly(df: DataFrame, keys: list[str], date: str, band: str, first: int, last: int, region: tuple[float, float, float, float] | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """S9. Mean of a band by key, year and month, one column a month; region: xmin, ymin, xmax and ymax, both ends included."""
     months = [F.avg(F.when(F.month(date) == m, F.col(band))).alias(f"m{m:02d}") for m in range(1, 13)]
+    if region is not None:
+        df = df.filter(F.col(x).between(region[0], region[2]) & F.col(y).between(region[1], region[3]))
     return df.filter(F.year(date).between(first, last)).groupBy(*keys, F.year(date).alias("year")).agg(*months)
 
 

@@ -162,3 +162,20 @@ def test_idw_takes_the_nearest_across_wide_gaps(spark):
             best = sorted(((r - a) ** 2 + (c - b) ** 2, a, b, v) for a, b, v in cells)[:10]
             w = [1e12 if d == 0 else 1 / d for d, *_ in best]
             assert near(got[r, c], sum(x * y[3] for x, y in zip(w, best, strict=True)) / sum(w))
+
+
+def test_points_of_a_large_tile_are_split_on_x(spark):
+    rows = [("a", float(x)) for x in range(11)] + [("b", 5.0)] * 12 + [("c", 1.0), ("c", 9.0), ("a", None)]
+    out = grid.tile_points(spark.createDataFrame(rows, "tile string, x double"), "tile", 10, 4).collect()
+    got = {(r.tile, r.x): r.part for r in out}
+    assert len(out) == len(rows) and [got["a", float(x)] for x in range(11)] == [1, 1, 1, 1, 2, 2, 2, 3, 3, 3, 3]
+    assert got["b", 5.0] == got["c", 1.0] == got["c", 9.0] == got["a", None] == 1
+
+
+def test_all_cells_idw(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 4, 3.0), (3, 0, None)], "row int, col int, v double")
+    got = {(r.row, r.col): r.v for r in grid.fill_idw_all(cells, cells, "v").collect()}
+    assert got[0, 0] == 1 and got[0, 4] == 3 and got[3, 0] == pytest.approx((1 / 9 + 3 / 25) / (1 / 9 + 1 / 25))
+    assert [r.v for r in grid.fill_idw_all(cells.filter("row = 3"), cells, "v").collect()] == [None] * 3
+    with pytest.raises(ValueError, match="known cells"):
+        grid.fill_idw_all(cells, cells, "v", most=1)

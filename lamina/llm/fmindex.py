@@ -71,7 +71,7 @@ class ShardIndex:
             go = np.flatnonzero(size[live] > step)
             if not len(go):
                 break
-            c = phrases[live[go], size[live[go]] - 1 - step]
+            c = phrases[live[go], size[live[go]] - 1 - step].astype(np.int64)
             lo[go] = self.before[c] + self.rank(c, lo[go])
             hi[go] = self.before[c] + self.rank(c, hi[go])
             keep = lo < hi

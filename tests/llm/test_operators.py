@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,25 @@ def test_winnowing_finds_shifted_copies_of_runs_without_spaces(spark, letters):
     assert out[4].near_next > 0.9 and out[3].near_next < 0.2 and out[2].near_next < 0.2 and out[1].near_next < 0.2
 
 
+def test_benchmark_windows_in_arrays():
+    """Distinct windows and their items against sets of tuples: shared windows, short, repeated and empty items, a name twice."""
+    r = random.Random(5)
+    text = lambda k: " ".join(r.choice("abcde") for _ in range(k))
+    ids, items = ["i", "h", "g", "f", "e", "e", "d", "c"], [text(60), text(40), "", "a b", "a b", text(9), "...", text(13)]
+    items[1] += " " + items[0]
+    p = decontam.Phrases.of(ids, pa.array(items), 5)
+    names = sorted({w for t in items for w in t.replace(".", "").split()}, key=lambda w: decontam.Phrases.of(["x"], pa.array([w]), 5).vocabulary[0])
+    want = {}
+    for name, t in zip(ids, items, strict=True):
+        w = t.replace(".", "").split()
+        for k in range(max(1, len(w) - 4) if w else 0):
+            want.setdefault(tuple(w[k : k + 5]), set()).add(name)
+    got = {tuple(names[c - 1] for c in row[:n]): p.item_of[p.item_at[k] : p.item_at[k + 1]].tolist() for k, (row, n) in enumerate(zip(p.rows, p.size, strict=True))}
+    assert len(got) == len(p.rows) and got == {k: sorted(v) for k, v in want.items()}
+    none = decontam.Phrases.of([], pa.array([], pa.string()))
+    assert none.rows.shape == (0, decontam.SIZE) and none.hits(np.zeros(3, np.uint64), np.array([0, 3]))[0].sum() == 0
+
+
 def test_suffix_tree_scores(spark, odd):
     docs = [*odd, *((3000 + i, " ".join(["the cat sat on the mat and the dog ran"] * 8)) for i in range(40))]
     n, want = brute.base_scores(docs)

@@ -6,7 +6,7 @@ Jaccard similarity `percent` or more with it; the earlier line counts whether or
 1. A pass over all words counts BUCKETS hash buckets; a token is as rare as its own bucket. Any fixed order gives the same result; rare
    tokens first give few candidates.
 2. One pass tokenises: each line gets its tokens in order of rarity, the first n - ceil(t n) + 1 of them (its prefix), a digest and a
-   parity bitmap of 128 bits. Equal sets share a digest; the first line of a digest stands for all, and every other copy is removed.
+   parity bitmap of 128 bits. Equal sets share a digest of 128 bits; the first line of a digest stands for all, and every other copy is removed.
 3. Lines whose prefixes have an equal part (of PARTS by hash) meet the earliest such line. This removes most of a large family of near copies
    before its lines could meet one another.
 4. What is left meets every earlier line of a prefix token, under the length and positional filters and the bitmap's bound: sets differ
@@ -34,6 +34,8 @@ FEW = 1 << 20
 PLACE = ("doc_id", "line_no")
 #: Two words of parity bits; a token flips one bit of one of them
 MAPS = ("map0", "map1")
+#: 128 bits that stand for a set
+DIGEST = ("digest", "digest2")
 
 
 def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -67,7 +69,8 @@ def line_table(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
     rows = with_codes(numbered_lines(docs), classes)
     maps = [_parity(lambda x: F.lit(1).cast("long")).alias(MAPS[0]), _parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))).alias(MAPS[1])]
     n = F.size("codes")
-    rows = rows.select(*PLACE, F.xxhash64("codes").alias("digest"), n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), *maps)
+    digests = [F.xxhash64("codes").alias(DIGEST[0]), F.xxhash64(F.lit("second"), "codes").alias(DIGEST[1])]
+    rows = rows.select(*PLACE, *digests, n.alias("n"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("head"), *maps)
     return rows.withColumn(MAPS[0], F.col(MAPS[0]).bitwiseXOR(F.col(MAPS[1])))
 
 
@@ -169,8 +172,8 @@ def removed_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     classes = rarity(docs)
     wide = stored(line_table(docs, classes, percent), "lines")
     first = F.min(F.struct(*PLACE, "n", "head", *MAPS)).alias("first")
-    reps = stored(wide.filter("n > 0").groupBy("digest").agg(first).select("digest", "first.*"), "line-firsts")
-    rows = stored(wide.filter("n > 0").select(*PLACE, "digest"), "line-digests")
+    reps = stored(wide.filter("n > 0").groupBy(*DIGEST).agg(first).select(*DIGEST, "first.*"), "line-firsts")
+    rows = stored(wide.filter("n > 0").select(*PLACE, *DIGEST), "line-digests")
     discard(wide)
     star = star_pairs(reps, percent)
     gone = verified(star, docs, classes, percent)
@@ -178,8 +181,8 @@ def removed_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     pairs = stored(near_heads(met, reps, percent), "line-pairs")
     discard(met)
     late = verified(pairs, docs, classes, percent)
-    kept = reps.select(*PLACE, "digest").join(gone.union(late), list(PLACE), "left_anti")
-    out = stored(rows.join(kept, [*PLACE, "digest"], "left_anti").select(*PLACE).distinct(), "line-removed")
+    kept = reps.select(*PLACE, *DIGEST).join(gone.union(late), list(PLACE), "left_anti")
+    out = stored(rows.join(kept, [*PLACE, *DIGEST], "left_anti").select(*PLACE).distinct(), "line-removed")
     discard(rows, reps, star, gone, pairs, late)
     return out
 

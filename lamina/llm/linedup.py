@@ -47,20 +47,20 @@ def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Classes (two a power of two) of the counts of all hash buckets, in the upper byte, as a constant array of fixed size."""
+    """Classes (two a power of two) of the counts of all hash buckets, as a constant array of fixed size; each plan on the driver holds it."""
     words = numbered_lines(docs).select(F.explode(F.split("line", " ")).alias("w")).filter("w <> ''")
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count().toArrow()  # at most BUCKETS rows
     classes = ["0"] * BUCKETS
     for b, n in zip(*(x.to_pylist() for x in counts.columns), strict=True):
-        classes[b] = str(int(2 * math.log2(n)) << 56)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<long>")
+        classes[b] = str(int(2 * math.log2(n)))
+    return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
 
 def with_codes(lines: DataFrame, classes: Column) -> DataFrame:
     """lines with codes, the distinct tokens in order of rarity, in place of line. The class is the upper byte."""
     keep = [c for c in lines.columns if c != "line"]
     hashed = lines.select(*keep, F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
-    code = lambda x: F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 8))
+    code = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
     return hashed.select(*keep, F.sort_array(F.transform("h", code)).alias("codes"))
 
 

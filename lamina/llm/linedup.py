@@ -3,15 +3,15 @@
 A line (text between newlines) is its set of lower-cased words. A line is removed if an earlier line, by (doc_id, line number), has
 Jaccard similarity `percent` or more with it; the earlier line counts whether or not it is removed itself. Lines without words stay.
 
-1. A pass over all words counts BUCKETS hash buckets; a token is as rare as its own bucket. Any fixed order gives the same result; rare
-   tokens first give few candidates.
-2. One pass tokenises: each line gets its tokens in order of rarity, the first n - ceil(t n) + 1 of them (its prefix), a digest and a
+1. One pass tokenises and writes the words of each line, hashed. From these, BUCKETS hash buckets are counted; a token is as rare as its own
+   bucket. Any fixed order gives the same result; rare tokens first give few candidates.
+2. Each line gets its tokens in order of rarity, the first n - ceil(t n) + 1 of them (its prefix), a digest and a
    parity bitmap of 128 bits. Equal sets share a digest of 128 bits; the first line of a digest stands for all, and every other copy is removed.
-3. Lines whose prefixes have an equal part (of PARTS by hash) meet the earliest such line. This removes most of a large family of near copies
-   before its lines could meet one another.
+3. Lines that share two rare tokens which are neighbours in both prefixes (SEEDS such places are looked at) meet the earliest such line. This
+   removes most of a large family of near copies before its lines could meet one another.
 4. What is left meets every earlier line of a prefix token, under the length and positional filters and the bitmap's bound: sets differ
    in at least as many tokens as their bitmaps do in bits.
-5. Candidates whose prefixes already differ too much go; the others are verified on their full sets, made anew from the lines in question only.
+5. Candidates are verified on their full sets, made anew from the lines in question only.
 
 Null texts have no lines; empty texts have one empty line, which stays. Rows with a null doc_id are left as they are. Of rows with
 a repeated doc_id, lines at the same place are removed together if one of them is. Any 64-bit doc_id and any number of lines will do.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .tables import discard, stored
 
 BUCKETS = 1 << 16
-PARTS = 6
+SEEDS = 6
 #: Lines (a number of 4 bytes each, by document) that are broadcast; more are joined by a shuffle
 FEW = 1 << 20
 PLACE = ("doc_id", "line_no")
@@ -46,27 +46,34 @@ def numbered_lines(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
-def rarity(docs: DataFrame) -> Column:
+def few(df: DataFrame) -> DataFrame:
+    """df (stored), broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def word_sets(lines: DataFrame) -> DataFrame:
+    """lines with words, the hashes of its distinct words, in place of line."""
+    words = F.array_remove(F.split("line", " "), "")
+    return lines.select(*[c for c in lines.columns if c != "line"], F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("words"))
+
+
+def rarity(sets: DataFrame) -> Column:
     """Classes (two a power of two) of the counts of all hash buckets, as a constant array of fixed size; each plan on the driver holds it."""
-    words = numbered_lines(docs).select(F.explode(F.split("line", " ")).alias("w")).filter("w <> ''")
-    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").count().toArrow()  # at most BUCKETS rows
+    buckets = sets.select(F.explode("words").alias("w")).select(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
+    counts = buckets.groupBy("b").count().toArrow()  # at most BUCKETS rows
     classes = ["0"] * BUCKETS
     for b, n in zip(*(x.to_pylist() for x in counts.columns), strict=True):
         classes[b] = str(int(2 * math.log2(n)))
     return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
 
 
-def with_codes(lines: DataFrame, classes: Column) -> DataFrame:
-    """lines with codes, the distinct tokens in order of rarity, in place of line. The class is the upper byte."""
-    keep = [c for c in lines.columns if c != "line"]
-    hashed = lines.select(*keep, F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
-    code = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    return hashed.select(*keep, F.sort_array(F.transform("h", code)).alias("codes"))
-
+def line_table(sets: DataFrame, classes: Column, percent: int) -> DataFrame:
+    """Place, digest, n, head (the prefix) and parity bitmap of each line with words.
 
-def line_table(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """Place, digest, n, head (the prefix) and parity bitmap of each line; lines without words have n = 0."""
-    rows = with_codes(numbered_lines(docs), classes)
+    Codes are tokens in order of rarity; the class is the upper byte.
+    """
+    code = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    rows = sets.select(*PLACE, F.sort_array(F.transform("words", code)).alias("codes"))
     maps = [_parity(lambda x: F.lit(1).cast("long")).alias(MAPS[0]), _parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))).alias(MAPS[1])]
     n = F.size("codes")
     digests = [F.xxhash64("codes").alias(DIGEST[0]), F.xxhash64(F.lit("second"), "codes").alias(DIGEST[1])]
@@ -89,45 +96,33 @@ def near_maps(a: str, b: str, n: Column, percent: int) -> Column:
     return apart * (100 + percent) <= n * (100 - percent)
 
 
+def with_seeds(reps: DataFrame, *more: str) -> DataFrame:
+    """Place, other columns and seed, of each line: the first pairs of neighbours in its prefix, or the tokens of a prefix of one or two."""
+    pairs = F.slice(F.array(*[F.xxhash64(F.get("head", F.lit(i)), F.get("head", F.lit(i + 1))) for i in range(SEEDS)]), F.lit(1), F.size("head") - 1)
+    return reps.select(*PLACE, *more, F.explode(F.when(F.size("head") <= 2, F.col("head")).otherwise(pairs)).alias("seed"))
+
+
 def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (ad, al, bd, bl) of a line and the earliest one (by document) with an equal part of its prefix."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda r: F.xxhash64(F.filter("head", lambda x: F.pmod(x, F.lit(PARTS)) == r)))
-    seeds = reps.select(*PLACE, F.explode(F.array_remove(parts, F.xxhash64(F.array().cast("array<long>")))).alias("seed"))  # empty parts are none
-    lists = seeds.groupBy("seed").agg(F.count("*").alias("c"), F.min("doc_id").alias("ad"), F.min_by("line_no", "doc_id").alias("al")).filter("c > 1").drop("c")
+    """Pairs (ad, al, bd, bl) of a line and the earliest one (by document) with an equal seed, under the filters of sizes and maps."""
+    lists = with_seeds(reps).groupBy("seed").agg(F.count("*").alias("c"), F.min("doc_id").alias("ad"), F.min_by("line_no", "doc_id").alias("al")).filter("c > 1").drop("c")
     lists = stored(lists, "line-lists")
-    met = seeds.join(F.broadcast(lists) if lists.count() <= FEW else lists, "seed").select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).filter("ad <> bd or al <> bl")
-    slim = reps.select(*PLACE, "n", *MAPS)
-    side = lambda x: slim.toDF(f"{x}d", f"{x}l", f"n{x}", *[f"{x}_{m}" for m in MAPS])
-    wide = met.join(side("a"), ["ad", "al"]).join(side("b"), ["bd", "bl"])
-    ok = similar_size(F.col("na"), F.col("nb"), percent) & near_maps("a_", "b_", F.col("na") + F.col("nb"), percent)
-    out = stored(wide.filter(ok).select("ad", "al", "bd", "bl").distinct(), "line-star")
-    discard(lists)
+    own = ["n", *MAPS]
+    firsts = reps.select(F.col("doc_id").alias("ad"), F.col("line_no").alias("al"), *[F.col(c).alias(f"a_{c}") for c in own])
+    wide = stored(firsts.join(few(lists), ["ad", "al"]), "line-stars")
+    met = with_seeds(reps, *own).withColumnsRenamed({c: f"b_{c}" for c in own}).join(few(wide), "seed").filter("ad <> doc_id or al <> line_no")
+    ok = similar_size(F.col("a_n"), F.col("b_n"), percent) & near_maps("a_", "b_", F.col("a_n") + F.col("b_n"), percent)
+    out = stored(met.filter(ok).select("ad", "al", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl")).distinct(), "line-star")
+    discard(lists, wide)
     return out
 
 
-def near_heads(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes allow their sets to be similar.
-
-    Up to the smaller of the two last tokens both prefixes hold all of their sets, so what differs there differs in the sets.
-    """
-    slim = reps.select(*PLACE, "n", "head")
-    wide = pairs.join(slim.toDF("ad", "al", "na", "ha"), ["ad", "al"]).join(slim.toDF("bd", "bl", "nb", "hb"), ["bd", "bl"])
-    top = F.least(F.element_at("ha", -1), F.element_at("hb", -1))
-    common = F.size(F.array_intersect("ha", "hb"))
-    # tokens of each that are not above `top`: the places of the first ones above it
-    upto = lambda h: F.size(F.filter(h, lambda x: x <= F.col("top")))
-    wide = wide.withColumn("top", top)
-    apart = (upto("ha") + upto("hb") - 2 * common) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    return wide.filter(apart).select("ad", "al", "bd", "bl")
-
-
 def prefix_pairs(reps: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """Pairs (ad, al, bd, bl) of an earlier line and one that is not in gone, with a common prefix token and fitting sizes, places and maps.
 
     A posting is the same whichever side it is on, so both sides of the join read one exchange: `at` holds the line number and whether the line
     is still to be looked at, `size` the set's size and the token's place in it.
     """
-    known = reps.join(gone.select(*PLACE, F.lit(1).cast("long").alias("out")), list(PLACE), "left")
+    known = reps.join(few(gone).select(*PLACE, F.lit(1).cast("long").alias("out")), list(PLACE), "left")
     at = F.shiftleft(F.col("line_no").cast("long"), 1).bitwiseOR(F.lit(1).cast("long") - F.coalesce("out", F.lit(0).cast("long")))
     post = known.select("doc_id", at.alias("at"), "n", *MAPS, F.posexplode("head").alias("i", "code"))
     post = post.select("code", "doc_id", "at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), *MAPS)
@@ -153,15 +148,15 @@ def with_lists(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     return docs.join(lists, F.col("doc_id") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: Column, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The places of the later lines of the pairs (stored) whose full sets are similar."""
     places = stored(pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")).union(pairs.select("bd", "bl")).distinct(), "line-places")
     some = numbered_lines(with_lists(docs, places, "want").filter("want is not null"), "want").filter(F.array_contains("want", F.col("line_no"))).drop("want")
-    sets = stored(with_codes(some, classes), "line-sets")
+    sets = stored(word_sets(some), "line-sets")
     both = pairs.join(sets.toDF("ad", "al", "x"), ["ad", "al"]).join(sets.toDF("bd", "bl", "y"), ["bd", "bl"])
     common = F.size(F.array_intersect("x", "y"))
     later = F.greatest(F.struct(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")), F.struct(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no")))
-    out = stored(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(later.alias("later")).select("later.*").distinct(), "line-gone")
+    out = stored(both.filter((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select(later.alias("later")).select("later.*").distinct(), "line-gone")
     discard(places, sets)
     return out
 
@@ -169,21 +164,20 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: Column, percent: int) -
 def removed_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """doc_id and line_no of each line to remove."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    classes = rarity(docs)
-    wide = stored(line_table(docs, classes, percent), "lines")
+    sets = stored(word_sets(numbered_lines(docs)).filter(F.size("words") > 0), "line-words", hashes=True)
+    wide = stored(line_table(sets, rarity(sets), percent), "lines", hashes=True)
+    discard(sets)
     first = F.min(F.struct(*PLACE, "n", "head", *MAPS)).alias("first")
-    reps = stored(wide.filter("n > 0").groupBy(*DIGEST).agg(first).select(*DIGEST, "first.*"), "line-firsts")
-    rows = stored(wide.filter("n > 0").select(*PLACE, *DIGEST), "line-digests")
-    discard(wide)
+    reps = stored(wide.groupBy(*DIGEST).agg(first, F.count("*").alias("c")).select(*DIGEST, "c", "first.*"), "line-firsts", hashes=True)
+    many = stored(reps.filter("c > 1").select(*DIGEST, F.struct(*PLACE).alias("first")), "line-repeated")
+    copies = stored(wide.select(*PLACE, *DIGEST).join(few(many), list(DIGEST)).filter(F.struct(*PLACE) != F.col("first")).select(*PLACE), "line-copies")
+    discard(wide, many)
     star = star_pairs(reps, percent)
-    gone = verified(star, docs, classes, percent)
-    met = stored(prefix_pairs(reps, gone, percent), "line-met")
-    pairs = stored(near_heads(met, reps, percent), "line-pairs")
-    discard(met)
-    late = verified(pairs, docs, classes, percent)
-    kept = reps.select(*PLACE, *DIGEST).join(gone.union(late), list(PLACE), "left_anti")
-    out = stored(rows.join(kept, [*PLACE, *DIGEST], "left_anti").select(*PLACE).distinct(), "line-removed")
-    discard(rows, reps, star, gone, pairs, late)
+    gone = verified(star, docs, percent)
+    pairs = stored(prefix_pairs(reps, gone, percent), "line-pairs")
+    late = verified(pairs, docs, percent)
+    out = stored(copies.union(gone).union(late).distinct(), "line-removed")
+    discard(reps, copies, star, gone, pairs, late)
     return out
 
 

@@ -197,6 +197,18 @@ def test_line_dedup_finds_one_changed_word(spark, odd, tmp_path):
     assert clean[7001] == "other text" and clean[7002] == "under terms of this other licence"
 
 
+def test_line_dedup_tokenises_whole_texts_once(spark, odd, monkeypatch):
+    """Rarity is counted from the words that the one pass wrote; a family of near copies meets its first line there, by few seeds."""
+    line = [f"tok{j}" for j in range(30)]
+    rows = [*odd[:-5], *((8000 + i, " ".join([*line[:i], f"own{i}", *line[i + 1 :]])) for i in range(30))]
+    whole, cut = [], linedup.numbered_lines
+    monkeypatch.setattr(linedup, "numbered_lines", lambda docs, *more: (more or whole.append(docs), cut(docs, *more))[1])
+    out = {r.doc_id: r.removed for r in linedup.line_report(frame(spark, rows)).collect()}
+    want = brute.removed_lines(rows)
+    assert out == {d: ",".join(map(str, want[d])) for d, _ in rows} and out[8029] == "0"
+    assert len(whole) == 1
+
+
 def test_short_lines_are_deduplicated(spark, tmp_path):
     """Lines of one or two words count in the query; blank lines stay."""
     from lamina.llm import queries

@@ -203,10 +203,11 @@ def blend_temperature(hourly: DataFrame, daily: DataFrame, value: str = "temp",
 
 
 def blend_precip(hourly: DataFrame, daily: DataFrame, value: str = "precip", total: str = "total", cell: str = "cell", day: str = "day") -> DataFrame:
-    """C11. Hourly rain scaled to the daily total (ratio 1 if the hours have none), not below 0."""
+    """C11. Hourly rain scaled to the daily total (ratio 1 if the hours have none), not below 0; NULL where the hour or the total is."""
     s = F.sum(value).over(Window.partitionBy(cell, day))
     d = hourly.withColumn("__s", s).join(daily.select(cell, day, total), [cell, day])
-    return d.withColumn(value, F.greatest(F.col(value) * F.when(F.col("__s") == 0, 1.0).otherwise(F.col(total) / F.col("__s")), F.lit(0.0))).drop("__s", total)
+    scaled = F.col(value) * F.when(F.col("__s") == 0, F.when(F.col(total).isNotNull(), 1.0)).otherwise(F.col(total) / F.col("__s"))
+    return d.withColumn(value, F.when(scaled.isNotNull(), F.greatest(scaled, F.lit(0.0)))).drop("__s", total)
 
 
 def block_mean(df: DataFrame, hours: int, value: str, cell: str = "cell", ts: str = "ts") -> DataFrame:

@@ -148,3 +148,11 @@ def test_bias_correction(spark):
         mid, span = obs[c].mean() + f.mean() - hist[c].mean(), reach(obs[c]) / reach(hist[c]) * reach(f) * 1.05
         want = np.clip(want, mid - span, mid + span)
         np.testing.assert_allclose(sorted(x.v for x in got if x.cell == c and x.v is not None), np.sort(want), atol=1e-4)
+
+
+def test_rain_of_days_without_a_value(spark):
+    rows = [(1, 1, 2.0), (1, 1, None), (1, 1, 6.0), (2, 1, None), (3, 1, 0.0), (3, 1, 0.0), (4, 1, 5.0), (5, 1, 0.0), (6, 1, -1.0), (6, 1, 3.0)]
+    totals = [(1, 1, 4.0), (2, 1, 4.0), (3, 1, 4.0), (4, 1, None), (5, 1, None), (6, 1, 4.0)]
+    got = climate.blend_precip(spark.createDataFrame(rows, "cell int, day int, precip double"), spark.createDataFrame(totals, "cell int, day int, total double")).collect()
+    by = {c: sorted((x.precip for x in got if x.cell == c), key=str) for c in range(1, 7)}
+    assert by == {1: [1.0, 3.0, None], 2: [None], 3: [0.0, 0.0], 4: [None], 5: [None], 6: [0.0, 6.0]}

@@ -179,3 +179,26 @@ def test_all_cells_idw(spark):
     assert [r.v for r in grid.fill_idw_all(cells.filter("row = 3"), cells, "v").collect()] == [None] * 3
     with pytest.raises(ValueError, match="known cells"):
         grid.fill_idw_all(cells, cells, "v", most=1)
+
+
+def test_all_cells_idw_in_blocks(spark):
+    far = 1 << 26  # square distances of such points are not exact sums below 2^53
+    known = [(r, c, float(7 * r - c * c)) for r in range(40) for c in range(5) if (r + c) % 3] + [(far, 2, 1e9)]
+    cells = spark.createDataFrame([*known, (None, 1, 9.0), (2, 4, None)], "row int, col int, v double")
+    asked = [(r, c) for r in range(-3, 44, 2) for c in (0, 4)] + [(0, 0), (0, 0), (far, 2)]
+    target = spark.createDataFrame([*asked, (None, 3)], "row int, col int")
+    for block, power in ((7, 2), (1 << 16, 2), (50, 3)):
+        got = grid.fill_idw_all(cells, target, "v", power=power, block=block).collect()
+        assert len(got) == len(asked) + 1 and [x.v for x in got if x.row is None] == [None]
+        by = {(x.row, x.col): x.v for x in got}
+        values = {(r, c): v for r, c, v in known}
+        for r, c in asked:
+            w = [((r - a) ** 2 + (c - b) ** 2, v) for (a, b), v in values.items()]
+            want = values[r, c] if (r, c) in values else sum(v / d ** (power / 2) for d, v in w) / sum(1 / d ** (power / 2) for d, _ in w)
+            assert by[r, c] == pytest.approx(want, rel=1e-12)
+
+
+def test_all_cells_idw_has_no_limit_of_cells(spark):
+    known = spark.range(1_000_001).selectExpr("cast(id div 50 as int) as row", "cast(id % 50 as int) as col", "cast(5.0 as double) as v")
+    target = spark.createDataFrame([(-2, 3), (30_000, 60)], "row int, col int")
+    assert [x.v for x in grid.fill_idw_all(known, target, "v").collect()] == pytest.approx([5.0, 5.0])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import beam_transmission, clamp, day_length, diffuse_share, julian_day, saturation_pressure, sky_transmission, solar_constant, solar_shift, solar_zenith, turbidity
 from ..functions.splines import smooth_map
 from ..sources.checkpoints import cut, forget
-from .grid import fill_multiscale, sharpen
+from .grid import fill_gaps, fill_multiscale, sharpen, usable_levels
 
 SIGMA = 5.67e-8
 
@@ -378,64 +378,84 @@ def match_logit(fine: DataFrame, coarse: DataFrame, value: str) -> DataFrame:
     return wide.withColumn(value, 1 / (1 + F.exp(-z))).drop("m1", "s1", "m2", "s2")
 
 
-def _let(c: Column, f) -> Column:
-    """f of a column that is computed once, inside a lambda too."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
-def _leaf_spread(x: Column) -> Column:
+def _leaf_spread(x: np.ndarray) -> np.ndarray:
     """Squared cosine of the mean leaf angle for a ratio x of vertical to horizontal leaf projections; 1/3 for spherical ones (x = 1)."""
-    angle = F.least(9.65 * F.pow(3 + x, F.lit(-1.65)), F.lit(math.pi / 2))
-    return F.when(x == 1, 1 / 3).otherwise(F.cos(angle) * F.cos(angle))
+    return np.where(x == 1, 1 / 3, np.cos(np.minimum(9.65 * (3 + x) ** -1.65, math.pi / 2)) ** 2)
 
 
-def _scatter(leaf: Column, x: Column, pai: Column) -> Column:
+def _scatter(leaf: np.ndarray, spread: np.ndarray, pai: np.ndarray) -> tuple[np.ndarray, ...]:
     """Two-stream coefficients of a canopy whose leaves transmit a third of what they reflect: absorption a, backscatter g, extinction h, transmission s."""
     through = 0.33 * leaf
-    a, back = 1 - leaf - through, 0.5 * (leaf + through + _leaf_spread(x) * (leaf - through))
-    h = F.sqrt(a * a + 2 * a * back)
-    return F.struct(a.alias("a"), back.alias("g"), h.alias("h"), F.exp(-h * pai).alias("s"))
+    a, back = 1 - leaf - through, 0.5 * (leaf + through + spread * (leaf - through))
+    h = np.sqrt(a * a + 2 * a * back)
+    return a, back, h, np.exp(-h * pai)
 
 
-def _canopy_albedo(c: Column, ground: Column) -> Column:
-    """Diffuse albedo of a canopy with coefficients c (of _scatter) over ground of a reflectance."""
-    u = c["a"] + c["g"] * (1 - 1 / ground)
-    down, up = (u - c["h"]) / c["s"], (u + c["h"]) * c["s"]
-    return c["g"] * (down - up) / ((c["a"] + c["g"] + c["h"]) * down - (c["a"] + c["g"] - c["h"]) * up)
+def _canopy_albedo(ground: np.ndarray, a: np.ndarray, g: np.ndarray, h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Diffuse albedo of a canopy with coefficients of _scatter over ground of a reflectance."""
+    u = a + g * (1 - 1 / ground)
+    down, up = (u - h) / s, (u + h) * s
+    return g * (down - up) / ((a + g + h) * down - (a + g - h) * up)
 
 
-def two_stream_albedo(leaf: Column, ground: Column, x: Column, pai: Column) -> Column:
-    return _canopy_albedo(_scatter(leaf, x, pai), ground)
+def _bisect(f, args: tuple[np.ndarray, ...], lo: float, hi: float, tol: float = 1e-6, steps: int = 100) -> np.ndarray:
+    """For each row of args the first midpoint of halved lo..hi at which f(midpoint, *args) is within tol of 0; NaN if none is in so many steps.
 
+    Rows leave once they are found, or once their interval has no number between its ends, as nothing changes after that.
+    """
+    n = len(args[0])
+    out, at, a, b = np.full(n, np.nan), np.arange(n), np.full(n, lo), np.full(n, hi)
+    fa = f(a, *args)
+    for _ in range(steps):
+        if not len(at):
+            break
+        mid = (a + b) / 2
+        y = f(mid, *args)
+        found = np.abs(y) < tol
+        out[at[found]] = mid[found]
+        on, left = ~found & (mid != a) & (mid != b), fa * y < 0
+        a, b, fa = np.where(left, a, mid), np.where(left, mid, b), np.where(left, fa, y)
+        if not on.all():
+            at, a, b, fa, args = at[on], a[on], b[on], fa[on], tuple(x[on] for x in args)
+    return out
 
-def _bisect(f, lo: float, hi: float, tol: float = 1e-6, steps: int = 100) -> Column:
-    """The first midpoint of halved lo..hi at which the column expression f is within tol of 0; NULL if none is in so many steps.
 
-    The halvings are one SQL aggregate over a sequence; f is computed once in each.
-    """
-    state = lambda a, b, fa, root: F.struct(a.alias("a"), b.alias("b"), fa.alias("fa"), root.alias("root"))
-    none = F.lit(None).cast("double")
+def _known_rows(f, *cols: pd.Series) -> pd.Series:
+    """f of the rows in which no column is missing; missing in the others."""
+    xs = [c.to_numpy(float, na_value=np.nan) for c in cols]
+    there, out = ~np.isnan(xs).any(axis=0), np.full(len(xs[0]), np.nan)
+    if there.any():
+        with np.errstate(all="ignore"):
+            out[there] = f(*[x[there] for x in xs])
+    return pd.Series(out)
 
-    def half(s: Column, _: Column) -> Column:
-        def split(mid: Column) -> Column:
-            return _let(f(mid), lambda y: F.when(F.abs(y) < tol, state(s["a"], s["b"], s["fa"], mid)).when(s["fa"] * y < 0, state(s["a"], mid, s["fa"], none)).otherwise(state(mid, s["b"], y, none)))
 
-        return F.when(s["root"].isNotNull(), s).otherwise(_let((s["a"] + s["b"]) / 2, split))
+def two_stream_albedo(leaf: Column, ground: Column, x: Column, pai: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(leaf: pd.Series, ground: pd.Series, x: pd.Series, pai: pd.Series) -> pd.Series:
+        return _known_rows(lambda le, gr, x, p: _canopy_albedo(gr, *_scatter(le, _leaf_spread(x), p)), leaf, ground, x, pai)
 
-    start = state(F.lit(lo), F.lit(hi), f(F.lit(lo)), none)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: s["root"])
+    return run(leaf, ground, x, pai)
 
 
 def ground_reflectance(leaf: Column, pai: Column, x: Column, albedo: Column) -> Column:
     """R3. The ground under leaves of a reflectance for which the albedo results; NULL if there is none."""
-    there = leaf.isNotNull() & pai.isNotNull() & x.isNotNull() & albedo.isNotNull()
-    return F.when(there, _let(_scatter(leaf, x, pai), lambda c: _bisect(lambda g: _canopy_albedo(c, g) - albedo, 0.0001, 0.9999)))
+
+    @F.pandas_udf("double")
+    def run(leaf: pd.Series, pai: pd.Series, x: pd.Series, albedo: pd.Series) -> pd.Series:
+        return _known_rows(lambda le, p, x, want: _bisect(lambda v, want, *c: _canopy_albedo(v, *c) - want, (want, *_scatter(le, _leaf_spread(x), p)), 0.0001, 0.9999), leaf, pai, x, albedo)
+
+    return run(leaf, pai, x, albedo)
 
 
 def leaf_reflectance(pai: Column, ground: Column, x: Column, albedo: Column) -> Column:
     """R3. The leaves above ground of a reflectance for which the albedo results; NULL if there are none."""
-    there = ground.isNotNull() & pai.isNotNull() & x.isNotNull() & albedo.isNotNull()
-    return F.when(there, _bisect(lambda r: _let(_scatter(r, x, pai), lambda c: _canopy_albedo(c, ground)) - albedo, 0.0001, 0.7499))
+
+    @F.pandas_udf("double")
+    def run(pai: pd.Series, ground: pd.Series, x: pd.Series, albedo: pd.Series) -> pd.Series:
+        return _known_rows(lambda p, gr, x, want: _bisect(lambda v, want, gr, j, p: _canopy_albedo(gr, *_scatter(v, j, p)) - want, (want, gr, _leaf_spread(x), p), 0.0001, 0.7499), pai, ground, x, albedo)
+
+    return run(pai, ground, x, albedo)
 
 
 def invert_reflectance(df: DataFrame, albedo: str, pai: str, x: str, tol: float = 1e-3, most: int = 50, w: float = 0.5) -> DataFrame:
@@ -443,23 +463,28 @@ def invert_reflectance(df: DataFrame, albedo: str, pai: str, x: str, tol: float
 
     They start at 0.5 and 0.15. A round finds each by bisection of the two-stream albedo from the other's last value, fills gaps over the grid (G11,
     cells without x stay NULL) and takes the mean of old (weight w) and new. Rounds end once the larger of both mean absolute
-    differences between a new mean and what was found is at most tol, or after `most`. A round's cells are one table in the shared folder; the one before it is deleted.
+    differences between a new mean and what was found is at most tol, or after `most`. A round's cells are one table in the shared folder, its filled
+    gaps another; those before it are deleted.
     """
     there = F.col(x).isNotNull()
-    d, before = df.withColumn("leaf", F.when(there, F.lit(0.5))).withColumn("ground", F.when(there, F.lit(0.15))), None
+    d, before, used = df.withColumn("leaf", F.when(there, F.lit(0.5))).withColumn("ground", F.when(there, F.lit(0.15))), [], usable_levels(df)
     mixed = lambda c: (w * F.col(c) + (1 - w) * F.col(f"__{c}")).alias(c)
     for _ in range(most):
-        found = d.withColumn("__ground", ground_reflectance(F.col("leaf"), F.col(pai), F.col(x), F.col(albedo))).withColumn("__leaf", leaf_reflectance(F.col(pai), F.col("ground"), F.col(x), F.col(albedo)))
-        whole, held = cut(found), []
-        if any(whole.filter(there).agg(*[F.count(F.when(F.col(f"__{c}").isNull(), 1)) for c in ("ground", "leaf")]).first()):
-            both = whole.select("row", "col", x, F.inline(F.array(*[F.struct(F.lit(c).alias("__of"), F.col(f"__{c}").alias("__v")) for c in ("ground", "leaf")])))
-            filled = fill_multiscale(both, "__v", keys=("__of",)).filter(there).groupBy("row", "col").agg(*[F.max(F.when(F.col("__of") == c, F.col("__v"))).alias(f"__{c}") for c in ("ground", "leaf")])
-            held, whole = [whole], cut(whole.drop("__ground", "__leaf").join(filled, ["row", "col"], "left"))
+        found = {"__ground": ground_reflectance(F.col("leaf"), F.col(pai), F.col(x), F.col(albedo)), "__leaf": leaf_reflectance(F.col(pai), F.col("ground"), F.col(x), F.col(albedo))}
+        whole = cut(d.withColumns(found))
+        missing = whole.agg(*[f for c in ("ground", "leaf") for f in (F.count(F.when(there & F.col(f"__{c}").isNull(), 1)), F.avg(f"__{c}"))]).first()  # four numbers
+        means, held = {f"__{c}": m for c, n, m in (("ground", *missing[:2]), ("leaf", *missing[2:])) if n}, [whole]
+        if means:
+            filled = cut(fill_gaps(whole, list(means), used, there))
+            held.append(filled)
+            filled = filled.withColumnsRenamed({c: f"__fill{c}" for c in means})
+            values = {c: F.when(there, F.coalesce(c, f"__fill{c}", F.lit(m).cast("double"))) for c, m in means.items()}
+            whole = whole.join(filled, ["row", "col"], "left").withColumns(values).drop(*[f"__fill{c}" for c in means])
         d = whole.select(*df.columns, mixed("leaf"), mixed("ground"))
         change = whole.agg(*[F.avg(F.abs(mixed(c) - F.col(f"__{c}"))) for c in ("ground", "leaf")]).first()
-        for old in [*held, *[before] * (before is not None)]:
+        for old in before:
             forget(old)
-        before = whole
+        before = held
         if None in tuple(change) or max(change) <= tol:
             break
     return d

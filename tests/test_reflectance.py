@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import climate
-from lamina.operators.grid import fill_multiscale
+from lamina.operators.grid import fill_gaps, fill_multiscale, usable_levels
 
 
 def albedo(leaf, pai, ground, x):
@@ -102,3 +102,22 @@ def test_inversion(spark, most, tol):
 
 def test_no_cells(spark):
     assert climate.invert_reflectance(spark.createDataFrame([], SCHEMA), "albedo", "pai", "x").count() == 0
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_filled_gaps_are_those_of_the_whole_grid(spark, tile):
+    r = np.random.default_rng(8)
+    at = [(a, b) for a in range(-70, 60) for b in range(40) if not (0 < a < 40 and b > 3) or (a == 20 and b == 30)]
+    rows = [(a, b, None if r.uniform() < 0.7 or a > 40 else float(r.uniform(0, 9)), None if b % 2 else float(a + b), bool((a + b) % 5)) for a, b in at]
+    df = spark.createDataFrame(rows, "row int, col int, u double, v double, there boolean").repartition(3)
+    got = {(x.row, x.col): x for x in fill_gaps(df, ["u", "v"], usable_levels(df), F.col("there"), tile).collect()}
+    assert got.keys() == {x[:2] for x in rows if x[4] and None in x[2:4]}
+    for k, c in enumerate("uv"):
+        known = [x[2 + k] for x in rows if x[2 + k] is not None]
+        want = {(x.row, x.col): x[c] for x in fill_multiscale(df.select("row", "col", c), c).collect()}
+        for a, b, *values, there in rows:
+            if there and values[k] is None:
+                mine = got[a, b][c]
+                assert abs((np.mean(known) if mine is None else mine) - want[a, b]) < 1e-9
+            elif (a, b) in got:
+                assert got[a, b][c] is None

@@ -327,18 +327,23 @@ def time_mean(df: DataFrame, value: str, cell: str = "cell", strict: bool = Fals
 
 
 def fix_360_calendar(df: DataFrame, value: str, year: str, day360: str, cell: str = "cell") -> DataFrame:
-    """C19. Days 1..360 on real dates (spread evenly over the year), the days between them linearly."""
+    """C19. Days 1..360 on real dates (spread evenly over the year), the days between them linearly.
+
+    A cell's dates meet in one window; the days up to the next date are made after it, so they are neither shuffled nor sorted.
+    """
     first = F.make_date(F.col(year), F.lit(1), F.lit(1))
     size = F.dayofyear(F.make_date(F.col(year), F.lit(12), F.lit(31)))
-    d = df.withColumn("day", F.date_add(first, F.floor((F.col(day360) - 1) * size / 360).cast("int"))).select(cell, "day", value)
-    ext = d.groupBy(cell).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    full = ext.select(cell, F.explode(F.sequence("a", "b")).alias("day")).join(d, [cell, "day"], "left")
-    w = Window.partitionBy(cell).orderBy("day")
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col("day"))
-    full = full.withColumn("__lv", F.last(value, True).over(past)).withColumn("__ld", F.last(at, True).over(past)).withColumn("__rv", F.first(value, True).over(ahead)).withColumn("__rd", F.first(at, True).over(ahead))
-    line = F.col("__lv") + (F.col("__rv") - F.col("__lv")) * F.datediff("day", "__ld") / F.nullif(F.datediff("__rd", "__ld"), F.lit(0))
-    return full.withColumn(value, F.coalesce(value, line)).select(cell, "day", value)
+    d = df.select(cell, F.unix_date(F.date_add(first, F.floor((F.col(day360) - 1) * size / 360).cast("int"))).alias("__d"), F.col(value).alias("__v")).filter(F.col("__d").isNotNull())
+    known = F.when(F.col("__v").isNotNull(), F.struct("__d", "__v"))
+    up, down = Window.partitionBy(cell).orderBy("__d"), Window.partitionBy(cell).orderBy(F.desc("__d"))
+    d = d.withColumn("__l", F.last(known, True).over(up.rangeBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__r", F.last(known, True).over(down.rangeBetween(Window.unboundedPreceding, -1))).withColumn("__next", F.lag("__d").over(down))
+    d = d.select(cell, "__d", "__v", "__l.*", "__r", "__next").toDF(cell, "__d", "__v", "__ld", "__lv", "__r", "__next").select("*", F.col("__r.__d").alias("__rd"), F.col("__r.__v").alias("__rv"))
+    full = d.withColumn("__i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__next") - F.col("__d"), F.lit(1)) - 1)))
+    at = F.col("__d") + F.col("__i")
+    line = F.col("__lv") + (F.col("__rv") - F.col("__lv")) * (at - F.col("__ld")) / (F.col("__rd") - F.col("__ld"))
+    here = F.when(F.col("__ld") == at, F.col("__lv"))  # its own date, or one with a value beside a row without
+    return full.select(cell, F.date_from_unix_date(at).alias("day"), F.coalesce(F.when(F.col("__i") == 0, F.col("__v")), here, line).alias(value))
 
 
 def day_climatology(df: DataFrame, value: str, day: str = "day", cell: str = "cell", strict: bool = False) -> DataFrame:

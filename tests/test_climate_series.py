@@ -156,3 +156,25 @@ def test_rain_of_days_without_a_value(spark):
     got = climate.blend_precip(spark.createDataFrame(rows, "cell int, day int, precip double"), spark.createDataFrame(totals, "cell int, day int, total double")).collect()
     by = {c: sorted((x.precip for x in got if x.cell == c), key=str) for c in range(1, 7)}
     assert by == {1: [1.0, 3.0, None], 2: [None], 3: [0.0, 0.0], 4: [None], 5: [None], 6: [0.0, 6.0]}
+
+
+def test_days_of_a_360_calendar(spark):
+    r = np.random.default_rng(5)
+    rows = [(c, y, float(d), None if r.uniform() < 0.3 else float(r.uniform(0, 9))) for c in (1, 2, 3) for y in (2019, 2020) for d in sorted(r.choice(np.arange(1, 361), 25, False))]
+    rows += [(4, 2020, 7.0, None), (4, 2020, 90.0, None), (5, 2020, 7.0, 2.0), (6, 2020, None, 1.0), (7, 2020, 7.0, None), (7, 2020, 7.0, 3.0), (7, 2020, 9.0, 5.0), (None, 2020, 1.0, 1.0), (None, 2020, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "cell int, year int, d double, v double").repartition(3)
+    out = climate.fix_360_calendar(df, "v", "year", "d")
+    want = {}
+    for c in {x[0] for x in rows}:
+        mine = [(datetime.date(y, 1, 1) + datetime.timedelta(math.floor((d - 1) * (366 if y == 2020 else 365) / 360)), v) for k, y, d, v in rows if k == c and d is not None]
+        known = sorted((d.toordinal(), v) for d, v in mine if v is not None)
+        ends = [d.toordinal() for d, _ in mine]
+        for o in range(min(ends, default=1), max(ends, default=0) + 1):
+            inside = known and known[0][0] <= o <= known[-1][0]
+            want[c, datetime.date.fromordinal(o)] = float(np.interp(o, *zip(*known, strict=True))) if inside else None
+    got = out.collect()
+    assert len(got) == len(want) + 1  # two rows of one day
+    for x in got:
+        v = want[x.cell, x.day]
+        assert (x.v is None and v is None) or abs(x.v - v) < 1e-9
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

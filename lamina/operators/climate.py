@@ -148,27 +148,34 @@ def _thomas(h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def daily_to_hourly_spline(df: DataFrame, value: str | list[str], cell: str = "cell", day: str = "day", lo: float | None = None, hi: float | None = None) -> DataFrame:
+def daily_to_hourly_spline(df: DataFrame, value: str | list[str], cell: str = "cell", day: str = "day", lo: float | None = None, hi: float | None = None, shared: str | None = None) -> DataFrame:
     """C9. Hourly values of one or more series of each cell by natural cubic splines through noon values, clamped.
 
     A group is one cell's days, bounded by the length of the record. A series is NULL in a cell where it has no value; days without one are passed over.
+    The series `shared` is scaled as `convert_hours` does with rain: to the day's value, evenly where that gives no rain; NULL on days without one.
     """
     values = [value] if isinstance(value, str) else list(value)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna(subset=[day]).dropna(subset=values, how="all").sort_values(day)
-        if not len(p):
-            return pd.DataFrame({cell: [], "ts": pd.Series(dtype="datetime64[s]"), **{v: [] for v in values}})
-        x = pd.to_datetime(p[day]).to_numpy().astype("datetime64[s]").astype(np.int64) / 3600 + 12
+        x = p["__noon"].to_numpy(float)
+        order = np.argsort(x, kind="stable")
+        x, ys = x[order], {v: p[v].to_numpy(float)[order] for v in values}
         at, out = np.arange(x[0] - 12, x[-1] + 12), {}
-        for v in values:
-            y = p[v].to_numpy(float)
+        for v, y in ys.items():
             known = ~np.isnan(y)
-            out[v] = np.clip(_spline(x[known], y[known], at.astype(float)), -np.inf if lo is None else lo, np.inf if hi is None else hi) if known.any() else np.full(len(at), np.nan)
+            out[v] = np.clip(_spline(x[known], y[known], at), -np.inf if lo is None else lo, np.inf if hi is None else hi) if known.any() else np.full(len(at), np.nan)
+        if shared:
+            days = out[shared].reshape(-1, 24)
+            total = np.full((len(days), 1), np.nan)
+            total[((x - x[0]) / 24).round().astype(int), 0] = ys[shared]
+            mean = days.sum(axis=1, keepdims=True) / 24
+            rate = np.divide(total, mean, out=np.zeros_like(total), where=mean != 0) * days
+            out[shared] = np.where(np.isnan(days), np.nan, np.where(rate > 0, rate, total / 24)).ravel()
         return pd.DataFrame({cell: p[cell].iloc[0], "ts": (at * 3600).astype("datetime64[s]"), **out})
 
     kind = df.schema[cell].dataType.simpleString()
-    out = df.select(cell, day, *values).groupBy(cell).applyInPandas(run, f"{cell} {kind}, ts timestamp_ntz, " + ", ".join(f"{v} double" for v in values))
+    given = df.filter(F.col(day).isNotNull() & F.coalesce(*values).isNotNull()).select(cell, (F.unix_date(F.col(day).cast("date")) * 24 + 12).alias("__noon"), *values)
+    out = given.groupBy(cell).applyInPandas(run, f"{cell} {kind}, ts timestamp_ntz, " + ", ".join(f"{v} double" for v in values))
     return out.withColumns({v: F.nanvl(v, F.lit(None).cast("double")) for v in values})
 
 
@@ -188,10 +195,17 @@ def convert_hours(hourly: DataFrame, rain: DataFrame, vapour: str = "vapour", em
     return d.drop("__day", "__d", "__cell", "__total", vapour, emissivity)
 
 
-def daily_to_hourly(df: DataFrame, temps: DataFrame, cell: str = "cell", day: str = "day", ts: str = "ts") -> DataFrame:
-    """C9. Pressure, humidity, long-wave and rain at each hour from daily vapour, emissivity, pres and precip, with the hours' temperature (cell, ts, temp)."""
-    hours = daily_to_hourly_spline(df, ["pres", "vapour", "emissivity", "precip"], cell, day)
-    return convert_hours(hours.join(temps.select(cell, ts, "temp"), [cell, ts]), df)
+def daily_to_hourly(df: DataFrame, temps: DataFrame | Column, cell: str = "cell", day: str = "day", ts: str = "ts") -> DataFrame:
+    """C9. Pressure, humidity, long-wave and rain at each hour from daily vapour, emissivity, pres and precip, with the hours' temperature.
+
+    Temperature is a table (cell, ts, temp), or a column computed from the cell and `ts`; with a column no hour is shuffled. Days are unique in a cell:
+    a day's rain is shared among its hours inside the cell's group.
+    """
+    hours = daily_to_hourly_spline(df.filter(F.col(cell).isNotNull()), ["pres", "vapour", "emissivity", "precip"], cell, day, shared="precip")
+    hours = hours.join(temps.select(cell, ts, "temp"), [cell, ts]) if isinstance(temps, DataFrame) else hours.withColumn("temp", temps)
+    t = F.col("temp")
+    wet = F.col("vapour") / saturation_pressure(t) * 100
+    return hours.withColumns({"relhum": clamp(wet, 10.0, 100.0), "lwdown": F.col("emissivity") * SIGMA * F.pow(t + 273.15, F.lit(4.0))}).drop("vapour", "emissivity")
 
 
 def blend_temperature(hourly: DataFrame, daily: DataFrame, value: str = "temp", cell: str = "cell", day: str = "day") -> DataFrame:

@@ -178,3 +178,22 @@ def test_days_of_a_360_calendar(spark):
         v = want[x.cell, x.day]
         assert (x.v is None and v is None) or abs(x.v - v) < 1e-9
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hours_are_not_shuffled_with_a_temperature_column(spark):
+    r = np.random.default_rng(9)
+    rows = [x for i, x in enumerate(days(12, r)) if i % 5 != 3] + [(None, DAY, 1.0, 1.0, 1.0, 1.0), (3, DAY, 1.0, 1.0, 1.0, None), (4, DAY, None, None, 9.0, 0.0)]
+    df, t = spark.createDataFrame(rows, SCHEMA), F.hour("ts") * 1.5 - 10 * F.col("cell")
+    start = datetime.datetime(2020, 1, 1)
+    temps = spark.createDataFrame([(c, start + datetime.timedelta(hours=h)) for c in (1, 2, 3, 4) for h in range(12 * 24)], "cell int, ts timestamp_ntz").withColumn("temp", t)
+    hours = climate.daily_to_hourly(df, t)
+    cols = ["cell", "ts", "temp", "pres", "relhum", "lwdown", "precip"]
+    plain = climate.daily_to_hourly_spline(df, ["pres", "vapour", "emissivity", "precip"]).join(temps, ["cell", "ts"])
+    want = climate.convert_hours(plain, df).select(*cols).orderBy("cell", "ts").collect()
+    for got in (hours, climate.daily_to_hourly(df, temps)):
+        got = got.select(*cols).orderBy("cell", "ts").collect()
+        assert len(got) == len(want)
+        for x, y in zip(got, want, strict=True):
+            assert x[:2] == y[:2] and all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 * max(1, abs(b))) for a, b in zip(x[2:], y[2:], strict=True))
+    plan = hours._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
